@@ -42,8 +42,9 @@ def tidy(raw: Column) -> Column:
     return F.regexp_replace(raw, r"^[\s\u00a0\ufeff]+|[\s\u00a0\ufeff]+$", "")
 
 
-def known_zones() -> list[str]:
-    return sorted(zoneinfo.available_timezones())
+def known_zones() -> str:
+    """Names that are zones, as a list of SQL strings; any other name would be an error in the JVM."""
+    return ", ".join(f"'{z}'" for z in sorted(zoneinfo.available_timezones()))
 
 
 def _number_us(t: Column) -> Column:
@@ -105,14 +106,14 @@ def with_instant(df: DataFrame, raw: Column, zone: Column, out: str) -> DataFram
         {
             tag + "wall": F.when(good, wall),
             tag + "min": minutes,
-            tag + "known": F.when(c("zone").isin(known_zones()), c("zone")).otherwise(F.lit("UTC")),
+            tag + "known": F.expr(f"if(`{tag}zone` in ({known_zones()}), `{tag}zone`, 'UTC')"),
         }
     )
     local = F.unix_micros(F.to_utc_timestamp(c("wall"), c("known")))
     us = F.coalesce(c("n"), F.when(off == "", local).otherwise(F.unix_micros(c("wall")) - c("min").cast("long") * F.lit(60000000)))
     # A filter on the result would be pushed below all these projections, each use of a part then
     # repeating all of its work. A non-deterministic condition, always true, stops that.
-    return df.select(*(F.col(f"`{k}`") for k in keep), F.when(F.rand(0) >= 0, us).alias(out))
+    return df.select(*(F.col(f"`{k}`") for k in keep), F.when(F.monotonically_increasing_id() >= 0, us).alias(out))
 
 
 def zone_of(log_extensions: Column) -> Column:
