@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracefold.llm import leaks, packing, percentiles, splitting
+from tracefold.llm import leaks, packing, percentiles, pii, repeats, splitting
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": repeats.p2_found,
+        "p2_batches": repeats.p2_batches,
         "p5_found": percentiles.p5_found,
         "p5_percentiles": percentiles.p5_percentiles,
+        "p6_found": pii.p6_found,
+        "p6_masked": pii.p6_masked,
         "p8_containers": packing.p8_containers,
         "p9_found": leaks.p9_found,
         "p9_spans": leaks.p9_spans,
