@@ -5,14 +5,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracefold.operators import hierarchy, hosts, intervals, timestamps
+from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, search, timestamps, views
+from tracefold.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _on(name: str, f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, store: f(table(spark, store, name))
+
+
+def _two(a: str, b: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, store: f(table(spark, store, a), table(spark, store, b))
+
+
+def _halves(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Entries of even imports against those of odd ones."""
+    def run(spark: SparkSession, store: str) -> DataFrame:
+        e = table(spark, store, "entries")
+        return f(e.where("import_id % 2 = 0"), e.where("import_id % 2 = 1"))
+
+    return run
+
+
+def _sql(text: str, *tables: str) -> Query:
+    """An ad-hoc statement over the tables it names."""
+    def run(spark: SparkSession, store: str) -> DataFrame:
+        from tracefold.plans.sql import run_query
+
+        return run_query(spark, text, {t: table(spark, store, t) for t in tables})
+
+    return run
+
+
+def _filtered(**conditions) -> Query:
+    return _on("entries", lambda e: filters.EntryFilter(**conditions).apply(e).select("id", "url", "status"))
+
+
+def _graphql(e: DataFrame) -> DataFrame:
+    return e.where(F.col("graphql_operation_type").isNotNull()).groupBy(F.col("graphql_operation_type").alias("kind"), F.col("graphql_operation_name").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def queries() -> dict[str, Query]:
-    return {
+    q: dict[str, Query] = {
         "p1_found": hierarchy.p1_found,
         "p1_hierarchy": hierarchy.p1_hierarchy,
         "p3_found": intervals.p3_found,
@@ -22,14 +59,172 @@ def queries() -> dict[str, Query]:
         "p7_found": timestamps.p7_found,
         "p7_normalised": timestamps.p7_normalised,
     }
+    q |= {
+        "slow_total": _on("entries", lambda e: analysis.slowest(e, "time_ms", 1000, 10)),
+        "slow_ttfb": _on("entries", lambda e: analysis.slowest(e, "wait_ms", 500, 10)),
+        "timing_stats": _on("entries", analysis.timing_stats),
+        "bottleneck": _on("entries", lambda e: analysis.bottleneck(analysis.timing_stats(e))),
+        "connection_reuse": _on("entries", analysis.connection_reuse),
+        "cache_candidates": _on("entries", analysis.cache_candidates),
+        "status_classes": _on("entries", lambda e: e.groupBy(analysis.status_class(F.col("status")).alias("class")).agg(F.count(F.lit(1)).alias("n"))),
+        "status_histogram": _on("entries", lambda e: e.groupBy("status").agg(F.count(F.lit(1)).alias("n"))),
+        "error_endpoints": _on("entries", analysis.error_endpoints),
+        "store_stats": lambda s, d: analysis.store_stats(table(s, d, "entries"), table(s, d, "imports"), table(s, d, "blobs")),
+        "import_listing": _two("imports", "entries", analysis.import_listing),
+        "certificates": _on("entries", lambda e: analysis.certificates(e, "2026-09-01")),
+        "orphan_blobs": _two("blobs", "entries", analysis.orphan_blobs),
+        "blob_savings": _on("entries", analysis.blob_savings),
+        "top_initiators": _on("entries", lambda e: e.where("initiator_type is not null").groupBy("initiator_type").agg(F.count(F.lit(1)).alias("n"))),
+        "filter_status_method": _filtered(methods=["GET"], statuses=[404, 500]),
+        "filter_url_contains": _filtered(url_contains=["ASSETS/"]),
+        "filter_url_regex": _filtered(url_regex=[r"/v[0-9]+/", r"\.css$"]),
+        "filter_mime_size": _filtered(mime_contains=["json"], min_response=1000, max_response=4000),
+        "filter_dates": _filtered(since="2025-06-01", until="2025-08-31"),
+        "filter_extension": _filtered(extensions=["css,js", "png"]),
+        "filter_sample": _on("entries", lambda e: filters.stable_sample(e, ["entry_hash", "url", "started_at"], 0.25).select("id")),
+        "url_parts": _on("entries", lambda e: e.select("id", *(c.alias(k) for k, c in views.url_parts(F.col("url")).items()), filters.url_extension(F.col("url")).alias("extension"), views.server_base(F.col("url")).alias("server"))),
+        "waterfall_offsets": _on("entries", lambda e: views.offsets(e.where(F.col("started_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{3}Z$")))),
+        "navigation_sessions": _on("entries", views.navigation_sessions),
+        "phase_layout": _on("entries", views.phase_layout),
+        "spans": _on("entries", views.spans),
+        "ordinal_diff": _halves(views.ordinal_diff),
+        "merge_entries": _halves(lambda a, b: views.merge_entries([a, b], ["method", "url", "started_at", "status"], ["tls_version", "request_id"]).select("method", "url", "started_at", "status", "id", "copies", "tls_version", "request_id")),
+        "incremental_new": _halves(lambda a, b: views.new_entries(b, a)),
+        "header_diff": _on("entries", lambda e: e.select("id", views.header_changes(F.col("request_headers"), F.col("response_headers")).cast("long").alias("changes"))),
+        "api_operations": _on("entries", views.api_operations),
+        "pages_of_entries": _two("entries", "pages", lambda e, p: e.join(p.select(F.col("id").alias("page_id"), "import_id", "title"), ["page_id", "import_id"], "left").groupBy("import_id", "page_id", "title").agg(F.count(F.lit(1)).alias("n"))),
+        "bodies_of_entries": _two("entries", "blobs", lambda e, b: e.where("response_body_hash is not null").select("id", F.col("response_body_hash").alias("hash")).join(b.select("hash", "size", "mime_type"), "hash", "left")),
+        "graphql_operations": _on("entries", _graphql),
+        "graphql_by_field": _two("entries", "graphql_fields", lambda e, g: e.join(g, e.id == g.entry_id).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("failed"))),
+        "search_bm25": _on("documents", lambda d: search.bm25(d, "doc_id", "text", ["manifest", "cookie"])),
+        "search_phrase": _on("documents", lambda d: search.phrase(d, "doc_id", "text", ["known", "issue"])),
+        "search_prefix": _on("documents", lambda d: search.prefix(d, "doc_id", "text", "normalis")),
+        "search_postings": _on("eval_items", lambda d: search.postings(d, "item_id", "passage").select("token", "item_id", "tf")),
+        "mask_headers": _on("entries", lambda e: e.select("id", F.get_json_object(masking.mask_headers(F.col("request_headers"), ["user-*"]), "$.user-agent").alias("agent"))),
+        "mask_query": _on("entries", lambda e: e.where("query_string is not null").select("id", masking.mask_query(F.col("query_string"), ["ts", "c?d"]).alias("masked"))),
+        "mask_text": _on("documents", lambda d: d.select("doc_id", F.md5(masking.mask_text(F.col("text"), ["[0-9]{3,}", "issue"], "$X")).alias("digest"))),
+        "pattern_counts": _on("documents", lambda d: masking.pattern_counts(d, "doc_id", "text")),
+        "valid_cards": _on("documents", lambda d: masking.valid_cards(d, "doc_id", "text")),
+        "sql_join_having": _sql("SELECT i.status, count(*) AS n, count(DISTINCT e.host) AS hosts FROM entries e JOIN imports i ON i.id = e.import_id GROUP BY i.status HAVING count(*) > 5", "entries", "imports"),
+        "sql_window": _sql("SELECT import_id, id, r FROM (SELECT import_id, id, row_number() OVER (PARTITION BY import_id ORDER BY id DESC) AS r FROM entries) t WHERE r <= 3", "entries"),
+        "sql_sets": _sql("(SELECT request_body_hash AS h FROM entries UNION SELECT response_body_hash FROM entries) EXCEPT SELECT hash FROM blobs", "entries", "blobs"),
+        "sql_rollup": _sql("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem"),
+        "sql_subquery": _sql("SELECT o_orderpriority, count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45) GROUP BY o_orderpriority", "orders", "lineitem"),
+        "sql_json": _sql("SELECT id, get_json_object(response_headers, '$.server') AS server FROM entries WHERE get_json_object(response_headers, '$.server') IS NOT NULL", "entries"),
+    }
+    return q
+
+
+_HOST = "nullif(regexp_replace(lower(host), '\\.$', ''), '')"
+_M = lambda c: f"CASE WHEN NOT isnan({c}) AND {c} >= 0 THEN {c} END"
+_LONG = " UNION ALL ".join(f"SELECT '{p}' AS phase, {_M(c)} AS value FROM entries" for p, c in analysis.PHASES.items())
+_STATS = f"""WITH a AS ({_LONG}), v AS (SELECT * FROM a WHERE value IS NOT NULL),
+  r AS (SELECT phase, value, row_number() OVER (PARTITION BY phase ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY phase) AS n FROM v),
+  t AS (SELECT phase, n, min(value) AS min_ms, max(value) AS max_ms, round(avg(value), 6) AS avg_ms,
+    max(value) FILTER (WHERE k = CAST(round(CAST(0.5 AS DOUBLE) * (n - 1)) AS BIGINT)) AS p50_ms, max(value) FILTER (WHERE k = CAST(round(CAST(0.9 AS DOUBLE) * (n - 1)) AS BIGINT)) AS p90_ms,
+    max(value) FILTER (WHERE k = CAST(round(CAST(0.95 AS DOUBLE) * (n - 1)) AS BIGINT)) AS p95_ms FROM r GROUP BY phase, n)"""
+_URL = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)(?::([0-9]+))?([^?#]*)(?:\?([^#]*))?"
+_PART = lambda k: f"regexp_extract(url, '{_URL}', {k})"
+_GOOD = f"regexp_matches(url, '{_URL}')"
+_PATH = f"CASE WHEN {_GOOD} THEN coalesce(nullif({_PART(4)}, ''), '/') END"
+_SERVER = f"""CASE WHEN {_GOOD} THEN lower({_PART(1)}) || '://' || lower({_PART(2)}) || CASE WHEN {_PART(3)} <> '' AND NOT (lower({_PART(1)}) = 'http' AND {_PART(3)} = '80')
+  AND NOT (lower({_PART(1)}) = 'https' AND {_PART(3)} = '443') THEN ':' || {_PART(3)} ELSE '' END END"""
+_LAST = r"split_part(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/', -1)"
+_EXT = f"CASE WHEN contains({_LAST}, '.') THEN lower(split_part({_LAST}, '.', -1)) END"
+_NAV = "upper(method) = 'GET' AND regexp_matches(lower(coalesce(response_mime_type, '')), 'text/html|application/xhtml\\+xml')"
+_CANDIDATE = """upper(method) = 'GET' AND status = 200 AND response_body_size > 0 AND url IS NOT NULL
+  AND NOT regexp_matches(lower(coalesce(response_headers::JSON->>'$."cache-control"', '')), 'no-store|no-cache|max-age=0')
+  AND response_headers::JSON->>'$.etag' IS NULL AND response_headers::JSON->>'$."last-modified"' IS NULL AND response_headers::JSON->>'$.expires' IS NULL"""
+_TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
+_CANON = r"regexp_matches(started_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{3}Z$')"
 
 
 def oracle_sql() -> dict[str, str]:
+    p = {x: f"({_M(x + '_ms')})" for x in ("blocked", "dns", "connect", "ssl", "send", "wait", "receive")}
+    z = {x: f"coalesce({c}, 0.0)" for x, c in p.items()}
+    alone, nested = f"({p['ssl']} IS NOT NULL AND {p['connect']} IS NULL)", f"({p['ssl']} > 0 AND {p['ssl']} <= {p['connect']})"
+    half = lambda k: f"SELECT upper(method) AS method, url, row_number() OVER (PARTITION BY upper(method), url ORDER BY started_at NULLS FIRST, id) AS nth, status, response_body_size AS size, {_M('time_ms')} AS ms FROM entries WHERE url IS NOT NULL AND import_id % 2 = {k}"
+    kept = lambda cond: f"SELECT id, url, status FROM entries WHERE {cond}"
     return {
-        "p4_found": """SELECT nullif(regexp_replace(lower(host), '\\.$', ''), '') AS host FROM entries GROUP BY 1
-HAVING host IS NOT NULL AND count(*) * 40 >= (SELECT count(*) FROM entries)""",
+        "p4_found": f"SELECT {_HOST} AS host FROM entries GROUP BY 1 HAVING host IS NOT NULL AND count(*) * 40 >= (SELECT count(*) FROM entries)",
         "p4_hosts": """SELECT nullif(regexp_replace(lower(e.host), '\\.$', ''), '') AS host, count(*) AS n_entries,
   CAST(coalesce(sum(e.response_body_size) FILTER (WHERE e.response_body_size >= 0), 0) AS BIGINT) AS body_bytes,
   CAST(coalesce(sum(CASE WHEN i.status = 'complete' THEN 1 ELSE 0 END), 0) AS BIGINT) AS entries_of_complete_imports
 FROM entries e LEFT JOIN imports i ON i.id = e.import_id GROUP BY 1""",
+        "slow_total": f"SELECT id, url, host, status, started_at, {_M('time_ms')} AS ms FROM entries WHERE {_M('time_ms')} >= 1000 ORDER BY ms DESC, started_at NULLS FIRST, id LIMIT 10",
+        "slow_ttfb": f"SELECT id, url, host, status, started_at, {_M('wait_ms')} AS ms FROM entries WHERE {_M('wait_ms')} >= 500 ORDER BY ms DESC, started_at NULLS FIRST, id LIMIT 10",
+        "timing_stats": f"{_STATS} SELECT * FROM t",
+        "bottleneck": f"{_STATS} SELECT phase, avg_ms, round(avg_ms / (SELECT avg_ms FROM t WHERE phase = 'total'), 6) AS share FROM t WHERE phase <> 'total' ORDER BY avg_ms DESC LIMIT 1",
+        "connection_reuse": """WITH c AS (SELECT connection_id, count(*) AS n FROM entries WHERE connection_id IS NOT NULL GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS connections, count(*) FILTER (WHERE n > 1) AS reused, CAST(sum(n) FILTER (WHERE n > 1) AS BIGINT) AS on_reused,
+  round(CAST(sum(n) FILTER (WHERE n > 1) AS DOUBLE) / sum(n), 6) AS rate FROM c""",
+        "cache_candidates": f"SELECT url, count(*) AS n, CAST(sum(response_body_size) AS BIGINT) AS bytes, CAST(sum(response_body_size) // count(*) AS BIGINT) AS avg_bytes FROM entries WHERE {_CANDIDATE} GROUP BY url",
+        "status_classes": "SELECT CASE status // 100 WHEN 2 THEN '2xx' WHEN 3 THEN '3xx' WHEN 4 THEN '4xx' WHEN 5 THEN '5xx' ELSE 'none' END AS class, count(*) AS n FROM entries GROUP BY 1",
+        "status_histogram": "SELECT status, count(*) AS n FROM entries GROUP BY status",
+        "error_endpoints": "SELECT host, path, count(*) AS n, arg_min(url, id) AS sample_url FROM entries WHERE status >= 400 GROUP BY host, path",
+        "store_stats": """SELECT (SELECT count(*) FROM entries) AS entries, (SELECT min(started_at) FROM entries) AS first_at, (SELECT max(started_at) FROM entries) AS last_at, (SELECT count(DISTINCT host) FROM entries) AS hosts,
+  (SELECT count(*) FROM imports) AS imports, (SELECT CAST(coalesce(sum(entry_count), 0) AS BIGINT) FROM imports) AS counted, (SELECT count(*) FROM blobs) AS blobs, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM blobs) AS blob_bytes""",
+        "import_listing": "SELECT i.id, i.source_file, i.status, coalesce(i.entry_count, count(e.id)) AS entry_count, min(e.started_at) AS first_at, max(e.started_at) AS last_at FROM imports i LEFT JOIN entries e ON e.import_id = i.id GROUP BY i.id, i.source_file, i.status, i.entry_count",
+        "certificates": "SELECT count(*) AS expiring, min(tls_cert_expiry) AS earliest FROM (SELECT DISTINCT tls_cert_subject, tls_cert_issuer, tls_cert_expiry FROM entries WHERE tls_cert_expiry <= '2026-09-01')",
+        "orphan_blobs": "SELECT hash, size FROM blobs b WHERE hash NOT IN (SELECT request_body_hash FROM entries WHERE request_body_hash IS NOT NULL UNION SELECT response_body_hash FROM entries WHERE response_body_hash IS NOT NULL UNION SELECT response_body_hash_raw FROM entries WHERE response_body_hash_raw IS NOT NULL)",
+        "blob_savings": "SELECT count(*) AS unique_bodies, CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum((n - 1) * coalesce(size, 0)) AS BIGINT) AS bytes_saved FROM (SELECT response_body_hash, count(*) AS n, max(response_body_size) AS size FROM entries WHERE response_body_hash IS NOT NULL GROUP BY 1)",
+        "top_initiators": "SELECT initiator_type, count(*) AS n FROM entries WHERE initiator_type IS NOT NULL GROUP BY 1",
+        "filter_status_method": kept("method = 'GET' AND status IN (404, 500)"),
+        "filter_url_contains": kept("url ILIKE '%assets/%'"),
+        "filter_url_regex": kept(r"regexp_matches(url, '/v[0-9]+/') OR regexp_matches(url, '\.css$')"),
+        "filter_mime_size": kept("response_mime_type ILIKE '%json%' AND coalesce(response_body_size, 0) BETWEEN 1000 AND 4000"),
+        "filter_dates": kept("started_at >= '2025-06-01T00:00:00.000Z' AND started_at <= '2025-08-31T23:59:59.999Z'"),
+        "filter_extension": kept(f"{_EXT} IN ('css', 'js', 'png')"),
+        "filter_sample": "SELECT id FROM entries WHERE left(sha256(coalesce(entry_hash, '') || coalesce(url, '') || coalesce(started_at, '')), 8) < '40000000'",
+        "url_parts": f"SELECT id, CASE WHEN {_GOOD} THEN lower({_PART(1)}) END AS scheme, CASE WHEN {_GOOD} THEN lower({_PART(2)}) END AS host, CASE WHEN {_GOOD} THEN nullif({_PART(3)}, '') END AS port, {_PATH} AS path, CASE WHEN {_GOOD} THEN nullif({_PART(5)}, '') END AS query, {_EXT} AS extension, {_SERVER} AS server FROM entries",
+        "waterfall_offsets": f"WITH t AS (SELECT id, import_id, epoch_us(try_cast(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS us FROM entries WHERE {_CANON}) SELECT id, import_id, (us - min(us) OVER (PARTITION BY import_id)) // 1000 AS offset_ms FROM t WHERE us IS NOT NULL",
+        "navigation_sessions": f"""WITH t AS (SELECT id, import_id, started_at, CASE WHEN {_NAV} THEN 1 ELSE 0 END AS nav, row_number() OVER (PARTITION BY import_id ORDER BY started_at, id) AS k FROM entries WHERE page_id IS NULL AND started_at IS NOT NULL)
+SELECT id, import_id, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE nav END) OVER (PARTITION BY import_id ORDER BY k) AS BIGINT) AS session FROM t""",
+        "phase_layout": " UNION ALL ".join(
+            f"SELECT id, '{ph}' AS phase, round({a}, 6) AS start_ms, round({b}, 6) AS end_ms FROM entries WHERE {cond}"
+            for t1 in [f"({z['blocked']} + {z['dns']})"]
+            for t2 in [f"({t1} + {z['connect']} + CASE WHEN {alone} THEN {z['ssl']} ELSE 0.0 END)"]
+            for ph, a, b, cond in [
+                ("blocked", "CAST(0 AS DOUBLE)", z["blocked"], f"{p['blocked']} IS NOT NULL"), ("dns", z["blocked"], t1, f"{p['dns']} IS NOT NULL"), ("connect", t1, f"{t1} + {z['connect']}", f"{p['connect']} IS NOT NULL"),
+                ("send", t2, f"{t2} + {z['send']}", f"{p['send']} IS NOT NULL"), ("wait", f"{t2} + {z['send']}", f"{t2} + {z['send']} + {z['wait']}", f"{p['wait']} IS NOT NULL"),
+                ("receive", f"{t2} + {z['send']} + {z['wait']}", f"{t2} + {z['send']} + {z['wait']} + {z['receive']}", f"{p['receive']} IS NOT NULL"),
+                ("ssl", f"CASE WHEN {nested} THEN {t1} + {z['connect']} - {z['ssl']} ELSE {t1} END", f"CASE WHEN {nested} THEN {t1} + {z['connect']} ELSE {t1} + {z['ssl']} END", f"{nested} OR {alone}"),
+            ]
+        ),
+        "spans": f"""WITH s AS (SELECT *, coalesce(entry_hash, '') || '|' || coalesce(url, '') || '|' || coalesce(started_at, '') || '|' || id AS seed FROM entries)
+SELECT id, left(sha256(seed), 32) AS trace_id, left(sha256(seed || '|request'), 16) AS span_id, concat_ws(' ', upper(method), coalesce(path, '/')) AS name,
+  CASE WHEN status >= 400 THEN 'Error' WHEN status IS NOT NULL THEN 'Ok' ELSE 'Unset' END AS status_code, {_M('time_ms')} AS duration_ms FROM s""",
+        "ordinal_diff": f"""WITH a AS ({half(0)}), b AS ({half(1)}), j AS (SELECT coalesce(a.method, b.method) AS method, coalesce(a.url, b.url) AS url, coalesce(a.nth, b.nth) AS nth, a.nth AS la, b.nth AS rb, a.status AS left_status, b.status AS right_status, a.size AS left_size, b.size AS right_size, a.ms AS lm, b.ms AS rm
+  FROM a FULL JOIN b ON a.method IS NOT DISTINCT FROM b.method AND a.method = b.method AND a.url = b.url AND a.nth = b.nth)
+SELECT CASE WHEN la IS NULL THEN 'added' WHEN rb IS NULL THEN 'removed' ELSE 'changed' END AS change, method, url, CAST(nth AS INTEGER) AS nth, left_status, right_status, left_size, right_size FROM j
+WHERE la IS NULL OR rb IS NULL OR left_status IS DISTINCT FROM right_status OR left_size IS DISTINCT FROM right_size OR abs(lm - rm) > 1e-6 OR (lm IS NULL) <> (rm IS NULL)""",
+        "merge_entries": """WITH u AS (SELECT *, import_id % 2 AS f, row_number() OVER (ORDER BY import_id % 2, id) AS k FROM entries)
+SELECT method, url, started_at, status, arg_min(id, k) AS id, count(*) AS copies, arg_min(tls_version, k) FILTER (WHERE tls_version IS NOT NULL) AS tls_version, arg_min(request_id, k) FILTER (WHERE request_id IS NOT NULL) AS request_id FROM u GROUP BY method, url, started_at, status""",
+        "incremental_new": """WITH n AS (SELECT * FROM entries WHERE import_id % 2 = 1 AND (entry_hash IS NULL OR entry_hash NOT IN (SELECT entry_hash FROM entries WHERE import_id % 2 = 0 AND entry_hash IS NOT NULL)))
+SELECT min(id) AS id FROM n WHERE entry_hash IS NOT NULL GROUP BY entry_hash UNION ALL SELECT id FROM n WHERE entry_hash IS NULL""",
+        "api_operations": f"""WITH r AS (SELECT {_PATH} AS path, lower(method) AS method, status, nullif(lower(trim(split_part(response_mime_type, ';', 1))), '') AS mime, {_SERVER} AS server, CASE WHEN {_GOOD} THEN nullif({_PART(5)}, '') END AS q FROM entries),
+  k AS (SELECT * FROM r WHERE path IS NOT NULL AND method IS NOT NULL), n AS (SELECT path, method, split_part(unnest(string_split(q, '&')), '=', 1) AS name FROM k),
+  m AS (SELECT path, method, string_agg(DISTINCT name, ',' ORDER BY name) AS query_names FROM n WHERE name <> '' GROUP BY 1, 2)
+SELECT path, method, coalesce(string_agg(DISTINCT CAST(status AS VARCHAR), ',' ORDER BY CAST(status AS VARCHAR)), '') AS statuses, coalesce(string_agg(DISTINCT mime, ',' ORDER BY mime), '') AS response_types, coalesce(string_agg(DISTINCT server, ',' ORDER BY server), '') AS servers, count(*) AS n, any_value(query_names) AS query_names
+FROM k LEFT JOIN m USING (path, method) GROUP BY path, method""",
+        "pages_of_entries": "SELECT e.import_id, e.page_id, p.title, count(*) AS n FROM entries e LEFT JOIN pages p ON p.id = e.page_id AND p.import_id = e.import_id GROUP BY 1, 2, 3",
+        "bodies_of_entries": "SELECT e.id, e.response_body_hash AS hash, b.size, b.mime_type FROM entries e LEFT JOIN blobs b ON b.hash = e.response_body_hash WHERE e.response_body_hash IS NOT NULL",
+        "graphql_operations": "SELECT graphql_operation_type AS kind, graphql_operation_name AS name, count(*) AS n FROM entries WHERE graphql_operation_type IS NOT NULL GROUP BY 1, 2",
+        "graphql_by_field": "SELECT g.field, count(*) AS n, count(*) FILTER (WHERE e.status >= 400) AS failed FROM entries e JOIN graphql_fields g ON g.entry_id = e.id GROUP BY 1",
+        "search_bm25": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'manifest')) AS a, len(list_filter(t, lambda x: x = 'cookie')) AS b FROM d),
+  s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
+SELECT doc_id, round(-(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m))), 6) AS score FROM c, s WHERE a > 0 AND b > 0""",
+        "search_phrase": f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' known issue ')",
+        "search_prefix": f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS}, lambda x: starts_with(x, 'normalis'))) > 0",
+        "search_postings": f"SELECT token, item_id, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS.replace('text', 'passage')}) AS token FROM eval_items) GROUP BY 1, 2",
+        "mask_headers": "SELECT id, CASE WHEN request_headers::JSON->>'$.\"user-agent\"' IS NOT NULL THEN 'REDACTED' END AS agent FROM entries",
+        "mask_query": "SELECT id, regexp_replace(query_string, '(^|&)(ts|c.d)=[^&]*', '\\1\\2=REDACTED', 'gi') AS masked FROM entries WHERE query_string IS NOT NULL",
+        "mask_text": "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[0-9]{3,}', '$X', 'g'), 'issue', '$X', 'g')) AS digest FROM documents",
+        "pattern_counts": " UNION ALL ".join(f"SELECT * FROM (SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(text, '{v}')) AS n FROM documents) WHERE n > 0" for k, v in masking.PATTERNS.items()),
+        "sql_join_having": "SELECT i.status, count(*) AS n, count(DISTINCT e.host) AS hosts FROM entries e JOIN imports i ON i.id = e.import_id GROUP BY i.status HAVING count(*) > 5",
+        "sql_window": "SELECT import_id, id, CAST(r AS INTEGER) AS r FROM (SELECT import_id, id, row_number() OVER (PARTITION BY import_id ORDER BY id DESC) AS r FROM entries) WHERE r <= 3",
+        "sql_sets": "(SELECT request_body_hash AS h FROM entries UNION SELECT response_body_hash FROM entries) EXCEPT SELECT hash FROM blobs",
+        "sql_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+        "sql_subquery": "SELECT o_orderpriority, count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45) GROUP BY o_orderpriority",
+        "sql_json": "SELECT id, response_headers::JSON->>'$.server' AS server FROM entries WHERE response_headers::JSON->>'$.server' IS NOT NULL",
     }
