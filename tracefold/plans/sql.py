@@ -16,7 +16,7 @@ def single_statement(text: str) -> str:
 
     Semicolons inside quotes and comments don't count.
     """
-    bare = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", lambda m: " " * len(m[0]), text, flags=re.S)
+    bare = re.sub(r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", lambda m: (" " if m[0][0] in "-/" else "x") * len(m[0]), text, flags=re.S)
     body = bare.rstrip()
     while body.endswith(";"):
         body = body[:-1].rstrip()

@@ -1 +1,50 @@
-"""Part of tracefold."""
+"""Long-running work: watching a folder and folding network events into entries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def watch(spark: SparkSession, folder: str, checkpoint: str, load: Callable[[list[str], int], None], once: bool = False):
+    """Calls ``load`` with the new capture files of every round; the checkpoint remembers those seen.
+
+    Writers should rename finished files into the folder.
+    """
+    shape = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(shape).option("pathGlobFilter", "*.har*").option("recursiveFileLookup", "true").load(folder).select("path")
+
+    def each(df: DataFrame, batch: int) -> None:
+        paths = [r.path for r in df.toLocalIterator()]  # names of one round's new files
+        if paths:
+            load(paths, batch)
+
+    w = files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime="1 second")).start()
+
+
+def fold_events(events: DataFrame) -> DataFrame:
+    """Recorded network events as entries.
+
+    ``events``: ``seq``, ``request_id``, ``kind`` (sent, received, finished,
+    failed), ``at_ms``, ``url``, ``method``, ``status``. A request that is sent
+    again is a redirect: every sending starts a new entry of that id. Requests
+    without an end keep a NULL duration.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("request_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    e = events.withColumn("hop", F.sum((F.col("kind") == "sent").cast("int")).over(w)).where("hop > 0")
+    at = lambda *k: F.max(F.when(F.col("kind").isin(*k), F.col("at_ms")))
+    first = lambda c: F.min_by(c, F.when(F.col("kind") == "sent", F.col("seq")))
+    return e.groupBy("request_id", "hop").agg(
+        first("url").alias("url"), first("method").alias("method"), F.max("status").alias("status"), F.min("at_ms").alias("started_ms"),
+        (at("finished", "failed") - F.min("at_ms")).alias("time_ms"), F.coalesce(F.bool_or(F.col("kind") == "failed"), F.lit(False)).alias("failed"),
+    )
+
+
+def windowed_traffic(entries: DataFrame, at: str, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
+    """Requests and failures per host and window of a stream, late rows dropped after ``late``."""
+    return entries.withWatermark(at, late).groupBy(F.window(at, window).alias("w"), "host").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("failed")).select("w.start", "host", "n", "failed")
