@@ -148,7 +148,9 @@ def decoy(r: random.Random) -> str:
 def plain(r: random.Random) -> str:
     if r.random() < 0.12:
         f, w, x = r.choice(FIRST), r.choice(WORDS), syll(r).capitalize()
-        return r.choice([f"The {f} widget has no {w}.", f"Font {f} {r.choice(['Mono', 'Sans', x])} is {w}.", f"Build {r.randint(1, 40)}.{r.randint(0, 9)}.{digits(r, 3)}.{r.randint(0, 9)} is live.", f"The {x} {w} {w} the {w}.", f"{x} {r.choice(WORDS).capitalize()} and {syll(r).capitalize()} Studio are retired."])
+        cap = lambda: r.choice(WORDS).capitalize()
+        return r.choice([f"The {f} widget has no {w}.", f"Font {f} {r.choice(['Mono', 'Sans', x])} is {w}.", f"Build {r.randint(1, 40)}.{r.randint(0, 9)}.{digits(r, 3)}.{r.randint(0, 9)} is live.", f"The {x} {w} {w} the {w}.", f"{x} {r.choice(WORDS).capitalize()} and {syll(r).capitalize()} Studio are retired.",
+            f"{cap()} {cap()} and {cap()} {cap()} are {w}.", f"{cap()} {cap()} Edition adds a {cap()} {cap()}.", f"Port {r.choice(['8080', digits(r, 4)])}, shard {digits(r, 2)}-{digits(r, 2)}-{digits(r, 4)}.", f'"hint":"{cap()} {cap()} and {cap()} {cap()} are {w}."'])
     if r.random() < 0.5:
         return decoy(r)
     s = " ".join(r.choice([r.choice(WORDS), syll(r), r.choice(WORDS), digits(r, r.randint(1, 4))]) for _ in range(r.randint(3, 9)))
@@ -162,6 +164,11 @@ def fact(r: random.Random, kind: str) -> list[Span]:
     """A phrase, a JSON member or a parameter that holds one of the kind, as (text, kind or None) parts."""
     value = MAKE[kind](r)
     x = r.random()
+    if kind in ("name", "phone", "id_number") and x > 0.85:
+        before, after = (" ".join(r.choice(WORDS) for _ in range(r.randint(1, 3))) for _ in range(2))
+        return [(before.capitalize() + " ", None), (value, kind), (r.choice([" ", ", ", ". "]) + after, None)]
+    if kind == "id_number" and x < 0.3:
+        return [(f'"{r.choice(KEYS[kind])}":{r.choice(["", " "])}"', None), (value, kind), ('"' + r.choice([",", "}", "}}", "},{"]), None)]
     if kind == "name" and x < 0.12:
         f, s = r.choice(FIRST), last(r)
         gap = r.choice(["", " "])
@@ -248,13 +255,13 @@ def held_out(w: dict, seed: int = 10**9, n: int = 2000, width: int = 96) -> dict
     return out | {k: float((kind == i + 1)[true == i + 1].mean()) for i, k in enumerate(KINDS)}
 
 
-def train(steps: int, seconds: float, workers: int = 8, n: int = 64, width: int = 96, rate: float = 4e-3, path: str = WEIGHTS, resume: bool = False) -> None:
+def train(steps: int, seconds: float, workers: int = 8, n: int = 64, width: int = 96, rate: float = 2e-3, path: str = WEIGHTS, resume: bool = False) -> None:
     import time
 
     w = load(path) if resume else new_weights()
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v = {k: np.zeros_like(x) for k, x in w.items()}
-    began, seed0 = time.time(), 1 + (70_000_000 if resume else 0)
+    began, seed0 = time.time(), 1 + (110_000_000 if resume else 0)
     with Pool(workers) as pool:
         for step in range(1, steps + 1):
             done = min(1.0, max(step / steps, (time.time() - began) / seconds))
