@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, search, timestamps, views
+from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, matching, search, timestamps, views
 from tracefold.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +92,10 @@ def queries() -> dict[str, Query]:
         "incremental_new": _halves(lambda a, b: views.new_entries(b, a)),
         "header_diff": _on("entries", lambda e: e.select("id", views.header_changes(F.col("request_headers"), F.col("response_headers")).cast("long").alias("changes"))),
         "api_operations": _on("entries", views.api_operations),
+        "strict_match": _halves(matching.strict_match),
+        "certificate_list": _on("entries", lambda e: matching.certificate_list(e, "2026-01-01")),
+        "request_chains": _on("entries", matching.request_chains),
+        "time_range": _on("entries", lambda e: matching.time_range(e.where(F.col("started_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{3}Z$")))),
         "pages_of_entries": _two("entries", "pages", lambda e, p: e.join(p.select(F.col("id").alias("page_id"), "import_id", "title"), ["page_id", "import_id"], "left").groupBy("import_id", "page_id", "title").agg(F.count(F.lit(1)).alias("n"))),
         "bodies_of_entries": _two("entries", "blobs", lambda e, b: e.where("response_body_hash is not null").select("id", F.col("response_body_hash").alias("hash")).join(b.select("hash", "size", "mime_type"), "hash", "left")),
         "graphql_operations": _on("entries", _graphql),
@@ -207,6 +211,12 @@ SELECT min(id) AS id FROM n WHERE entry_hash IS NOT NULL GROUP BY entry_hash UNI
   m AS (SELECT path, method, string_agg(DISTINCT name, ',' ORDER BY name) AS query_names FROM n WHERE name <> '' GROUP BY 1, 2)
 SELECT path, method, coalesce(string_agg(DISTINCT CAST(status AS VARCHAR), ',' ORDER BY CAST(status AS VARCHAR)), '') AS statuses, coalesce(string_agg(DISTINCT mime, ',' ORDER BY mime), '') AS response_types, coalesce(string_agg(DISTINCT server, ',' ORDER BY server), '') AS servers, count(*) AS n, any_value(query_names) AS query_names
 FROM k LEFT JOIN m USING (path, method) GROUP BY path, method""",
+        "strict_match": """WITH r AS (SELECT upper(method) AS m, url, id, status, row_number() OVER (PARTITION BY upper(method), url ORDER BY coalesce(started_at, '') DESC, id DESC) AS k FROM entries WHERE import_id % 2 = 1)
+SELECT e.id, r.id AS recording_id, r.status AS recorded_status FROM entries e LEFT JOIN r ON r.m = upper(e.method) AND r.url = e.url AND r.k = 1 WHERE e.import_id % 2 = 0""",
+        "certificate_list": "SELECT DISTINCT host, tls_cert_subject, tls_cert_issuer, tls_cert_expiry, tls_version, tls_cipher_suite, tls_cert_expiry <= '2026-01-01' AS expired FROM entries WHERE tls_cert_expiry IS NOT NULL",
+        "request_chains": "SELECT count(*) AS entries, count(request_id) AS with_request_id, count(parent_request_id) AS with_parent, count(initiator_type) AS with_initiator, count(redirect_url) AS with_redirect FROM entries",
+        "time_range": f"""WITH t AS (SELECT epoch_us(try_cast(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS us, CASE WHEN NOT isnan(time_ms) AND time_ms >= 0 AND time_ms < 1e12 THEN time_ms ELSE 0 END AS ms FROM entries WHERE {_CANON})
+SELECT min(us) AS first_us, max(us) AS last_us, max(us + CAST(round(ms * 1000) AS BIGINT)) AS end_us FROM t WHERE us IS NOT NULL""",
         "pages_of_entries": "SELECT e.import_id, e.page_id, p.title, count(*) AS n FROM entries e LEFT JOIN pages p ON p.id = e.page_id AND p.import_id = e.import_id GROUP BY 1, 2, 3",
         "bodies_of_entries": "SELECT e.id, e.response_body_hash AS hash, b.size, b.mime_type FROM entries e LEFT JOIN blobs b ON b.hash = e.response_body_hash WHERE e.response_body_hash IS NOT NULL",
         "graphql_operations": "SELECT graphql_operation_type AS kind, graphql_operation_name AS name, count(*) AS n FROM entries WHERE graphql_operation_type IS NOT NULL GROUP BY 1, 2",
