@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.operators.timestamps import readable_starts
+
 
 def strict_match(requests: DataFrame, recordings: DataFrame) -> DataFrame:
     """For each request the latest recording of its method and URL, NULL without one.
@@ -31,9 +33,12 @@ def request_chains(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count(F.lit(1)).alias("entries"), *(F.count(c).alias(n) for n, c in names.items()))
 
 
-def time_range(entries: DataFrame) -> DataFrame:
-    """First and last start of canonical times, and the end of the entry that ends last, in microseconds."""
-    us = F.unix_micros(F.try_to_timestamp("started_at"))
+def time_range(entries: DataFrame, zones: DataFrame) -> DataFrame:
+    """First and last readable start, and the end of the entry that ends last, in microseconds.
+
+    ``zones`` gives the recording zone of an import, for starts without one.
+    """
+    rows = readable_starts(entries.select("import_id", "started_at", "time_ms"), zones)
     ms = F.when(~F.isnan("time_ms") & (F.col("time_ms") >= 0) & (F.col("time_ms") < 1e12), F.col("time_ms")).otherwise(0.0)
-    rows = entries.select(us.alias("us"), ms.alias("ms")).where("us is not null")
+    rows = rows.select(F.col("start_us").alias("us"), ms.alias("ms"))
     return rows.agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max(F.col("us") + F.round(F.col("ms") * 1000).cast("long")).alias("end_us"))

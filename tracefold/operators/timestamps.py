@@ -71,6 +71,15 @@ def import_zones(spark: SparkSession, store: str) -> DataFrame:
     return table(spark, store, "imports").select(F.col("id").alias("import_id"), zone_of(F.col("log_extensions")).alias("zone"))
 
 
+def readable_starts(entries: DataFrame, zones: DataFrame) -> DataFrame:
+    """``entries`` whose start is readable in any notation, with its instant ``start_us``.
+
+    ``zones`` has ``import_id`` and ``zone``, as import_zones gives them.
+    """
+    e = entries.where(F.col("started_at").isNotNull()).join(zones, "import_id", "left")
+    return with_instant(e, F.col("started_at"), F.col("zone"), "start_us").drop("zone").where(F.col("start_us").isNotNull())
+
+
 def recorded_starts(spark: SparkSession, store: str) -> DataFrame:
     """``started_at`` of entries and pages with the zone of their import."""
     entries = table(spark, store, "entries").select(F.lit("entries").alias("table_name"), "import_id", F.col("id").cast("string").alias("row_key"), F.col("started_at").alias("raw"))

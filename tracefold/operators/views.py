@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefold.operators.hosts import measured
+from tracefold.operators.timestamps import readable_starts
 from tracefold.plans.scan import running_sum
 
 
@@ -32,12 +33,16 @@ def server_base(url: Column) -> Column:
     return F.concat(u["scheme"], F.lit("://"), u["host"], port)
 
 
-def offsets(entries: DataFrame) -> DataFrame:
-    """Whole milliseconds of each canonical start since the first of its import."""
-    us = F.unix_micros(F.try_to_timestamp("started_at"))
-    rows = entries.select("id", "import_id", us.alias("us")).where(F.col("us").isNotNull())
-    first = rows.groupBy("import_id").agg(F.min("us").alias("first_us"))
-    return rows.join(first, "import_id").select("id", "import_id", F.floor((F.col("us") - F.col("first_us")) / 1000).cast("long").alias("offset_ms"))
+def offsets(entries: DataFrame, zones: DataFrame) -> DataFrame:
+    """Whole milliseconds of each readable start since the first of its import.
+
+    ``zones`` gives the recording zone of an import, for starts without one.
+    """
+    rows = readable_starts(entries.select("id", "import_id", "started_at"), zones)
+    first = rows.groupBy("import_id").agg(F.min("start_us").alias("first_us"))
+    # equal NULLs: entries of no import are offset among themselves
+    j = rows.alias("r").join(first.alias("f"), F.col("r.import_id").eqNullSafe(F.col("f.import_id")))
+    return j.select("r.id", "r.import_id", F.expr("(start_us - first_us) div 1000").alias("offset_ms"))
 
 
 def is_navigation() -> Column:

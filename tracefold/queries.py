@@ -21,6 +21,11 @@ def _two(a: str, b: str, f: Callable[[DataFrame, DataFrame], DataFrame]) -> Quer
     return lambda spark, store: f(table(spark, store, a), table(spark, store, b))
 
 
+def _zoned(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Entries with the recording zone of each import."""
+    return lambda spark, store: f(table(spark, store, "entries"), timestamps.import_zones(spark, store))
+
+
 def _halves(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     """Entries of even imports against those of odd ones."""
     def run(spark: SparkSession, store: str) -> DataFrame:
@@ -83,7 +88,7 @@ def queries() -> dict[str, Query]:
         "filter_extension": _filtered(extensions=["css,js", "png"]),
         "filter_sample": _on("entries", lambda e: filters.stable_sample(e, ["entry_hash", "url", "started_at"], 0.25).select("id")),
         "url_parts": _on("entries", lambda e: e.select("id", *(c.alias(k) for k, c in views.url_parts(F.col("url")).items()), filters.url_extension(F.col("url")).alias("extension"), views.server_base(F.col("url")).alias("server"))),
-        "waterfall_offsets": _on("entries", lambda e: views.offsets(e.where(F.col("started_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{3}Z$")))),
+        "waterfall_offsets": _zoned(views.offsets),
         "navigation_sessions": _on("entries", views.navigation_sessions),
         "phase_layout": _on("entries", views.phase_layout),
         "spans": _on("entries", views.spans),
@@ -95,7 +100,7 @@ def queries() -> dict[str, Query]:
         "strict_match": _halves(matching.strict_match),
         "certificate_list": _on("entries", lambda e: matching.certificate_list(e, "2026-01-01")),
         "request_chains": _on("entries", matching.request_chains),
-        "time_range": _on("entries", lambda e: matching.time_range(e.where(F.col("started_at").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{3}Z$")))),
+        "time_range": _zoned(matching.time_range),
         "pages_of_entries": _two("entries", "pages", lambda e, p: e.join(p.select(F.col("id").alias("page_id"), "import_id", "title"), ["page_id", "import_id"], "left").groupBy("import_id", "page_id", "title").agg(F.count(F.lit(1)).alias("n"))),
         "bodies_of_entries": _two("entries", "blobs", lambda e, b: e.where("response_body_hash is not null").select("id", F.col("response_body_hash").alias("hash")).join(b.select("hash", "size", "mime_type"), "hash", "left")),
         "graphql_operations": _on("entries", _graphql),
