@@ -43,3 +43,12 @@ def test_registered_offsets_read_every_notation(spark):
     assert {r.id for r in queries()["waterfall_offsets"](spark, store).collect()} == set(us)
     got = queries()["time_range"](spark, store).first()
     assert (got.first_us, got.last_us) == (min(us.values()), max(us.values()))
+
+
+def test_sessions_follow_the_instant(spark):
+    e, zones, rows = captured(spark)
+    want, run = set(), {}
+    for i, k, _, _, url, method, mime, page, us in sorted((x for x in rows if x[-1] is not None and x[-2] is None), key=lambda x: (x[1], x[-1], x[4] or "<unknown>", x[0])):
+        run[k] = run.get(k, 0) + (k not in run or (method.upper() == "GET" and "text/html" in (mime or "")))
+        want.add((i, k, run[k]))
+    assert {(r.id, r.import_id, r.session) for r in views.navigation_sessions(e, zones).collect()} == want

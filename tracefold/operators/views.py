@@ -49,16 +49,17 @@ def is_navigation() -> Column:
     return (F.upper("method") == "GET") & F.lower(F.coalesce("response_mime_type", F.lit(""))).rlike("text/html|application/xhtml\\+xml")
 
 
-def navigation_sessions(entries: DataFrame) -> DataFrame:
-    """Numbers the navigations among entries without a page, per import in order of (started_at, id).
+def navigation_sessions(entries: DataFrame, zones: DataFrame) -> DataFrame:
+    """Numbers the navigations among entries without a page, per import in order of (instant, url, id).
 
-    The first such entry opens session 1. The running count crosses partitions
-    by a carried sum, so an import of any size is spread.
+    The first such entry opens session 1; entries with an unreadable start are
+    in none. ``zones`` gives the recording zone of an import. The running count
+    crosses partitions by a carried sum, so an import of any size is spread.
     """
-    rows = entries.where(F.col("page_id").isNull() & F.col("started_at").isNotNull())
-    rows = rows.select("import_id", "started_at", "id", is_navigation().cast("long").alias("nav"))
-    n = running_sum(rows, ["import_id"], ["started_at", "id"], "nav", "earlier")
-    first = rows.groupBy("import_id").agg(F.min_by("nav", F.struct("started_at", "id")).alias("first_nav"))
+    rows = entries.where(F.col("page_id").isNull()).select("import_id", "started_at", F.coalesce("url", F.lit("<unknown>")).alias("url"), "id", F.coalesce(is_navigation(), F.lit(False)).cast("long").alias("nav"))
+    order = ["start_us", "url", "id"]
+    n = running_sum(readable_starts(rows, zones).select("import_id", *order, "nav"), ["import_id"], order, "nav", "earlier")
+    first = n.groupBy("import_id").agg(F.min_by("nav", F.struct(*order)).alias("first_nav"))
     return n.join(first, "import_id").select("id", "import_id", (F.col("earlier") + F.col("nav") + 1 - F.col("first_nav")).alias("session"))
 
 

@@ -89,7 +89,7 @@ def queries() -> dict[str, Query]:
         "filter_sample": _on("entries", lambda e: filters.stable_sample(e, ["entry_hash", "url", "started_at"], 0.25).select("id")),
         "url_parts": _on("entries", lambda e: e.select("id", *(c.alias(k) for k, c in views.url_parts(F.col("url")).items()), filters.url_extension(F.col("url")).alias("extension"), views.server_base(F.col("url")).alias("server"))),
         "waterfall_offsets": _zoned(views.offsets),
-        "navigation_sessions": _on("entries", views.navigation_sessions),
+        "navigation_sessions": _zoned(views.navigation_sessions),
         "phase_layout": _on("entries", views.phase_layout),
         "spans": _on("entries", views.spans),
         "ordinal_diff": _halves(views.ordinal_diff),
