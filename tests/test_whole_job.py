@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 from test_instants import plain
 
-from tracefold.operators import matching, views
+from tracefold.operators import hierarchy, matching, views
 
 STARTS = [
     "2025-03-05T10:00:01.500Z", "2025-03-05T12:00:00.250+02:00", "2025-03-05T10:00:00Z", "2025-03-05T10:00:00.123456Z", "05 Mar 2025 10:00:02 GMT", "03/05/2025 10:00:03", "1741168800",
@@ -52,3 +52,12 @@ def test_sessions_follow_the_instant(spark):
         run[k] = run.get(k, 0) + (k not in run or (method.upper() == "GET" and "text/html" in (mime or "")))
         want.add((i, k, run[k]))
     assert {(r.id, r.import_id, r.session) for r in views.navigation_sessions(e, zones).collect()} == want
+
+
+def test_depth_below_loops_counts_the_steps(spark):
+    n = [(1, "x", "y"), (1, "y", "z"), (1, "z", "x"), (1, "b1", "x"), (1, "b2", "b1"), (1, "self", "self"), (1, "top", None), (1, "kid", "top")]
+    n += [(1, f"c{i:02d}", f"c{i - 1:02d}" if i else "z") for i in range(21)] + [(2, "b1", "b1"), (2, "b2", "b1"), (2, "a", "b2")]
+    h = {(r.s, r.v): r for r in hierarchy.hierarchy(spark.createDataFrame(n, "s int, v string, p string"), "s", "v", "p").collect()}
+    assert len(h) == len(n) and [h[1, v].depth for v in ("x", "z", "self", "b1", "b2", "kid")] == [0, 0, 0, 1, 2, 1]
+    assert [h[1, f"c{i:02d}"].depth for i in range(21)] == list(range(1, 22))
+    assert [(h[2, v].on_loop, h[2, v].depth) for v in ("b1", "b2", "a")] == [("loop", 0), ("below", 1), ("below", 2)]

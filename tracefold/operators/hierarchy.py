@@ -114,7 +114,7 @@ def _loops(spool: Spool, rest: DataFrame) -> DataFrame:
     Every node of ``rest`` has its parent there. low is the smallest node among
     the first 2**k on its way, itself first. Once the set of nodes reached stops
     shrinking, it is exactly the loops; once low stops changing, it is the
-    minimum of the loop for nodes on one.
+    minimum of the loop for nodes on one. depth counts the steps to the loop.
     """
     t = spool.put("loop", rest.select("s", "v", "p", F.col("p").alias("far"), F.col("v").alias("low")))
     seen = None
@@ -126,12 +126,24 @@ def _loops(spool: Spool, rest: DataFrame) -> DataFrame:
         if seen == now[0] and not now[1]:
             break
         seen = now[0]
-    on = t.select(F.col("s").alias("bs"), F.col("far").alias("bv")).distinct()
+    on = t.select("s", F.col("far").alias("v")).distinct()
     lows = t.select(F.col("s").alias("ls"), F.col("v").alias("lv"), F.col("low").alias("root"))
     r = t.join(lows, (t.s == lows.ls) & (t.far == lows.lv)).select("s", "v", "p", "root")
-    r = r.join(on, (r.s == on.bs) & (r.v == on.bv), "left")
-    r = r.select("s", "v", "p", "root", F.when(F.col("bv").isNotNull(), "loop").otherwise("below").alias("on_loop"))
-    return r.withColumn("depth", F.when(F.col("on_loop") == "loop", F.lit(0).cast("long")))
+    r = r.join(on.withColumn("on", F.lit(True)), ["s", "v"], "left")
+    r = spool.put("placed", r.select("s", "v", "p", "root", F.when(F.col("on"), "loop").otherwise("below").alias("on_loop")))
+    spool.drop("loop")
+    return r.join(_steps(spool, r), ["s", "v"])
+
+
+def _steps(spool: Spool, placed: DataFrame) -> DataFrame:
+    """How many steps each node is from its loop, by doubling; nodes on one are 0 away and are the ends of all ways."""
+    here = F.col("on_loop") == "loop"
+    t = spool.put("steps", placed.select("s", "v", F.when(~here, F.col("p")).alias("far"), (~here).cast("long").alias("depth")))
+    while not t.where(F.col("far").isNotNull()).isEmpty():
+        b = t.select("s", F.col("v").alias("far"), F.col("far").alias("bfar"), F.col("depth").alias("bdepth"))
+        j = t.where(F.col("far").isNotNull()).join(b, ["s", "far"])
+        t = spool.put("steps", t.where(F.col("far").isNull()).unionByName(j.select("s", "v", F.col("bfar").alias("far"), (F.col("depth") + F.col("bdepth")).alias("depth"))))
+    return t.select("s", "v", "depth")
 
 
 def descendants(placed: DataFrame, of: DataFrame, space: str, node: str) -> DataFrame:
