@@ -3,7 +3,9 @@
 Walking a tree level by level takes as many rounds as the tree is deep. Both
 passes here double their reach instead: after round k a node knows everything
 about its 2**k nearest ancestors, or descendants within that distance, so a
-chain of a million nodes takes twenty rounds.
+chain of a million nodes takes twenty rounds. A node that has reached its root
+is done and moves no more; a round shuffles only those still going. The passes
+work on numbers given to the nodes, names join in at the ends.
 """
 
 from __future__ import annotations
@@ -15,12 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracefold.plans.scan import running_sum
+from tracefold.plans.scan import carried_last, running_sum
 from tracefold.plans.shared import Spool
 from tracefold.sources import table
 
 
-def hierarchy(nodes: DataFrame, space: str, node: str, parent: str, ranges: bool = True, paths: bool = True) -> DataFrame:
+def hierarchy(nodes: DataFrame, space: str, node: str, parent: str, paths: bool = True) -> DataFrame:
     """Place every node of a forest given by parent links.
 
     ``nodes`` has one row per (``space``, ``node``); links stay inside a space.
@@ -29,83 +31,101 @@ def hierarchy(nodes: DataFrame, space: str, node: str, parent: str, ranges: bool
     ``subtree_size``, ``first_no`` and ``last_no`` (its nested-set range within
     the space: its descendants are the nodes numbered first_no+1..last_no),
     ``path`` (array from the root down) and ``on_loop``: 'tree', 'loop' or
-    'below'. On or below a loop root is the smallest node of the loop and the
-    other measures are NULL, except depth, which counts steps to the loop.
+    'below'. The root is read off the ranges: it is the root whose range holds
+    the node's number. On or below a loop, where no range is ever completed,
+    root is the smallest node of the loop and the other measures are NULL,
+    except depth, which counts steps to the loop.
 
     Nodes with a NULL space or node are left out. Repeated rows must be removed
-    before. Siblings are numbered in the order of their ids.
+    before. Siblings are numbered in the order of their ids. An empty table
+    gives no rows.
     """
     spool = Spool(nodes.sparkSession)
     n = nodes.select(F.col(space).alias("s"), F.col(node).alias("v"), F.col(parent).alias("p")).where(F.col("s").isNotNull() & F.col("v").isNotNull())
-    there = n.select(F.col("s").alias("ps"), F.col("v").alias("pv"))
-    n = n.join(there, (n.s == there.ps) & (n.p == there.pv), "left").select("s", "v", F.col("pv").alias("p"))
-    links = spool.put("links", n)
-
-    # Upward: up is the ancestor min(2**k, depth) steps away, steps that number, size the
-    # descendants (itself included) nearer than 2**k.
-    t = spool.put("up", links.select("s", "v", F.coalesce("p", "v").alias("up"), F.col("p").isNotNull().cast("long").alias("steps"), F.lit(1).cast("long").alias("size")))
-    reach, left, looped = 1, None, False
-    while True:
-        going = F.col("steps") == reach
-        count = t.where(going).count()
-        if count == 0:
-            break
-        if count == left:
-            # Nobody stopped between reach/2 and reach, so nobody who goes on ever stops.
-            looped = True
-            break
-        left = count
-        a, b = t.where(going).alias("a"), t.alias("b")
-        jump = a.join(b, (F.col("a.s") == F.col("b.s")) & (F.col("a.up") == F.col("b.v"))).select(
-            F.col("a.s").alias("s"), F.col("a.v").alias("v"), F.col("b.up").alias("up"), (F.col("a.steps") + F.col("b.steps")).alias("steps"), F.lit(0).cast("long").alias("size")
-        )
-        gain = t.where(going).groupBy("s", F.col("up").alias("v")).agg(F.sum("size").alias("size"))
-        # one regrouping brings together a node's old row, its jump and what its far descendants add
-        old = t.select("s", "v", F.when(~going, F.col("up")).alias("up"), F.when(~going, F.col("steps")).alias("steps"), "size")
-        parts = old.unionByName(jump).unionByName(gain.select("s", "v", F.lit(None).cast("string").alias("up"), F.lit(None).cast("long").alias("steps"), "size"))
-        t = spool.put("up", parts.groupBy("s", "v").agg(F.max("up").alias("up"), F.max("steps").alias("steps"), F.sum("size").alias("size")))
-        reach *= 2
-
-    stopped = F.col("steps") < reach if looped else F.lit(True)
-    tree = t.where(stopped).select("s", "v", F.col("up").alias("root"), F.col("steps").alias("depth"), F.col("size").alias("subtree_size"))
-    placed = tree.join(links, ["s", "v"])
-    if ranges or paths:
-        placed = _downward(spool, placed, ranges, paths)
-    else:
-        placed = placed.select("*", F.lit(None).cast("long").alias("first_no"), F.lit(None).cast("array<string>").alias("path"))
-    out = placed.select("s", "v", "p", "root", "depth", "subtree_size", "first_no", (F.col("first_no") + F.col("subtree_size") - 1).alias("last_no"), "path", F.lit("tree").alias("on_loop"))
-    if looped:
-        rest = t.where(~stopped).select("s", "v").join(links, ["s", "v"])
+    n = spool.put("nodes", n.withColumn("id", F.monotonically_increasing_id()))
+    there = n.select(F.col("s").alias("ps"), F.col("v").alias("pv"), F.col("id").alias("pid"))
+    links = n.where("p is not null").join(there, (F.col("s") == F.col("ps")) & (F.col("p") == F.col("pv"))).select("s", "v", "id", "p", "pid")
+    links = links.unionByName(n.join(links.select("id"), "id", "left_anti").select("s", "v", "id", F.lit(None).cast(n.schema["p"].dataType).alias("p"), F.lit(None).cast("long").alias("pid")))
+    links = spool.put("links", links)
+    spool.drop("nodes")
+    done, gains, lost = _upward(spool, links)
+    size = gains.groupBy("id").agg(F.sum("gain").alias("gain"))
+    placed = links.join(done, "id").join(size, "id", "left").withColumn("subtree_size", F.coalesce("gain", F.lit(0)) + 1).drop("gain")
+    # roots of a space are siblings of one another; the scan splits large families over partitions
+    placed = spool.put("placed", running_sum(placed, ["s", "pid"], ["v"], "subtree_size", "before"))
+    numbers = _downward(spool, placed, paths)
+    kept = placed.select("id", "s", "v", "p", "depth", "subtree_size").join(numbers, "id").drop("id")
+    out = carried_last(kept.withColumn("__top", F.when(F.col("p").isNull(), F.col("v"))), ["s"], ["first_no"], "__top", "root")
+    last = F.col("first_no") + F.col("subtree_size") - 1
+    cols = ["s", "v", "p", "root", "depth", "subtree_size", "first_no", last.alias("last_no"), "path", F.lit("tree").alias("on_loop")]
+    out = out.select(*cols)
+    if lost is not None:
         none = F.lit(None).cast("long")
-        lost = _loops(spool, rest).select("s", "v", "p", "root", "depth", none.alias("subtree_size"), none.alias("first_no"), none.alias("last_no"), F.lit(None).cast("array<string>").alias("path"), "on_loop")
-        out = out.unionByName(lost)
+        rest = _loops(spool, links.join(lost, "id").select("s", "v", "p"))
+        out = out.unionByName(rest.select("s", "v", "p", "root", "depth", none.alias("subtree_size"), none.alias("first_no"), none.alias("last_no"), F.lit(None).cast(out.schema["path"].dataType).alias("path"), "on_loop"))
+    out = spool.finish(out)
     return out.select(F.col("s").alias(space), F.col("v").alias(node), F.col("p").alias(parent), *(c for c in out.columns if c not in "svp"))
 
 
-def _downward(spool: Spool, placed: DataFrame, ranges: bool, paths: bool) -> DataFrame:
-    """Preorder numbers: a node's place is the sum of sibling offsets along its path."""
-    if ranges:
-        # roots of a space are siblings of one another; the scan splits large families over partitions
-        t = running_sum(placed, ["s", "p"], ["v"], "subtree_size", "before")
-        t = t.withColumn("first_no", F.col("before") + F.col("p").isNotNull().cast("long")).drop("before")
-    else:
-        t = placed.withColumn("first_no", F.lit(0).cast("long"))
+def _round(spool: Spool, name: str, turn: int, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes the outcome of a round; gives the rows still going and those that are done, each as files of its own."""
+    path = f"{spool.root}/{name}-rounds/{turn}"
+    df.write.partitionBy("go").parquet(path)
+    read = spool.spark.read.schema(df.drop("go").schema)
+    return tuple(read.parquet(f"{path}/go={k}") if spool.holds(f"{path}/go={k}") else spool.spark.createDataFrame([], df.drop("go").schema) for k in ("true", "false"))
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _upward(spool: Spool, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Depths and subtree sizes: ``id``, ``depth`` of tree nodes; ``id``, ``gain`` to be summed; ids on or below loops.
+
+    A going node's ``up`` is its ancestor 2**k steps away and ``size`` counts its
+    descendants (itself included) nearer than that. If a round lets nobody reach
+    a root, nobody ever will: those left are on or below loops.
+    """
+    done = [links.where("pid is null").select("id", F.lit(0).cast("long").alias("depth"))]
+    going = links.where("pid is not null").select("id", F.col("pid").alias("up"), F.lit(1).cast("long").alias("size"))
+    gains, reach, turn = [], 1, 0
+    left = going.count()
+    while left:
+        gain = spool.put(f"gain{turn}", going.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("gain")))
+        gains.append(gain)
+        ends = [d.select(F.col("id").alias("up"), F.lit(None).cast("long").alias("next"), "depth") for d in done]
+        state = _together([going.select(F.col("id").alias("up"), F.col("up").alias("next"), F.lit(0).cast("long").alias("depth")), *ends])
+        moved = going.join(state, "up").join(gain, "id", "left")
+        moved = moved.select("id", F.col("next").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), (F.col("depth") + reach).alias("depth"), F.col("next").isNotNull().alias("go"))
+        going, ended = _round(spool, "up", turn, moved)
+        going = going.select("id", "up", "size")
+        done.append(ended.select("id", "depth"))
+        now = going.count()
+        if now == left:
+            return _together(done), _together(gains), going.select("id")
+        reach, turn, left = 2 * reach, turn + 1, now
+    return _together(done), _together(gains) if gains else links.limit(0).select("id", F.lit(0).cast("long").alias("gain")), None
+
+
+def _downward(spool: Spool, placed: DataFrame, paths: bool) -> DataFrame:
+    """Preorder numbers ``id``, ``first_no``, ``path``: a node's place is the sum of sibling offsets along its path.
+
+    ``far`` is the ancestor whose own sum is still to be added.
+    """
     path = F.array(F.col("v")) if paths else F.lit(None).cast("array<string>")
-    # far: the ancestor whose own sum is still to be added
-    t = spool.put("down", t.withColumns({"far": F.col("p"), "path": path, "go": F.col("depth")}))
-    most = t.agg(F.max("go")).first()[0] or 0
-    reach = 1
-    while reach <= most:
-        a = t.where(F.col("far").isNotNull()).alias("a")
-        b = t.select(F.col("s").alias("bs"), F.col("v").alias("bv"), F.col("far").alias("bfar"), F.col("first_no").alias("bno"), F.col("path").alias("bpath"))
-        j = a.join(b, (F.col("a.s") == F.col("bs")) & (F.col("a.far") == F.col("bv")))
-        moved = j.select(
-            *(F.col(f"a.{c}") for c in t.columns if c not in ("far", "first_no", "path")),
-            F.col("bfar").alias("far"), (F.col("a.first_no") + F.col("bno")).alias("first_no"), F.concat("bpath", "a.path").alias("path"),
-        )
-        t = spool.put("down", t.where(F.col("far").isNull()).unionByName(moved))
-        reach *= 2
-    return t.drop("far", "go")
+    t = placed.select("id", F.col("pid").alias("far"), (F.col("before") + F.col("pid").isNotNull().cast("long")).alias("first_no"), path.alias("path"))
+    going, done, turn = t.where("far is not null"), [t.where("far is null").drop("far")], 0
+    while not going.isEmpty():
+        b = _together([going.select("id", "far", "first_no", "path"), *(d.select("id", F.lit(None).cast("long").alias("far"), "first_no", "path") for d in done)])
+        b = b.select(F.col("id").alias("far"), F.col("far").alias("next"), F.col("first_no").alias("more"), F.col("path").alias("head"))
+        moved = going.join(b, "far").select("id", F.col("next").alias("far"), (F.col("first_no") + F.col("more")).alias("first_no"), F.concat("head", "path").alias("path"), F.col("next").isNotNull().alias("go"))
+        going, ended = _round(spool, "down", turn, moved)
+        done.append(ended.drop("far"))
+        turn += 1
+    return _together(done)
 
 
 def _loops(spool: Spool, rest: DataFrame) -> DataFrame:
@@ -187,7 +207,8 @@ def resolve_redirect(target: str | None, base: str | None) -> str | None:
 
 @F.pandas_udf(T.StringType())
 def _resolved(target: pd.Series, base: pd.Series) -> pd.Series:
-    return pd.Series([resolve_redirect(t, b) for t, b in zip(target, base)], dtype=object)
+    known = {k: resolve_redirect(*k) for k in set(zip(target, base))}
+    return pd.Series([known[k] for k in zip(target, base)], dtype=object)
 
 
 def request_links(spark: SparkSession, store: str) -> DataFrame:
@@ -213,6 +234,13 @@ def p1_hierarchy(spark: SparkSession, store: str) -> DataFrame:
     return h.withColumn("path", F.array_join("path", "/"))
 
 
+def p1_descendants(spark: SparkSession, store: str) -> DataFrame:
+    """Every request of a tree with each of its descendants, through the nested-set ranges."""
+    h = hierarchy(request_links(spark, store), "import_id", "request_id", "parent_request_id", paths=False)
+    return descendants(h, h, "import_id", "request_id")
+
+
 def p1_found(spark: SparkSession, store: str) -> DataFrame:
+    """Requests that have a parent, with the root whose range holds them (on or below a loop: its smallest request)."""
     h = hierarchy(request_links(spark, store), "import_id", "request_id", "parent_request_id", paths=False)
     return h.where(F.col("parent_request_id").isNotNull()).select("import_id", "request_id", F.col("root").alias("root_request_id"))

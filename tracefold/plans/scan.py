@@ -173,3 +173,53 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], value: str, ou
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(run)], names=[*names, out])
 
     return ordered_scan(df, keys, order, summarise, combine, rescan, schema)
+
+
+def carried_last(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` without ``value`` and with ``out``: the last ``value`` that is not NULL, up to and including the row.
+
+    The value carries on across partitions as long as the keys stay the same; it
+    is NULL before the first. An empty table stays empty.
+    """
+    import numpy as np
+    import pyarrow.compute as pc
+
+    names = [c for c in df.columns if c != value]
+    schema = T.StructType([*(f for f in df.schema.fields if f.name != value), T.StructField(out, df.schema[value].dataType)])
+
+    def filled(b: pa.RecordBatch, key, last):
+        """The column with gaps filled from above, but never across a change of keys."""
+        new = changes(b, keys, key)
+        edges = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), b.num_rows]
+        parts = []
+        for i, (x, y) in enumerate(zip(edges, edges[1:])):
+            part = pc.fill_null_forward(b.column(value).slice(x, y - x))
+            if i == 0 and not new[0] and last is not None:
+                part = pc.fill_null(part, last)
+            parts.append(part)
+        return pa.concat_arrays(parts), parts[-1][-1].as_py()
+
+    def summarise(batches):
+        first = key = last = None
+        single = True
+        for b in batches:
+            if first is None:
+                first = key = key_at(b, keys, 0)
+            end = key_at(b, keys, b.num_rows - 1)
+            single = single and end == first
+            _, last = filled(b, key, last)
+            key = end
+        return first, key, single, last
+
+    def combine(carry, s):
+        first, key, single, last = s
+        return (key, carry[1]) if single and last is None and carry and carry[0] == first else (key, last)
+
+    def rescan(batches, carry):
+        key, last = carry or (None, None)
+        for b in batches:
+            col, last = filled(b, key, last)
+            key = key_at(b, keys, b.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), col], names=[*names, out])
+
+    return ordered_scan(df, keys, order, summarise, combine, rescan, schema)

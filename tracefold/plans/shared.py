@@ -12,8 +12,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
     It is the cluster's ``spark.checkpoint.dir`` (or a directory already set on
-    the context). Only where neither exists, as in tests on one machine, a
-    temporary folder is made and set.
+    the context). Where neither exists, a temporary folder is made and set, but
+    only in local mode, as in tests; on a cluster that is an error.
     """
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
@@ -21,14 +21,46 @@ def shared_dir(spark: SparkSession) -> str:
     there = spark.sparkContext._jsc.sc().getCheckpointDir()
     if there.isDefined():
         return there.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
     made = "file://" + tempfile.mkdtemp(prefix="tracefold-")
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _path(spark, path)
+    return fs.exists(p)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.deleteOnExit(p)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows in the same partitions, with the lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
+    """The same rows in the same partitions, with the lineage cut by a reliable checkpoint.
+
+    The checkpoint is removed once nothing refers to it any more, at the latest
+    when the session ends.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    sc = spark.sparkContext._jsc.sc()
+    sc.conf().set("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+    if not sc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    delete_at_exit(spark, sc.getCheckpointDir().get())
     return df.checkpoint(eager=True)
 
 
@@ -37,7 +69,8 @@ class Spool:
 
     ``put`` writes a DataFrame as a Parquet table and reads it back, which cuts
     the lineage and survives the loss of executors. A name that is put again
-    replaces the older table once the new one is complete.
+    replaces the older table once the new one is complete. ``finish`` writes the
+    result and removes all other tables; what is left goes when the session ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -50,16 +83,27 @@ class Spool:
         self._turn += 1
         path = f"{self.root}/{name}-{self._turn}"
         df.write.parquet(path)
+        if self._turn == 1:
+            delete_at_exit(self.spark, self.root)
         old, self._live[name] = self._live.get(name), path
         if old:
-            self._delete(old)
+            delete(self.spark, old)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def holds(self, path: str) -> bool:
+        return exists(self.spark, path)
+
     def drop(self, name: str) -> None:
         if old := self._live.pop(name, None):
-            self._delete(old)
+            delete(self.spark, old)
 
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result as a table of its own; every other table of this computation is removed."""
+        out = self.put("result", df)
+        kept = self._live["result"].rsplit("/", 1)[-1]
+        p, fs = _path(self.spark, self.root)
+        for f in fs.listStatus(p):
+            if f.getPath().getName() != kept:
+                fs.delete(f.getPath(), True)
+        self._live = {"result": self._live["result"]}
+        return out

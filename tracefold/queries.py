@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, matching, search, timestamps, views
+from tracefold.plans import forest_sql
 from tracefold.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,7 @@ def queries() -> dict[str, Query]:
     q: dict[str, Query] = {
         "p1_found": hierarchy.p1_found,
         "p1_hierarchy": hierarchy.p1_hierarchy,
+        "p1_descendants": hierarchy.p1_descendants,
         "p3_found": intervals.p3_found,
         "p3_periods": intervals.p3_periods,
         "p4_found": hosts.p4_found,
@@ -155,6 +157,9 @@ def oracle_sql() -> dict[str, str]:
     half = lambda k: f"SELECT upper(method) AS method, url, row_number() OVER (PARTITION BY upper(method), url ORDER BY started_at NULLS FIRST, id) AS nth, status, response_body_size AS size, {_M('time_ms')} AS ms FROM entries WHERE url IS NOT NULL AND import_id % 2 = {k}"
     kept = lambda cond: f"SELECT id, url, status FROM entries WHERE {cond}"
     return {
+        "p1_found": forest_sql.FOUND,
+        "p1_hierarchy": forest_sql.HIERARCHY,
+        "p1_descendants": forest_sql.DESCENDANTS,
         "p4_found": f"SELECT {_HOST} AS host FROM entries GROUP BY 1 HAVING host IS NOT NULL AND count(*) * 40 >= (SELECT count(*) FROM entries)",
         "p4_hosts": """SELECT nullif(regexp_replace(lower(e.host), '\\.$', ''), '') AS host, count(*) AS n_entries,
   CAST(coalesce(sum(e.response_body_size) FILTER (WHERE e.response_body_size >= 0), 0) AS BIGINT) AS body_bytes,
