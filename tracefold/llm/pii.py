@@ -1,13 +1,12 @@
 """Personal information inside free text, found by a tagger and replaced by typed placeholders.
 
-A text is first made readable (percent codes, also doubled, escapes of JSON,
-entities of HTML), every character keeping its place in the original. Stretches
-that could hold anything personal are then cut out with their surroundings and
-tagged; what can't hold any of the five kinds, being without a digit group, an
-at sign or its spelling, two names in a row or a key that names a person, is
-not sent through the network. Stretches longer than a window are covered by
-overlapping windows whose scores are blended, so that one best path is decoded
-over the whole stretch.
+A text is first made readable (percent codes, also nested, escapes of JSON,
+entities of HTML), every character keeping its place in the original. Every
+character of it then goes through the network, in overlapping windows whose
+scores are blended; one best path is decoded over the blended scores. Decoding
+skips only stretches where the scores prove that nothing but 'outside' can be
+part of the best path. What is found passes a check of its written form: whole
+words, a possible number of digits, the check digit of cards.
 """
 
 from __future__ import annotations
@@ -24,20 +23,13 @@ from tracefold.llm import pii_model as M
 from tracefold.llm.repeats import text_of
 from tracefold.sources import table
 
-WINDOW, OVERLAP = 96, 32
-BEFORE, AFTER = 32, 40
+WINDOW, OVERLAP = 320, 48
+#: Characters around a stretch that is decoded, and around a slice of a very long text.
+MARGIN = 24
+SLICE, AROUND = 200_000, 256
 TOKENS = {k: f"<{k.upper()}>" for k in M.KINDS}
 
 _CODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[0-9a-fA-F]{4}|\\[nrtbf\"/\\]|&(?:#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8});|\+")
-_SEED = re.compile(
-    r"@|[(\[]at[)\]]|\bat\b(?=[^.]{1,40}\bdot\b)"  # addresses of mail, also spelled out
-    r"|(?<![A-Za-z0-9])\(?\+?\d(?:[ ().\-]{0,2}\d){6,}(?!\d)"  # seven digits or more
-    r"|\b[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]\b|\b[A-Z]\d{6,9}\b"
-    r"|\b\d{1,4}[a-z]?,? (?:[A-ZÀ-Þ]|rue |via |calle )[^\W\d_]*|\b[A-ZÀ-Þ][\w'.ß-]* \d{1,4}(?=[,\"&<\n\r ]|$)(?! [a-z])|(?:stra.{1,2}e|weg|platz|gasse|allee) \d{1,4}"
-    r"|\b[A-ZÀ-Þ][\w'’-]*\.?,? (?:[A-Z]\. ?)?[A-ZÀ-Þ][\w'’-]+"
-    r"|(?i:name|contact|customer|owner|user|visitor|q|to)\"?\s*[=:]\s*\"?[A-Za-zÀ-ÿ.'-]{2,},? [A-Za-zÀ-ÿ.'-]{2,}|(?i:first|last|full|sur|given)_?name\"?\s*[=:]"
-)
-_RUN = re.compile(r"\d{13,19}")
 
 
 def luhn(digits: str) -> bool:
@@ -49,10 +41,13 @@ def readable(text: str, form: bool) -> tuple[str, list[int] | None]:
     """The text with its codes read, and where each character begins in the original (None: unchanged).
 
     ``form``: a plus sign after the first ``?`` or ``=`` is a blank. Codes are
-    read again while that changes anything, three times at most.
+    read again as long as that changes anything; each turn shortens the text, so
+    it ends.
     """
     at: list[int] | None = None
-    for turn in range(3):
+    turn = -1
+    while True:
+        turn += 1
         if not ("%" in text or "\\" in text or "&" in text or (turn == 0 and form and "+" in text)):
             break
         cut = min((i for i in (text.find("?"), text.find("=")) if i >= 0), default=len(text))
@@ -87,118 +82,138 @@ def readable(text: str, form: bool) -> tuple[str, list[int] | None]:
     return text, at
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a readable text that could hold something personal, with their surroundings."""
-    out: list[tuple[int, int]] = []
-    for m in _SEED.finditer(text):
-        s = m[0]
-        if s.isdigit() and 13 <= len(s) <= 19 and not luhn(s) and not s.startswith("00"):
-            continue  # a card number needs its check digit, and no other kind is such a run
-        a, b = max(0, m.start() - BEFORE), min(len(text), m.end() + AFTER)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _tags(w: dict, pieces: list[str]) -> list[np.ndarray]:
-    """Best tags of each stretch."""
+def _scores(w: dict, coded: list[np.ndarray]) -> list[np.ndarray]:
+    """Blended scores (time, tags) of each coded text."""
     rows: list[np.ndarray] = []
     home: list[tuple[int, int]] = []
-    coded = [M.codes(p) for p in pieces]
     for i, c in enumerate(coded):
         starts = [0] if len(c) <= WINDOW else [*range(0, len(c) - WINDOW, WINDOW - OVERLAP), len(c) - WINDOW]
         for s in starts:
             rows.append(c[s : s + WINDOW])
             home.append((i, s))
-    if not rows:
-        return []
     lengths = np.array([len(r) for r in rows])
     order = np.argsort(lengths, kind="stable")
-    score = [np.zeros((len(c), M.N_TAGS), dtype=np.float32) for c in coded]
-    weight = [np.zeros(len(c), dtype=np.float32) for c in coded]
+    out: list[np.ndarray] = [np.zeros((len(c), M.N_TAGS), dtype=np.float32) for c in coded]
+    weight = {i: np.zeros(len(c), dtype=np.float32) for i, c in enumerate(coded) if len(c) > WINDOW}
     for k in range(0, len(order), 512):
         part = order[k : k + 512]
-        ids = np.zeros((len(part), int(lengths[part].max())), dtype=np.int64)
-        for j, r in enumerate(part):
-            ids[j, : lengths[r]] = rows[r]
-        e = M.emissions(w, ids)
+        e = M.fast_emissions(w, [rows[r] for r in part])
         for j, r in enumerate(part):
             i, s = home[r]
             n = lengths[r]
+            if i not in weight:
+                out[i] = e[:n, j].copy()
+                continue
             edge = np.minimum(np.arange(n) + 1, n - np.arange(n)).astype(np.float32)
             if s == 0:
                 edge[: n // 2] = n
             if s + n == len(coded[i]):
                 edge[n // 2 :] = n
-            score[i][s : s + n] += e[j, :n] * edge[:, None]
+            out[i][s : s + n] += e[:n, j] * edge[:, None]
             weight[i][s : s + n] += edge
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(coded)
-    order = sorted(range(len(coded)), key=lambda i: len(coded[i]))
-    for k in range(0, len(order), 512):
-        part = order[k : k + 512]
-        e = np.zeros((len(part), max(len(coded[i]) for i in part), M.N_TAGS), dtype=np.float32)
-        for j, i in enumerate(part):
-            e[j, : len(coded[i])] = score[i] / weight[i][:, None]
-        got = M.viterbi(w, e, np.array([len(coded[i]) for i in part]))
-        for j, i in enumerate(part):
-            out[i] = got[j, : len(coded[i])]
+    for i, x in weight.items():
+        out[i] /= x[:, None]
+    return out
+
+
+def _live(w: dict, e: np.ndarray, gain: float) -> list[tuple[int, int]]:
+    """Stretches that may hold a tag other than 'outside'.
+
+    A tagged run can't gain more over staying outside than the sum, over its
+    characters, of its best tag's lead plus the best move's lead. Where no run
+    that ends here has a positive sum, nothing is tagged.
+    """
+    lead = np.cumsum(e[:, 1:].max(axis=1) - e[:, 0] + gain)
+    live = lead > np.minimum(np.minimum.accumulate(np.concatenate(([0.0], lead[:-1]))), 0.0)
+    if not live.any():
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], live.astype(np.int8), [0]))))
+    out: list[tuple[int, int]] = []
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
+        a, b = max(0, a - MARGIN), min(len(e), b + MARGIN)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _runs(w: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Tagged runs (kind, from, to) of each text."""
+    scores = _scores(w, [M.codes(t) for t in texts])
+    gain = max(0.0, float(w["move"].max() - w["move"][0, 0]))
+    zones = [(i, a, b) for i, e in enumerate(scores) for a, b in _live(w, e, gain)]
+    zones.sort(key=lambda z: z[2] - z[1])
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    for k in range(0, len(zones), 256):
+        part = zones[k : k + 256]
+        e = np.zeros((len(part), part[-1][2] - part[-1][1], M.N_TAGS), dtype=np.float32)
+        for j, (i, a, b) in enumerate(part):
+            e[j, : b - a] = scores[i][a:b]
+        got = M.viterbi(w, e, np.array([b - a for _, a, b in part]))
+        for (i, a, b), tags in zip(part, got):
+            kind = (tags[: b - a] + 1) // 2
+            begins = (kind > 0) & ((tags[: b - a] % 2 == 1) | (np.concatenate(([0], kind[:-1])) != kind))
+            ends = np.flatnonzero(np.concatenate((begins[1:] | (kind[1:] != kind[:-1]), [True]))) + 1
+            for s in np.flatnonzero(begins):
+                out[i].append((M.KINDS[kind[s] - 1], a + int(s), a + int(ends[np.searchsorted(ends, s, "right")])))
     return out
 
 
 def _plausible(kind: str, s: str, text: str, a: int, b: int) -> bool:
-    """An exact check of what the tagger found: whole words, and the form its kind has."""
+    """A check of the written form of what the tagger found.
+
+    Whole words only; an address of mail has its sign, a telephone number seven
+    to fifteen digits, an identity number six digits or letters in all; a run of
+    card length that is bare or grouped like a card's needs the check digit; a
+    street address has a number; a name has none and is not part of a mail address.
+    """
     if (a and text[a - 1].isalnum() and s[0].isalnum()) or (b < len(text) and text[b].isalnum() and s[-1].isalnum()):
         return False
     digits = re.sub(r"\D", "", s)
-    solid = re.sub(r"[ -]", "", s)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", s, re.I)) and len(s) >= 6 and not re.search(r"@\d", s)
+        return bool(re.search(r"@|\bat\b", s, re.I)) and sum(c.isalnum() for c in s) >= 5
     if kind == "phone":
-        return 7 <= len(digits) <= 15 and not (s.isdigit() and len(s) == 10 and s[0] in "01")
+        return 7 <= len(digits) <= 15
     if kind == "id_number":
-        if solid.isdigit():
-            return luhn(solid) if 13 <= len(solid) <= 19 else len(solid) == 9 and bool(re.fullmatch(r"\d{9}|\d{3}([ -])\d\d\1\d{4}", s.strip()))
-        return len(digits) >= 6
+        groups = [len(g) for g in re.findall(r"\d+", s)]
+        if 13 <= len(digits) <= 19 and not any(c.isalpha() for c in s) and (len(groups) == 1 or set(groups[:-1]) == {4} or groups == [4, 6, 5]):
+            return luhn(digits)
+        return len(digits) >= 6 or sum(c.isalnum() for c in s) >= 8
     if kind == "address":
-        return bool(digits) and sum(c.isalpha() for c in s) >= 4 and not re.match(r"\.\d", text[b : b + 2])
-    if digits or "@" in text[max(0, a - 1) : b + 1] or sum(c.isalpha() for c in s) < 3:
-        return False
-    if s.split()[0] in ("The", "A", "An"):
-        return False
-    before = text[max(0, a - 16) : a]
-    if len(s.split()) < 2:
-        return bool(re.search(r"name\"?\s*[=:]\s*\"?$", before, re.I)) and s[0].isupper()
-    return s[0].isupper() or before.endswith(("=", '"'))
+        return bool(digits) and sum(c.isalpha() for c in s) >= 3
+    return not digits and "@" not in text[max(0, a - 1) : b + 1] and sum(c.isalpha() for c in s) >= 2
 
 
 def find(w: dict, texts: list[tuple[str, bool]]) -> list[list[tuple[str, int, int]]]:
-    """Per text the (kind, from, to) of what is personal in it, by places in the original."""
-    read = [readable(t, form) for t, form in texts]
-    pieces: list[str] = []
-    home: list[tuple[int, int]] = []
-    for i, (t, _) in enumerate(read):
-        for a, b in stretches(t):
-            pieces.append(t[a:b])
-            home.append((i, a))
+    """Per text the (kind, from, to) of what is personal in it, by places in the original.
+
+    Texts are tagged some at a time, very long ones slice by slice, so memory
+    doesn't grow with the input.
+    """
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for (i, a), p, tags in zip(home, pieces, _tags(w, pieces)):
-        kind = (tags + 1) // 2
-        begins = (kind > 0) & ((tags % 2 == 1) | (np.concatenate(([0], kind[:-1])) != kind))
-        starts = np.flatnonzero(begins)
-        for s in starts:
-            e = int(s) + 1
-            while e < len(kind) and kind[e] == kind[s] and not begins[e]:
-                e += 1
-            name = M.KINDS[kind[s] - 1]
-            t, at = read[i]
-            x, y = a + int(s), a + e
-            if _plausible(name, t[x:y], t, x, y):
-                if at is not None:
-                    y0 = at[y] if y < len(at) else len(texts[i][0])
-                    x, y = at[x], y0
-                out[i].append((name, x, y))
+    pending: list[tuple[int, int, str, list[int] | None, str]] = []
+
+    def flush() -> None:
+        for (i, start, t, at, part), runs in zip(pending, _runs(w, [p[4] for p in pending])):
+            base = max(0, start - AROUND)
+            for kind, x, y in runs:
+                x, y = x + base, y + base
+                if start <= x < start + SLICE and _plausible(kind, t[x:y], t, x, y):
+                    out[i].append((kind, x, y) if at is None else (kind, at[x], at[y] if y < len(at) else len(texts[i][0])))
+        pending.clear()
+
+    size = 0
+    for i, (raw, form) in enumerate(texts):
+        t, at = readable(raw, form)
+        for start in range(0, len(t), SLICE):
+            part = t[max(0, start - AROUND) : start + SLICE + AROUND]
+            pending.append((i, start, t, at, part))
+            size += len(part)
+            if size > SLICE:
+                flush()
+                size = 0
+    flush()
     return out
 
 

@@ -1,7 +1,10 @@
-"""Labelled spans made from templates, and the training of the tagger on them.
+"""Labelled spans built from general vocabulary, and the training of the tagger on them.
 
-``python -m tracefold.llm.pii_train`` writes the weights. Every example is
-generated: nothing is read from the tables.
+``python -m tracefold.llm.pii_train SECONDS`` writes the weights. Every example
+is generated from public, general word lists (common given names and surnames,
+large cities, basic English words, notations of numbers in several countries)
+and from made-up syllables; sentences around a span are put together word by
+word, not taken from any text. Nothing is read from the tables.
 """
 
 from __future__ import annotations
@@ -12,220 +15,307 @@ from multiprocessing import Pool
 
 import numpy as np
 
-from tracefold.llm.pii_model import KINDS, N_TAGS, WEIGHTS, codes, load, loss_and_gradients, new_weights, viterbi, emissions
+from tracefold.llm.pii_model import KINDS, WEIGHTS, codes, emissions, load, loss_and_gradients, new_weights, viterbi
 
 FIRST = (
-    "Anna Jonas Lea Emil Clara Oscar Greta Hugo Ines Karl Lucia Mateo Nora Omar Paula Peter Petra Rosa Ruben Samuel Selma Simon Stefan Tara Tomas Viktor Yara Zoe Adrian Alice "
-    "Amira Anton Bruno Carmen Daniel Dario Elena Ella Erik Felix Frida Helen Ingrid Jakob Julia Leon Luca Magda Marco Maria Mira Nadia Niklas Pavel Robin John Mary James Linda "
-    "Robert Susan Michael Karen David Laura Thomas Sarah Paul Emma Mark Olivia George Sophie Henry Marta Ivan Olga Pedro Lena Hans Eva Louis Chloe Ali Fatima Chen Mei Ravi Priya"
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Karen Christopher Sarah Charles Lisa Daniel Nancy Matthew Sandra "
+    "Anthony Betty Mark Ashley Donald Emily Steven Kimberly Andrew Margaret Paul Donna Joshua Michelle Kenneth Carol Kevin Amanda Brian Melissa George Deborah Timothy Stephanie Ronald Rebecca "
+    "Jason Sharon Edward Laura Jeffrey Cynthia Ryan Dorothy Jacob Amy Gary Kathleen Nicholas Angela Eric Shirley Jonathan Emma Stephen Brenda Larry Pamela Justin Nicole Scott Anna Brandon "
+    "Samantha Benjamin Katherine Samuel Christine Gregory Helen Alexander Debra Patrick Rachel Frank Carolyn Raymond Janet Jack Maria Peter Hannah Klaus Sabine Jürgen Ursula Wolfgang Petra "
+    "Björn Ingrid Lars Astrid Pierre Camille François Amélie Jean Chloé Carlos Lucía José Carmen Miguel Paula Giovanni Francesca Marco Giulia João Beatriz Piotr Agnieszka Ivan Olga Dmitri "
+    "Natalia Ahmed Fatima Mohammed Aisha Yusuf Leila Raj Priya Arjun Ananya Wei Li Hiroshi Yuki Kenji Sakura Min Ji Thabo Nomsa Kofi Ama Harry Barack Oliver Sophie Liam Mia Noah Lena"
 ).split()
-TAILS = "by kamp mann ridge nov sted elli enko combe beck moor ova son sen berg er ez ini ski ton ley field stein rup ek a is".split()
-SYLLABLES = [c + v for c in "b c d f g h k l m n p qu r s t v z br cr dr fr gr kl kr pl pr st str tr zi ki pi li" .split() for v in "a e i o u ae ia io ua".split()]
-ENDS = ["", "", "r", "x", "s", "nd", "rk", "m", "l", "t"]
-TOWNS = "Ostermark Neu-Werlin Gravelsted Saint-Orme Altbrück Port_Fennick Springfield Bad_Homburg Leeds Lyon Porto Kingston Fairview Graz".replace("_", "\u0001").split()
-WORDS = (
-    "the a of and to in request response cache token index graph page report rows entries bytes bodies host session header widget console studio edition filter mono font rack room lane "
-    "table junction ticket build layout order release version step minute second known issue hides shows keeps carries digest value went through office network staging production "
-    "nightly run canary was not cached after before until once because moved from compare with open choose wait quick amber silver north gate birch road street platform way merge failed "
-    "update service owner status payload queue frame chunk proxy gateway baseline socket cookie"
+LAST = (
+    "Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Gonzalez Wilson Anderson Thomas Taylor Moore Jackson Martin Lee Perez Thompson White Harris "
+    "Sanchez Clark Ramirez Lewis Robinson Walker Young Allen King Wright Scott Torres Nguyen Hill Flores Green Adams Nelson Baker Hall Rivera Campbell Mitchell Carter Roberts Müller Schmidt "
+    "Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Schröder Neumann Schwarz Zimmermann Krüger Dubois Durand Lefebvre Moreau Laurent Simon Michel "
+    "Rossi Russo Ferrari Esposito Bianchi Romano Silva Santos Oliveira Sousa Kowalski Nowak Wójcik Ivanov Petrov Smirnov Hansen Johansen Andersson Johansson Nielsen Jensen Larsen Virtanen "
+    "Korhonen de_Vries van_Dijk Bakker Jansen Khan Ali Hussain Patel Singh Kumar Sharma Gupta Wang Zhang Chen Liu Yang Tanaka Suzuki Sato Takahashi Kim Park Choi Okafor Mensah Dlamini "
+    "O'Brien O'Connor McDonald MacLeod Murphy Kelly Ryan Evans Hughes Potter Obama Mozart Borg Stewart Turner Phillips Parker Collins Edwards Morris Rogers Reed Cook Morgan Bell Cooper"
 ).split()
+CITIES = (
+    "London Paris Madrid Rome Vienna Prague Warsaw Budapest Lisbon Dublin Oslo Stockholm Copenhagen Helsinki Brussels Amsterdam Zürich Geneva Munich Hamburg Cologne Frankfurt Stuttgart Dresden "
+    "Milan Naples Turin Barcelona Seville Valencia Marseille Toulouse Bordeaux Nantes Manchester Bristol Glasgow Edinburgh Cardiff Chicago Boston Denver Seattle Houston Phoenix Dallas Atlanta "
+    "New_York Los_Angeles San_Diego Las_Vegas New_Orleans Salt_Lake_City Toronto Vancouver Montréal Sydney Melbourne Auckland Tokyo Osaka Mumbai Delhi Nairobi Cape_Town Rio_de_Janeiro Mexico_City"
+).split()
+BASIC = (
+    "the a an and or but if of to in on at by with from for as this that these it we you they he she is are was were be been has have had do does did not no all any some each every other another "
+    "new old good great small large long short high low early late first last next same open free full left right number part place point group area case week month year day time way work "
+    "world house water paper music book letter story game team school office market river garden field mountain forest bridge tower castle station museum library kitchen window door table "
+    "chair lamp clock picture colour sound voice light fire ground stone metal glass wood cotton silver gold iron blue red black white brown yellow grey north south east west spring summer "
+    "winter autumn morning evening night add ask bring build buy carry change check choose close come copy cut draw drive end fall find follow get give go help hold keep know lead learn "
+    "leave let look make meet move need pay plan play put read run say see sell send set show start stop take talk tell test think turn use wait walk want"
+).split()
+TECH = (
+    "server client cache index file folder image page link button form menu layer model module package plugin theme script style query filter field column record key value token header body status "
+    "error warning event log trace session network router packet driver kernel thread buffer stream socket engine parser compiler browser desktop mobile app update release version branch commit"
+).split()
+STREET = "Street St. Avenue Ave Road Rd Lane Ln Drive Dr Way Court Ct Terrace Close Crescent Boulevard Blvd Square Place Hill Row Parkway Gardens Walk Grove".split()
+GERMAN = "straße strasse str. weg platz allee gasse ring ufer damm".split()
+ROMANCE = ["rue", "rue de", "rue de la", "rue du", "rue des", "avenue", "avenue de", "boulevard", "place de la", "impasse", "chemin du"]
+SPANISH = ["Calle", "Calle de", "Calle del", "Avenida", "Avenida de", "Plaza", "Paseo de", "Via", "Viale", "Piazza", "Corso", "Rua", "Rua do", "Largo"]
+DOMAINS = "gmail yahoo outlook hotmail icloud proton fastmail mail".split()
+TLDS = "com org net edu de fr es it nl co.uk com.au io eu info example test invalid".split()
+CONSONANTS = "b c d f g h j k l m n p qu r s t v w x z br cr dr fr gr kl kr pl pr st sk str tr th ch sh ph zw".split()
+VOWELS = "a e i o u ai au ea ei ie oa ou y".split()
+ENDS = ["", "", "", "r", "n", "s", "l", "t", "x", "m", "nd", "rd", "ck", "ng"]
+SUFFIXES = "son sen mann berg stein ski sky ova ini etti ez es ton ley ford well dal lund ström kov enko ian oğlu wala".split()
+CSS = "media import page charset supports layer keyframes font-face namespace".split()
 
 
-def syll(r: random.Random, lo: int = 1, hi: int = 3) -> str:
-    return "".join(r.choice(SYLLABLES) for _ in range(r.randint(lo, hi))) + r.choice(ENDS)
+def made_up(r: random.Random, lo: int = 1, hi: int = 3) -> str:
+    return "".join(r.choice(CONSONANTS) + r.choice(VOWELS) for _ in range(r.randint(lo, hi))) + r.choice(ENDS)
 
 
 def digits(r: random.Random, n: int) -> str:
     return "".join(r.choice("0123456789") for _ in range(n))
 
 
-def last(r: random.Random) -> str:
-    return (syll(r, 1, 3) + r.choice(TAILS)).capitalize()
+def hexes(r: random.Random, n: int) -> str:
+    return "".join(r.choice("0123456789abcdef") for _ in range(n))
+
+
+def word(r: random.Random) -> str:
+    return r.choice(BASIC) if r.random() < 0.6 else r.choice(TECH) if r.random() < 0.6 else made_up(r)
+
+
+def words(r: random.Random, lo: int, hi: int) -> str:
+    return " ".join(word(r) for _ in range(r.randint(lo, hi)))
 
 
-def town(r: random.Random) -> str:
-    return r.choice([r.choice(TOWNS).replace("\u0001", " "), syll(r, 1, 2).capitalize() + r.choice(["", "burg", "ton", "mark", "ville", "sted"])])
+def first_name(r: random.Random) -> str:
+    return r.choice(FIRST) if r.random() < 0.7 else made_up(r, 1, 2).capitalize()
+
+
+def surname(r: random.Random) -> str:
+    x = r.random()
+    if x < 0.4:
+        return r.choice(LAST).replace("_", " ")
+    if x < 0.9:
+        return (made_up(r, 1, 2) + r.choice(["", *SUFFIXES])).capitalize()
+    return f"{(made_up(r, 1, 2)).capitalize()}-{r.choice(LAST).replace('_', ' ')}"
+
+
+def city(r: random.Random) -> str:
+    return r.choice(CITIES).replace("_", " ") if r.random() < 0.5 else r.choice(["", "", "Bad ", "Saint-", "San ", "Port ", "New "]) + (made_up(r, 1, 2) + r.choice(["", "burg", "ton", "ville", "stadt", "ham", "ford", "dorf", "by"])).capitalize()
 
 
 def name(r: random.Random) -> str:
-    f, s, m = r.choice(FIRST), last(r), r.choice("ABCDEFGHJKLMNPRSTVWZ")
-    if r.random() < 0.15:
-        f = syll(r, 1, 2).capitalize()
-    if r.random() < 0.1:
-        s = f"{r.choice(['van', 'de', 'von', 'Mc', 'O’'])} {s}".replace("Mc ", "Mc").replace("’ ", "’")
-    return r.choices([f"{f} {s}", f"{f} {m}. {s}", f"{s.upper()}, {f}", f"Dr. {f[0]}. {s}", f"{f.lower()} {s.lower()}", f"{s}, {f}", f"{f.upper()} {s.upper()}", f"{r.choice(['Mr.', 'Ms.', 'Mrs.', 'Prof.'])} {s}"], [8, 4, 4, 4, 2, 1, 1, 1])[0]
+    f, s, m = first_name(r), surname(r), r.choice("ABCDEFGHIJKLMNOPRSTUVW")
+    if r.random() < 0.08:
+        f = f"{f} {first_name(r)}"
+    title = r.choice(["Mr", "Mr.", "Mrs.", "Ms.", "Miss", "Dr.", "Dr", "Prof.", "Herr", "Frau", "Sir"])
+    return r.choices(
+        [f"{f} {s}", f"{f} {m}. {s}", f"{s}, {f}", f"{s.upper()}, {f}", f"{title} {s}", f"{title} {f} {s}", f"{f.lower()} {s.lower()}", f"{f.upper()} {s.upper()}", f"{m}. {s}", f"{title} {m}. {s}"], [10, 3, 2, 2, 2, 1, 3, 1, 0.5, 1]
+    )[0]
 
 
 def email(r: random.Random) -> str:
-    f, s = r.choice(FIRST).lower(), last(r).lower()
-    local = r.choice([f"{f}.{s}", f"{f}-{s}", f"{f[0]}{s}{digits(r, 2)}", f"{s}_{f}+shop", f"{f}{s}", f"{f}{r.randint(1, 99)}", f"{f}_{s}", f"{s}.{f[0]}"])
-    host = r.choice(["mailbox.example", "inbox.test", "letters.example", "work.orlen.test", "post.altbruck.example", f"{syll(r)}.{r.choice(['com', 'org', 'net', 'de', 'example', 'test', 'co.uk'])}"])
-    out = f"{local}@{host}"
+    f, s = first_name(r).lower().split(" ")[0], surname(r).lower().split(" ")[0].replace("'", "")
+    local = r.choice([f"{f}.{s}", f"{f}{s}", f"{f}_{s}", f"{f}-{s}", f"{f[0]}{s}", f"{f}{r.randint(1, 2010)}", f"{s}.{f}", f"{s}{f[0]}", made_up(r), f"{made_up(r, 1, 1)}{digits(r, 3)}", r.choice(["info", "office", "support", "contact", "sales"]), f"{f}+{made_up(r, 1, 1)}", f"{s}_{f}+{r.choice(BASIC)}"])
+    host = r.choice(DOMAINS) if r.random() < 0.35 else made_up(r, 1, 3)
+    if r.random() < 0.2:
+        host = f"{r.choice([made_up(r, 1, 1), 'mail', 'post', 'work'])}.{host}"
+    out = f"{local}@{host}.{r.choice(TLDS)}"
     x = r.random()
-    if x < 0.1:
-        out = out.upper()
-    elif x < 0.18:
-        out = out.replace("@", " (at) ")
-    elif x < 0.32:
-        out = out.replace(".", " [dot] ").replace("@", " [at] ")
-    elif x < 0.38:
-        out = out.replace(".", " dot ").replace("@", " at ")
+    if x < 0.06:
+        return out.upper()
+    if x < 0.22:
+        a, d = r.choice([(" (at) ", "."), ("(at)", "."), (" [at] ", " [dot] "), ("[at]", "[dot]"), (" at ", " dot "), (" AT ", " DOT "), (" (at) ", " (dot) "), ("{at}", "{dot}"), (" [at] ", ".")])
+        user, host = out.split("@")
+        return (user.replace(".", d) if r.random() < 0.5 else user) + a + host.replace(".", d)
     return out
 
 
-def phone(r: random.Random) -> str:
-    a, b, c = digits(r, 3), digits(r, 3), digits(r, 4)
-    if r.random() < 0.6:
-        a, b, c = r.choice(["202", "312", "415", "212", "646"]), "555", "01" + digits(r, 2)
+def _grouped(r: random.Random, n: int, sep: str) -> str:
+    out, left = [], n
+    while left:
+        k = min(left, r.choice([2, 2, 3, 3, 4]))
+        k = left if left - k == 1 else k
+        out.append(digits(r, k))
+        left -= k
+    return sep.join(out)
+
+
+def phone(r: random.Random, bare: bool = False) -> str:
+    sep = r.choice([" ", " ", "-", ".", ""])
+    a, b, c = str(r.randint(2, 9)) + digits(r, 2), digits(r, 3), digits(r, 4)
+    if r.random() < 0.15:
+        b = "555"
+    cc = r.choice(["1", "7", "20", "27", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91", "351", "353", "358", "420", "971"])
+    if bare:
+        return r.choice([f"{a}{b}{c}", "0" + digits(r, r.randint(8, 10)), cc + digits(r, r.randint(8, 10)), digits(r, r.randint(7, 8))])
     return r.choice([
-        f"+1-{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"{a}{b}{c}", f"+1 {a} {b} {c}", f"{a}-{b}-{c}", f"+49 {r.choice(['30', '89', '40'])} {digits(r, 5)} {digits(r, 3)}",
-        f"0049 89 {digits(r, 8)}", f"+44 20 7946 0{digits(r, 3)}", f"+44 {digits(r, 4)} {digits(r, 6)}", f"+33 1 {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)}", f"+61 2 {digits(r, 4)} {digits(r, 4)}", f"+{digits(r, 11)}", f"00498999998{digits(r, 3)}",
+        f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+{cc}{r.choice([' ', '', '-', ' '])}{_grouped(r, r.randint(8, 10), sep)}", f"+{cc} {r.randint(1, 9)}{digits(r, r.randint(0, 2))} {digits(r, r.randint(5, 8))}",
+        f"+{cc} ({r.randint(1, 9)}{digits(r, 2)}) {_grouped(r, 7, r.choice(' -'))}", f"00{cc}{sep}{_grouped(r, r.randint(8, 10), sep)}", f"0{digits(r, r.randint(1, 4))}{r.choice([' ', '/', '-', ' / '])}{_grouped(r, r.randint(5, 8), r.choice(['', ' ', '-']))}", f"(0{digits(r, r.randint(2, 4))}) {_grouped(r, r.randint(5, 7), r.choice(['', ' ']))}",
+        f"0{r.randint(1, 9)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)}", f"+{cc}{digits(r, r.randint(8, 11))}", f"{a}-{b}-{c} ext. {digits(r, 3)}", f"+{cc} {digits(r, 2)} {digits(r, 4)} {digits(r, 4)}", f"+{cc} {digits(r, 4)} {digits(r, 6)}", f"+{cc} {digits(r, 2)} {digits(r, 5)} {digits(r, 3)}",
     ])
 
 
-def card(r: random.Random, valid: bool = True, lead: str = "") -> str:
-    d = [int(c) for c in (lead or r.choice("3456999")) + digits(r, 15)][:15]
-    total = sum(x if i % 2 else (x * 2 - 9 if x > 4 else x * 2) for i, x in enumerate(d))
-    d.append((10 - total + (0 if valid else r.randint(1, 9))) % 10)
-    s = "".join(map(str, d))
-    sep = r.choice(["", " ", "-"])
-    return sep.join(s[i : i + 4] for i in range(0, 16, 4))
+def card(r: random.Random) -> str:
+    """A run of card length; whether its check digit holds is decided after the tagger, not by it."""
+    x = r.random()
+    if x < 0.15:
+        d, cut = "3" + r.choice("47") + digits(r, 13), (4, 6, 5)
+    else:
+        d, cut = r.choice("234569") + digits(r, 15), (4, 4, 4, 4)
+    sep, out, at = r.choice(["", "", " ", "-"]), [], 0
+    for k in cut:
+        out.append(d[at : at + k])
+        at += k
+    return sep.join(out)
 
 
-def id_number(r: random.Random) -> str:
+def id_number(r: random.Random, bare: bool = False) -> str:
     up = "ABCDEFGHJKLMNPRSTVWXYZ"
+    if bare:
+        return r.choice([digits(r, 9), digits(r, 11), digits(r, 10), digits(r, 8)])
     return r.choice([
-        f"{digits(r, 3)}-{digits(r, 2)}-{digits(r, 4)}", f"9{digits(r, 2)}-{digits(r, 2)}-{digits(r, 4)}", f"QQ {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {r.choice('ABCD')}",
-        f"{r.choice(up)}{r.choice(up)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {r.choice('ABCD')}", f"passport no. {r.choice(up)}{digits(r, 8)}", f"passport no. {r.choice(up)}{digits(r, 8)}", card(r), card(r), card(r, lead="9"),
+        f"{digits(r, 3)}-{digits(r, 2)}-{digits(r, 4)}", f"{digits(r, 3)}-{digits(r, 2)}-{digits(r, 4)}", f"{digits(r, 3)} {digits(r, 2)} {digits(r, 4)}", f"{r.choice(up)}{r.choice(up)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {r.choice('ABCD')}",
+        f"{r.choice(up)}{r.choice(up)}{digits(r, 6)}{r.choice('ABCD')}", f"{r.choice(up)}{digits(r, r.randint(7, 8))}", f"{r.choice(up)}{r.choice(up)}{digits(r, 7)}", f"{digits(r, 8)}{r.choice(up)}", f"{r.choice('12')} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {digits(r, 3)} {digits(r, 3)} {digits(r, 2)}",
+        f"{digits(r, 6)}-{digits(r, 4)}", f"{digits(r, 2)} {digits(r, 6)} {r.choice(up)} {digits(r, 3)}", f"{digits(r, 3)}.{digits(r, 3)}.{digits(r, 3)}-{digits(r, 2)}", card(r), card(r), card(r), card(r),
     ])
 
 
 def address(r: random.Random) -> str:
-    n, s = r.randint(1, 460), syll(r, 1, 3).capitalize()
-    city = r.choice(["", f", {town(r)}", f", {town(r)}"])
-    return r.choice([
-        f"{n} {s} {r.choice(['Street', 'St.', 'Avenue', 'Ave', 'Road', 'Rd', 'Lane', 'Terrace', 'Drive', 'Way', 'Court'])}{city}",
-        f"{n} {s} {r.choice(['Street', 'St.', 'Avenue', 'Road', 'Rd', 'Lane', 'Terrace'])}{city}",
-        f"{s}{r.choice(['straße', 'strasse', 'weg', 'platz', 'gasse', 'allee', 'stra?e'])} {n}, {digits(r, 5)} {town(r)}", f"{s}{r.choice(['weg', 'platz', 'gasse', 'allee', 'straße'])} {n}",
-        f"{n} rue des {r.choice(['Tisserands', s + 's'])}{city}", f"{n} rue {r.choice(['de la', 'du', 'de'])} {s}{city}",
-        f"{n} {r.choice(['Old', 'New', 'Juniper', 'Quarry', 'Upper', s])} {r.choice(['Hollow', 'Bank', 'Mill', 'Hill', s])} {r.choice(['Street', 'Drive', 'Way', 'Road', 'Lane', 'Close'])}{city}", f"{r.choice(['Am', 'Im', 'An der'])} {r.choice(['Mühlbach', s])} {n}, {digits(r, 5)} {town(r)}", f"Calle del {r.choice(['Molino', s])} {n}, piso {r.randint(1, 9)}", f"Via {s} {n}, {town(r)}",
-    ])
+    n = str(r.randint(1, 480)) + r.choice(["", "", "", "", "a", "B"])
+    base = r.choice([made_up(r, 1, 3).capitalize(), made_up(r, 2, 3).capitalize(), r.choice(BASIC[70:]).capitalize(), r.choice(LAST).replace("_", " "), f"{r.choice(['Old', 'New', 'Upper', 'Lower', 'North', 'West', 'Great'])} {r.choice([made_up(r).capitalize(), r.choice(BASIC[70:]).capitalize()])}"])
+    tail = r.choice(["", "", f", {city(r)}", f", {city(r)}", f", {city(r)} {digits(r, 5)}", f", {city(r)}, {r.choice(['CA', 'NY', 'TX', 'WA', 'OH', 'IL'])} {digits(r, 5)}", f", {digits(r, 4)} {city(r)}", f"\n{city(r)}", f", {r.choice('BEGLMNSW')}{digits(r, 1)} {digits(r, 1)}{r.choice('ABDEFGH')}{r.choice('JLNPQRST')}"])
+    x = r.random()
+    if x < 0.5:
+        unit = r.choice(["", "", "", "", f", Apt {digits(r, 2)}", f", Flat {r.randint(1, 9)}", f", Suite {digits(r, 3)}", f" #{digits(r, 2)}"])
+        return f"{n} {base} {r.choice(STREET)}{unit}{tail}"
+    if x < 0.72:
+        return r.choice([f"{base}{r.choice(GERMAN)} {n}{r.choice(['', f', {digits(r, 5)} {city(r)}'])}", f"{base}{r.choice(['-Straße', ' Straße', 'er Straße', '-Allee'])} {n}, {digits(r, 5)} {city(r)}", f"{r.choice(['Am', 'Im', 'An der', 'Auf dem', 'Zum'])} {base} {n}{r.choice(['', f', {digits(r, 5)} {city(r)}'])}"])
+    if x < 0.87:
+        return f"{n}{r.choice(['', ','])} {r.choice(ROMANCE)} {base}{r.choice(['', '', f', {digits(r, 5)} {city(r)}', f', {city(r)}'])}"
+    return f"{r.choice(SPANISH)} {base}{r.choice([' ', ', ', ' nº '])}{r.randint(1, 200)}{r.choice(['', '', f', {city(r)}', f', {digits(r, 5)} {city(r)}', f', {r.randint(1, 9)}º', f', piso {r.randint(1, 9)}'])}"
 
 
 MAKE = {"email": email, "phone": phone, "id_number": id_number, "address": address, "name": name}
 KEYS = {
-    "email": "email mail login contact u user login_hint e to cc from".split(),
-    "phone": "phone tel mobile msisdn cb call fax number".split(),
-    "id_number": "ssn doc pan card taxId passport id_no nino".split(),
-    "address": "addr address street to shipTo ship_to deliver".split(),
-    "name": "name contact customer owner fullName full_name q user".split(),
+    "email": "email mail e-mail user_email userEmail mailto from to cc bcc sender recipient login username account contact".split(),
+    "phone": "phone tel telephone mobile cell fax phone_number phoneNumber msisdn call whatsapp sms contact".split(),
+    "id_number": "ssn id_number passport passport_no national_id nationalId tax_id nino insurance_no card card_number cardNumber pan cc_number account_holder_id document dni".split(),
+    "address": "address addr street street_address shipping billing shippingAddress home ship_to line1 destination delivery location".split(),
+    "name": "name full_name fullName customer client contact user author owner recipient holder cardholder passenger guest patient employee to attn".split(),
 }
-PHRASES = {
-    "email": ["You can reach the account owner at {}.", "Reply-To: {}", "cc: {}", "from={}", "The token belongs to {},", "Reset link sent to <{}>;", "Mail {} if the export stalls.", "/profile/{}", "/u/{}", "/verify/{}", "Write to {} now.", "login={} ok"],
-    "phone": ["Call back on {} before noon.", "fax {}", "Phone: {}", "An SMS went to {},", "Rückruf unter {} erbeten.", 'tel:{}">call</a>', "mobile {} is on file", "unter <a href=\"tel:{}\">call</a>", "Tel. {};", "Ring {} and ask for the desk.", "dial {} now", "reachable at {}"],
-    "id_number": ["The form still shows {} in clear.", "SSN on file: {}.", "card={} declined", "Identity number {} was checked twice.", "payment was taken from {} yesterday", "Ident: {}", "document {} scanned", "insured as {}.", "Number {} belongs to the visitor", "ID {} verified"],
-    "address": ["The parcel for {} came back.", "Deliver to {}", "ship_to={}", "Lives at {}.", "moved to {} last week", "Invoice address: {};", "The courier waits at {}.", "Our branch at {} is closed", "home: {}", "sent to {}, thanks."],
-    "name": ["Kind regards,\n{}\n", "user {} logged out", "Approved by {} on the canary", "Ticket opened by {}.", "Dear {},", "signed by {}", "{} asked for a refund", "Thanks, {}", "The visitor {} left.", "assigned to: {}", "Contact {} first.", "for {}:", "with {} on the phone", "author: {}", "Who called? {} did.", "Ask {} about it."],
+#: Words that may stand right before a value in a sentence; the rest of the sentence is random.
+LEADS = {
+    "email": "mail email write message contact reach forward reply send copy".split(),
+    "phone": "phone call ring dial text telephone tel. fax mobile number cell".split(),
+    "id_number": "SSN passport licence insurance ID identity card number document social security".split(),
+    "address": "at address lives street home office located ship deliver moved visit near".split(),
+    "name": "by with from for to contact Dear Hello Hi regards sincerely signed author manager customer patient employee met says said wrote asked thanks".split(),
 }
 
 
 def decoy(r: random.Random) -> str:
-    w = lambda: r.choice(WORDS)
-    cap = lambda: w().capitalize()
-    f = r.choice(FIRST)
-    return r.choice([
-        f"The {f} widget has no {w()}.", f"Font {f} Mono is {w()}.", f"{cap()} {cap()} and {cap()} {cap()} are {w()}.", f"{cap()} {cap()} Edition adds a {cap()} {cap()}.", f"Lane {r.randint(1, 99)} of the junction table is full.",
-        f"Rack Road-{r.randint(1, 99)} in room {r.randint(1, 99)} is off.", f"Order {digits(r, 2)}-{digits(r, 4)}-{digits(r, 2)} is open.", f"Build {r.randint(1, 20)}.{r.randint(1, 20)}.{digits(r, 3)}.{r.randint(0, 9)} is live.", f"Layout {r.randint(2, 5)}-{r.randint(2, 5)}-{r.randint(1, 5)} is the default.",
-        f"Trace {card(r, False, '9').replace(' ', '').replace('-', '')} has no parent.", f"cid={card(r, False, '9').replace(' ', '').replace('-', '')}", f"ts=17{digits(r, 8)}", f"Epoch 17{digits(r, 8)} was logged.", f"ratio 16:9, seed {digits(r, 4)} {digits(r, 3)} {digits(r, 2)}.",
-        f"Ticket {digits(r, 4)}-{digits(r, 2)} links to build {digits(r, 3)}.{digits(r, 3)}.", f"Port 8080, shard {digits(r, 2)}-{digits(r, 2)}-{digits(r, 4)}.", f"Upgrade {w()}-{w()}@{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)} first.", f"{w()}@{r.randint(2, 3)}x.png was not cached.", f"img=icon@2x.png&v=10.2.{digits(r, 3)}",
-        f"The 3 Way merge {w()}.", f"Use @media rules instead.", f"id={digits(r, 4)}{syll(r, 1, 1)[:2]}{digits(r, 4)}", f"Version {digits(r, 4)}.{digits(r, 4)} keeps every {w()}, version {digits(r, 4)} none.", f"Page {digits(r, 4)} of the {syll(r)} report lists {digits(r, 4)} {w()} hosts.",
-        f"Open {syll(r)}, choose \"{w()} {w()}\" and wait {digits(r, 4)} seconds.", f"page={digits(r, 4)}", f"sort={w()}", f"q={syll(r)}", f"Wait time rose from {digits(r, 4)} to {digits(r, 4)} ms once {syll(r)} was {w()}.", f"Known issue {digits(r, 3)}a{digits(r, 4)}: a {w()} {w()} hides the {w()}.",
-        f"Street View {r.randint(1, 9)} loads {cap()} {cap()} tiles.", f"Main Street Theme {r.randint(1, 9)}.{r.randint(0, 9)}", f"{cap()} Road {r.randint(1, 30)} of {r.randint(30, 60)} rows", f"sku {digits(r, 3)}-{digits(r, 3)}-{digits(r, 3)}-{digits(r, 3)}", f"batch {digits(r, 12)}", f"Set the {w()} of {syll(r)} to {digits(r, 4)} before the {w()} starts.",
-        f"[{cap()} {cap()}]", f"{cap()} {cap()} {digits(r, 2)}", f"\"{cap()} {cap()}\"", f"uuid {digits(r, 8)}-{digits(r, 4)}-{digits(r, 4)}", f"On staging production we saw {digits(r, 4)} {syll(r)} entries, most of them {w()}.", f"ip 10.{digits(r, 2)}.{digits(r, 3)}.{digits(r, 2)}",
-    ])
-
-
-def plain(r: random.Random) -> str:
-    if r.random() < 0.12:
-        f, w, x = r.choice(FIRST), r.choice(WORDS), syll(r).capitalize()
-        cap = lambda: r.choice(WORDS).capitalize()
-        return r.choice([f"The {f} widget has no {w}.", f"Font {f} {r.choice(['Mono', 'Sans', x])} is {w}.", f"Build {r.randint(1, 40)}.{r.randint(0, 9)}.{digits(r, 3)}.{r.randint(0, 9)} is live.", f"The {x} {w} {w} the {w}.", f"{x} {r.choice(WORDS).capitalize()} and {syll(r).capitalize()} Studio are retired.",
-            f"{cap()} {cap()} and {cap()} {cap()} are {w}.", f"{cap()} {cap()} Edition adds a {cap()} {cap()}.", f"Port {r.choice(['8080', digits(r, 4)])}, shard {digits(r, 2)}-{digits(r, 2)}-{digits(r, 4)}.", f'"hint":"{cap()} {cap()} and {cap()} {cap()} are {w}."'])
-    if r.random() < 0.5:
-        return decoy(r)
-    s = " ".join(r.choice([r.choice(WORDS), syll(r), r.choice(WORDS), digits(r, r.randint(1, 4))]) for _ in range(r.randint(3, 9)))
-    return s[0].upper() + s[1:] + r.choice(".?!")
+    """Something that looks like one of the kinds and is none."""
+    w, cap = (lambda: word(r)), (lambda: word(r).capitalize())
+    n = lambda k: digits(r, k)
+    x = r.randint(0, 39)
+    if x < 6:  # capitalised words in a row: titles, products, places, brands
+        return r.choice([f"{cap()} {cap()}", f"{cap()} {cap()} {cap()}", f"{cap()} {cap()} and {cap()} {cap()}", f"{made_up(r).capitalize()} {cap()}", f"{cap()} {made_up(r).capitalize()} {cap()}", r.choice(CITIES).replace("_", " "), f"{r.choice(CITIES).replace('_', ' ')} {cap()}", f"{r.choice(['The', 'A', 'This', 'Your', 'Our', 'No', 'All'])} {cap()} {cap()}"])
+    if x < 10:  # a given name alone, or as part of the name of a thing
+        f, t = r.choice(FIRST), r.choice(TECH)
+        return r.choice([f"{f} {t}", f"{f} {t.capitalize()}", f"the {f} {t}", f"{t.capitalize()} {f}", f"{f} {n(1)}.{n(1)}", f"{f} {r.choice(BASIC[70:])}", f, f"{f} {cap()} {t}"])
+    if x < 14:
+        return r.choice([f"{r.choice(['Monday', 'Tuesday', 'Friday', 'Sunday'])} {cap()}", f"{r.choice(['January', 'March', 'May', 'June', 'August'])} {r.randint(1, 31)}", f"{r.choice(['Mon', 'Wed', 'Sat'])}, {n(2)} {r.choice(['Jan', 'Apr', 'Oct'])} 20{n(2)}", f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/20{n(2)}", f"{n(2)}:{n(2)}:{n(2)}", f"20{n(2)}-{n(2)}-{n(2)}T{n(2)}:{n(2)}:{n(2)}.{n(3)}Z", f"{n(2)}.{n(2)}.20{n(2)}"])
+    if x < 22:  # long numbers without a meaning
+        return r.choice([f"1{r.choice('5678')}{n(8)}", f"1{r.choice('5678')}{n(11)}", f"1{r.choice('5678')}{n(14)}", f"{w()} {n(10)}", n(12), n(14), n(18), n(20), f"{n(2)}-{n(4)}-{n(2)}", f"{n(4)}-{n(2)}", f"{n(3)}.{n(3)}", f"{n(2)}-{n(2)}-{n(4)}", f"{n(3)}-{n(3)}", f"{n(4)} {n(3)} {n(2)}", f"{n(4)}-{n(4)}", f"{n(3)},{n(3)},{n(3)}", f"{n(1)}{n(6)}", f"#{n(6)}", f"-{n(1)}.{n(9)}", f"0.{n(8)}", f"{n(3)}-{n(3)}-{n(3)}-{n(3)}", f"{n(2)} {n(2)} {n(2)}"])
+    if x < 26:
+        return r.choice([f"{r.randint(0, 30)}.{n(1)}.{n(2)}", f"v{n(1)}.{n(2)}", f"{n(1)}.{n(1)}.{n(3)}.{n(1)}", f"{r.randint(1, 255)}.{n(2)}.{n(3)}.{n(2)}", f"{n(2)}.{n(3)}.{n(4)}.{n(1)}", f"{n(1)}.{n(1)}.{n(4)}.{n(3)}", f"{made_up(r)}-{made_up(r)}@{n(1)}.{n(2)}.{n(1)}", f"{w()}@{n(1)}x.png", f"@{r.choice(CSS)}", f"@{made_up(r)}/{made_up(r)}", f"@{w()}", f"{w()}@{n(2)}"])
+    if x < 30:
+        return r.choice([hexes(r, r.choice([8, 10, 16, 32, 40])), f"{hexes(r, 8)}-{hexes(r, 4)}-{hexes(r, 4)}-{hexes(r, 4)}-{hexes(r, 12)}", f"#{hexes(r, 6)}", f"{r.choice('ABCDEFGH')}{r.choice('ABCDEFGH')}-{n(4)}", f"{made_up(r, 1, 1)}{n(4)}{made_up(r, 1, 1)}", f"{n(4)}{r.choice('abcdef')}{n(4)}", f"{r.choice('abcdef')}{n(7)}", f"0x{hexes(r, 8)}"])
+    if x < 36:  # a word of streets, or a house number, without an address
+        s = r.choice([*STREET, "Room", "Floor", "Unit", "Chapter", "Section", "Level", "Step", "Table", "Figure", "Line", "Rack", "Bay", "Gate", "Zone", "Page", "Part"])
+        return r.choice([f"{s} {r.randint(1, 99)}", f"{s}-{r.randint(1, 99)}", f"{cap()} {s}", f"{r.randint(1, 99)} {w()}", f"{r.randint(2, 9)} {cap()} {w()}", f"{s} {cap()}", f"the {s.lower()} {w()}", f"{cap()} {r.randint(1, 99)}", f"{r.randint(1, 99)} {cap()}", f"{cap()} {s} {r.randint(1, 9)}.{n(1)}", f"{n(4)} {w()} {w()}", f"the {r.randint(2, 5)} {s} {w()}", f"{cap()} {r.randint(1, 9)} {cap()}"])
+    return r.choice([f"{n(2)}%", f"{n(3)} MB", f"{n(2)}:{n(1)}", f"{n(2)}x{n(2)}", f"${n(2)}.{n(2)}", f"{n(3)} ms", f"{n(4)}x{n(3)}px", f"HTTP/{n(1)}.{n(1)} {n(3)}", f":{n(4)}", f"{n(1)}-{n(1)}-{n(1)}", f"({n(2)}, {n(2)})", f"[{n(2)}]", f"{n(3)} at {n(2)}", f"look at {made_up(r)} dot {w()}"])
 
 
 Span = tuple[str, str | None]
 
 
-def fact(r: random.Random, kind: str) -> list[Span]:
-    """A phrase, a JSON member or a parameter that holds one of the kind, as (text, kind or None) parts."""
-    value = MAKE[kind](r)
-    x = r.random()
-    if kind in ("name", "phone", "id_number") and x > 0.85:
-        before, after = (" ".join(r.choice(WORDS) for _ in range(r.randint(1, 3))) for _ in range(2))
-        return [(before.capitalize() + " ", None), (value, kind), (r.choice([" ", ", ", ". "]) + after, None)]
-    if kind == "id_number" and x < 0.3:
-        return [(f'"{r.choice(KEYS[kind])}":{r.choice(["", " "])}"', None), (value, kind), ('"' + r.choice([",", "}", "}}", "},{"]), None)]
-    if kind == "name" and x < 0.12:
-        f, s = r.choice(FIRST), last(r)
-        gap = r.choice(["", " "])
-        return [(f'"first_name":{gap}"', None), (f, "name"), (f'",{gap}"last_name":{gap}"', None), (s, "name"), ('"', None)]
-    if x < 0.35:
-        gap = r.choice(["", " "])
-        return [(f'"{r.choice(KEYS[kind])}":{gap}"', None), (value, kind), ('"' + r.choice([",", "}", "}}"]), None)]
-    if x < 0.65:
-        return [(r.choice(["", "&", "?"]) + r.choice(KEYS[kind]) + "=", None), (value, kind), (r.choice(["&", ""]), None)]
-    a, b = r.choice(PHRASES[kind]).split("{}")
-    return [(a, None), (value, kind), (b, None)]
-
-
-def hexes(r: random.Random, n: int = 10) -> str:
-    return "".join(r.choice("0123456789abcdef") for _ in range(n))
-
-
-def dull(r: random.Random) -> str:
-    """JSON, page and log scaffolding around nothing personal."""
-    w, gap = syll(r), r.choice(["", " "])
-    return r.choice([
-        f'{{"k":{gap}"{w}",{gap}"n":{gap}{digits(r, 4)},{gap}"note":{gap}"{plain(r)}"}},{gap}', f'{{"rid": "{hexes(r)}", "msg": "{plain(r)}"}}', f'<title>{w}</title></head><body data-run="{hexes(r)}"><p>{plain(r)}</p>',
-        f"A {r.choice(WORDS)} {r.choice(WORDS)} is kept for {digits(r, 4)} seconds, then {w} normalises it.", f"We moved {w} ({digits(r, 4)} MB) from the mobile client to {syll(r)}.", f"See {w} for the {r.choice(WORDS)} list and {syll(r)} for its bundle.", f"-- {hexes(r)}",
-        f"Earlier notes call this {w}; the screen says {syll(r)}.", f"Ask whoever runs {w} whether the {r.choice(WORDS)} was {r.choice(WORDS)}.", f"Compare {w} with {syll(r)}: the first retries, the second merges.", f"{w}: {digits(r, 4)} of {digits(r, 4)} attempts ended with a {r.choice(WORDS)} {r.choice(WORDS)}.",
-    ])
-
-
-def parameters(r: random.Random) -> list[Span]:
-    out: list[Span] = [(r.choice(["", "", "https://a.example/v2/items?", "/x?"]), None)]
-    for i in range(r.randint(1, 4)):
-        if i:
-            out.append(("&", None))
-        if r.random() < 0.45:
-            kind = r.choice(KINDS)
-            out += [(r.choice(KEYS[kind]) + "=", None), (MAKE[kind](r), kind)]
+def sentence(r: random.Random, kind: str | None) -> list[Span]:
+    """Random words with one value, or a decoy, or nothing, among them."""
+    before, after = words(r, 0, 6), words(r, 0, 6)
+    if kind is None:
+        mid: list[Span] = [(decoy(r), None)] if r.random() < 0.75 else []
+        if mid and r.random() < 0.3:  # words that go before values go before others too
+            before = (before + " " + r.choice(LEADS[r.choice(KINDS)])).strip()
+    else:
+        lead = r.random() < 0.6
+        value = MAKE[kind](r, bare=True) if kind in ("phone", "id_number") and lead and r.random() < 0.2 else MAKE[kind](r)
+        if lead:
+            x = r.choice(LEADS[kind])
+            before = " ".join(x for x in (before, x, r.choice(["", "", "", "is", "no.", "number", "of", "on", "at"]) if kind != "name" else "") if x)
+        mid = [(value, kind)]
+    if before:
+        before = (before[0].upper() + before[1:] if r.random() < 0.7 else before) + r.choice([" ", " ", " ", " ", ": ", ", ", " (", ' "', "\n", " <"])
+    after = (r.choice([" ", " ", ", ", "; ", ") ", '" ', ". ", ">, "]) if after and mid else "") + after + r.choice([".", ".", ".", "!", "?", "", ";", ":"])
+    return [(before, None), *mid, (after, None)]
+
+
+def member(r: random.Random, kind: str | None, style: int) -> list[Span]:
+    """A key with its value, as in JSON (0), a form (1), a log line (2) or markup (3)."""
+    if kind is None:
+        key = r.choice([word(r), made_up(r), "id", "ts", "time", "ref", "q", "page", "sort", "v", "cid", "sid", "utm", r.choice(KEYS[r.choice(KINDS)])])
+        value: list[Span] = [(r.choice([decoy(r), decoy(r), word(r), digits(r, r.randint(1, 6)), made_up(r), "true", "null", ""]), None)]
+    else:
+        key = r.choice(KEYS[kind])
+        if kind == "name" and r.random() < 0.12:
+            q = ('"', '"') if style == 0 else ("", "")
+            one, two = r.choice([("first_name", "last_name"), ("firstName", "lastName"), ("given_name", "family_name"), ("fname", "lname")])
+            sep = {0: ('"%s":' + r.choice(["", " "]), ","), 1: ("%s=", "&"), 2: ("%s=", " "), 3: ("<%s>", "</x>")}[style]
+            f, s = first_name(r), surname(r)
+            return [(sep[0] % one + q[0], None), (f, "name"), (q[1] + sep[1] + sep[0] % two + q[0], None), (s, "name"), (q[1], None)]
+        if r.random() < 0.3:
+            key = r.choice([made_up(r, 1, 2), word(r), "q", "u", "p", "text", "value", "data"])
+            value = [(MAKE[kind](r), kind)]
         else:
-            out.append((r.choice([f"ts=17{digits(r, 8)}", f"id={hexes(r)}", f"cid={card(r, False, '9').replace(' ', '').replace('-', '')}", f"page={digits(r, 4)}", f"q={syll(r)}", f"sort={r.choice(WORDS)}", "img=icon@2x.png", f"v=10.2.{digits(r, 3)}", f"step={hexes(r)}"]), None))
-    return out
+            value = [(MAKE[kind](r, bare=True) if kind in ("phone", "id_number") and r.random() < 0.2 else MAKE[kind](r), kind)]
+    key = key if r.random() < 0.9 else key.upper()
+    if style == 0:
+        return [(f'"{key}":{r.choice(["", " "])}"', None), *value, ('"', None)]
+    if style == 3:
+        tag = r.choice(["td", "p", "span", "li", "b", "div", key])
+        return [(f"<{tag}>", None), *value, (f"</{tag}>", None)]
+    return [(key + r.choice(["=", "=", ": "] if style == 2 else ["="]), None), *value]
 
 
 def example(r: random.Random, width: int) -> tuple[str, np.ndarray]:
-    join = r.choice([" ", "</p>\n<p>", "\n", '","note":"', "&"])
+    """A window of a made-up text; where it begins is random, so values stand anywhere and are cut at edges too."""
     parts: list[Span] = []
-    if r.random() < 0.3:
-        parts = parameters(r)
+    pick = lambda share: r.choice(KINDS) if r.random() < share else None
+    form = r.random()
+    if form < 0.45:
+        join = r.choice([" ", " ", "\n", "\n\n", "</p>\n<p>", "<br>", "\\n"])
+        for _ in range(r.randint(2, 5)):
+            parts += [*sentence(r, pick(0.4)), (join, None)]
     else:
-        for _ in range(r.randint(2, 4)):
-            parts += fact(r, r.choice(KINDS)) if r.random() < 0.4 else [(dull(r) if r.random() < 0.5 else plain(r), None)]
-            parts.append((join, None))
+        style = r.choice([0, 0, 1, 1, 1, 2, 3])
+        join = {0: r.choice([",", ", ", ",\n  ", "},{"]), 1: "&", 2: r.choice([" ", ", ", "; ", "\n"]), 3: r.choice(["", "\n"])}[style]
+        parts = [(r.choice(["", "", f"https://{made_up(r)}.{r.choice(TLDS)}/{made_up(r)}/{word(r)}?", f"/{word(r)}?", "{"]), None)]
+        if style == 1 and r.random() < 0.3:
+            kind = pick(0.5)
+            parts = [(f"https://{made_up(r)}.{r.choice(TLDS)}/{r.choice([word(r), made_up(r)])}/", None), (MAKE[kind](r) if kind else made_up(r), kind), (r.choice(["?", "/", "#", ""]), None)]
+        for _ in range(r.randint(2, 7)):
+            kind = pick(0.4)
+            if style == 0 and r.random() < 0.25:
+                parts += [(f'"{r.choice(["text", "message", "note", "body", word(r)])}":"', None), *sentence(r, kind), ('"', None), (join, None)]
+            else:
+                parts += [*member(r, kind, style), (join, None)]
     text, tags = "", []
     for s, kind in parts:
+        if kind == "name" and s.isspace():
+            kind = None
         text += s
         t = 0 if kind is None else 2 + 2 * KINDS.index(kind)
         tags += [t] * len(s)
         if kind is not None and s:
             tags[-len(s)] = t - 1
-    off = r.randint(0, max(0, len(text) - width))
+    off = r.randint(0, max(0, len(text) - width)) if r.random() < 0.7 else 0
     cut = tags[off : off + width]
     return text[off : off + width], np.array(cut + [0] * (width - len(cut)))
 
@@ -246,7 +336,7 @@ def _work(job: tuple[dict, int, int, int]) -> tuple[float, dict]:
     return loss_and_gradients(w, *batch(seed, n, width))
 
 
-def held_out(w: dict, seed: int = 10**9, n: int = 2000, width: int = 96) -> dict[str, float]:
+def held_out(w: dict, seed: int = 10**9, n: int = 2000, width: int = 128) -> dict[str, float]:
     """Share of characters tagged right, and of characters of each kind, on examples never trained on."""
     ids, tags = batch(seed, n, width)
     got = viterbi(w, emissions(w, ids), (ids > 0).sum(1))
@@ -255,7 +345,8 @@ def held_out(w: dict, seed: int = 10**9, n: int = 2000, width: int = 96) -> dict
     return out | {k: float((kind == i + 1)[true == i + 1].mean()) for i, k in enumerate(KINDS)}
 
 
-def train(steps: int, seconds: float, workers: int = 8, n: int = 64, width: int = 96, rate: float = 2e-3, path: str = WEIGHTS, resume: bool = False) -> None:
+def train(steps: int, seconds: float, workers: int = 6, n: int = 96, width: int = 128, rate: float = 3e-3, path: str = WEIGHTS, resume: bool = False) -> None:
+    """Adam over the mean gradients of the workers, the rate falling to nothing by the end of ``steps`` or ``seconds``."""
     import time
 
     w = load(path) if resume else new_weights()
@@ -269,13 +360,15 @@ def train(steps: int, seconds: float, workers: int = 8, n: int = 64, width: int
             g = {k: sum(x[1][k] for x in got) / workers for k in w}
             norm = float(np.sqrt(sum((x * x).sum() for x in g.values())))
             scale = min(1.0, 5.0 / (norm + 1e-9))
-            lr = rate * (1 - done) + 2e-4
+            lr = (1e-3 if resume else rate) * (1 - done) + 1e-4
             for k in w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k] * scale
                 v[k] = 0.99 * v[k] + 0.01 * (g[k] * scale) ** 2
                 w[k] = (w[k] - lr * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
             if step % 50 == 0:
                 print(step, round(sum(x[0] for x in got) / workers, 3), round(time.time() - began), flush=True)
+            if step % 500 == 0:
+                np.savez_compressed(path, **{k: x.astype(np.float16) for k, x in w.items()})
             if done >= 1:
                 break
     np.savez_compressed(path, **{k: x.astype(np.float16) for k, x in w.items()})
@@ -283,4 +376,4 @@ def train(steps: int, seconds: float, workers: int = 8, n: int = 64, width: int
 
 
 if __name__ == "__main__":
-    train(100_000, float(sys.argv[1]) if len(sys.argv) > 1 else 240.0, resume="--resume" in sys.argv)
+    train(100_000, float(sys.argv[1]) if len(sys.argv) > 1 else 1200.0, resume="--resume" in sys.argv)
