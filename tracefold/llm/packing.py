@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,29 +29,37 @@ def token_counts(docs: DataFrame, key: str, text: str, tokenizers: str = TOKENIZ
     return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, n_tokens long")
 
 
-def best_fit(sizes: np.ndarray, capacities: tuple[int, ...], open_at: str) -> tuple[np.ndarray, np.ndarray]:
+def best_fit(sizes: np.ndarray, capacities: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Bin number per item (sizes in decreasing order) and final capacity per bin.
 
     An item goes to the open bin it leaves least room in. If none takes it, a
-    new bin opens: of the smallest capacity that holds the item, or of the
-    largest. At the end each bin shrinks to the smallest capacity that holds its
-    contents. The rooms are a bit set, so finding the bin is one shift.
+    bin of the least cost opens: per token of capacity, the room that is likely
+    to stay empty (all of it, if not even the smallest item fits in; else what
+    the items still to come, less the room already open, can't fill) and a token
+    for the bin itself. At the end each bin shrinks to the smallest capacity that
+    holds its contents. The rooms are a bit set, so finding the bin is one shift.
     """
     top = capacities[-1]
     rooms: list[list[int]] = [[] for _ in range(top + 1)]
     mask = 0
     used: list[int] = []
     at = np.empty(len(sizes), dtype=np.int64)
+    coming, open_room = int(sizes.sum()), 0
+    least = int(sizes[-1]) if len(sizes) else 0
     for i, s in enumerate(sizes.tolist()):
+        coming -= s
         if higher := mask >> s:
             room = s + (higher & -higher).bit_length() - 1
             k = rooms[room].pop()
             if not rooms[room]:
                 mask &= ~(1 << room)
+            open_room -= s
         else:
             k = len(used)
             used.append(0)
-            room = top if open_at == "largest" else next(c for c in capacities if c >= s)
+            free = max(0, coming - open_room)
+            room = min((c for c in capacities if c >= s), key=lambda c: (((c - s if c - s < least else max(0, c - s - free)) + 1) / c, c))
+            open_room += room - s
         used[k] += s
         at[i] = k
         if room > s:
@@ -67,9 +76,8 @@ def pack(items: DataFrame, key: str, size: str, capacities: tuple[int, ...] = CA
     ``container_id``, ``capacity``, ``position`` (where the part starts in its
     container). Only items larger than the largest capacity are split, into full
     containers and a rest. Items without tokens need no room: their container is
-    NULL. Items are spread by a hash of their content over shards of bounded
-    size, so repeated or clashing keys do no harm; in each shard both ways of
-    opening bins are tried and the one with less total capacity is kept.
+    NULL. Items are dealt out row by row over shards of bounded size, whatever
+    they hold, so repeated rows or keys make no shard larger than another.
     """
     capacities = tuple(sorted(capacities))
     top = capacities[-1]
@@ -80,25 +88,22 @@ def pack(items: DataFrame, key: str, size: str, capacities: tuple[int, ...] = CA
     parts = parts.select("k", "part", (F.col("no") * top).alias("a"), F.least("n", (F.col("no") + 1) * top).alias("b"))
     count = parts.count()
     shards = max(1, round(count / shard_items))
-    placed = parts.withColumn("shard", F.pmod(F.xxhash64("k", "part", "b"), F.lit(shards)).cast("int"))
 
     def run(batches):
         t = pa.Table.from_batches(list(batches), schema=arrow)
         if not t.num_rows:
             return
-        shard = t.column("shard").to_numpy()
+        shard = TaskContext.get().partitionId()
         a, b = t.column("a").to_numpy(), t.column("b").to_numpy()
-        for s in np.unique(shard):
-            rows = np.flatnonzero((shard == s) & (b > a))
+        rows = np.flatnonzero(b > a)
+        if len(rows):
             rows = rows[np.lexsort((rows, a[rows] - b[rows]))]
             sizes = b[rows] - a[rows]
-            at, final = min((best_fit(sizes, capacities, how) for how in ("largest", "smallest")), key=lambda x: int(x[1].sum()))
+            at, final = best_fit(sizes, capacities)
             by_bin = np.argsort(at, kind="stable")
             rows, at, sizes = rows[by_bin], at[by_bin], sizes[by_bin]
-            run_ = np.cumsum(sizes) - sizes
-            heads = np.searchsorted(at, at)
-            own = t.take(pa.array(rows))
-            yield from _batches(own, pa.array((int(s) << 40) + at), pa.array(final[at].astype(np.int64)) if len(at) else pa.array([], pa.int64()), pa.array(run_ - run_[heads] if len(at) else run_))
+            before = np.cumsum(sizes) - sizes
+            yield from _batches(t.take(pa.array(rows)), pa.array((shard << 40) + at), pa.array(final[at].astype(np.int64)), pa.array(before - before[np.searchsorted(at, at)]))
         empty = np.flatnonzero(b <= a)
         if len(empty):
             none = pa.nulls(len(empty), pa.int64())
@@ -110,9 +115,9 @@ def pack(items: DataFrame, key: str, size: str, capacities: tuple[int, ...] = CA
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(placed.schema)
+    arrow = to_arrow_schema(parts.schema)
     out = f"`{key}` {kind}, part int, token_from long, token_to long, container_id long, capacity long, position long"
-    return placed.repartition(shards, "shard").mapInArrow(run, out)
+    return parts.repartition(shards).mapInArrow(run, out)
 
 
 def p8_containers(spark: SparkSession, store: str) -> DataFrame:
