@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tracefold.functions.instants import with_instant
 from tracefold.operators.timestamps import import_zones
 from tracefold.plans.scan import changes, key_at, ordered_scan
+from tracefold.plans.shared import Spool
 from tracefold.sources import table
 
 #: Instants and ends are held within this many microseconds of 1970, so sums can't overflow.
@@ -18,58 +19,71 @@ FAR_US = 4 * 10**18
 
 
 def islands(df: DataFrame, keys: list[str], start: str, end: str, tie: str) -> DataFrame:
-    """``df`` with, per row, the end of cover so far and whether it opens a new period.
+    """``df`` with, per row, the end of cover so far, whether it opens a new period, and where its period began.
 
     ``covered_to``: the largest ``end`` among earlier rows of the same keys in
     the order of (start, tie), NULL for the first. ``opens``: true if the row
     starts a period, that is, it is the first or starts after ``covered_to``.
-    Rows with NULL start or end must be left out before. Rows are range-sorted
-    by keys and start, each partition leaves its last key with the largest end,
-    and the second pass starts from the combined maxima; a key with very many
-    rows therefore spreads over partitions.
+    ``period_from``: the start of the row that opened its period, a label that no
+    other period of the keys has. Rows with NULL start or end must be left out
+    before. Rows are range-sorted by keys and start, each partition leaves its
+    last key with the largest end and the last opening, and the second pass
+    starts from the combined states; a key with very many rows therefore spreads
+    over partitions.
     """
+    import pandas as pd
+
     names = df.columns
-    schema = T.StructType([*df.schema.fields, T.StructField("covered_to", T.LongType()), T.StructField("opens", T.BooleanType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("covered_to", T.LongType()), T.StructField("opens", T.BooleanType()), T.StructField("period_from", T.LongType())])
+
+    def cover(b, key, top):
+        """Per row: is its key new, the cover before it (and whether there is any), the cover after it."""
+        new = changes(b, keys, key)
+        ends = b.column(end).to_numpy()
+        group = np.cumsum(new)
+        most = pd.Series(ends).groupby(group).cummax().to_numpy().copy()
+        if top is not None:
+            most[group == 0] = np.maximum(most[group == 0], top)
+        before = np.empty(len(ends), dtype=np.int64)
+        before[1:] = most[:-1]
+        before[0] = top if top is not None and not new[0] else 0
+        none = new.copy()
+        if key is None:
+            none[0] = True
+        return new, before, none, most
 
     def summarise(batches):
-        first = last = top = None
+        first = key = top = opened = None
         single = True
         for b in batches:
-            new = changes(b, keys, last)
+            new, before, none, most = cover(b, key, top)
             if first is None:
                 first, new[0] = key_at(b, keys, 0), False
-            at = np.flatnonzero(new)
-            ends = b.column(end).to_numpy()
+            starts = b.column(start).to_numpy()
+            at = np.flatnonzero(none | (starts > before))
+            single = single and not new.any()
             if len(at):
-                single, top, ends = False, None, ends[at[-1] :]
-            top = max(int(ends.max()), top) if top is not None else int(ends.max())
-            last = key_at(b, keys, b.num_rows - 1)
-        return first, last, single, top
+                opened = int(starts[at[-1]])
+            key, top = key_at(b, keys, b.num_rows - 1), int(most[-1])
+        return first, key, single, top, opened
 
     def combine(carry, s):
-        first, last, single, top = s
-        return (last, max(top, carry[1])) if single and carry and carry[0] == first else (last, top)
+        first, key, single, top, opened = s
+        if not (single and carry and carry[0] == first):
+            return key, top, opened
+        # an opening found without knowing the cover carried in holds only if it lies beyond that
+        return key, max(top, carry[1]), opened if opened > carry[1] else carry[2]
 
     def rescan(batches, carry):
-        import pandas as pd
-
-        key, top = carry or (None, None)
+        key, top, opened = carry or (None, None, None)
         for b in batches:
-            new = changes(b, keys, key)
-            n = b.num_rows
-            group = np.cumsum(new)
-            ends, starts = b.column(end).to_numpy(), b.column(start).to_numpy()
-            most = pd.Series(ends).groupby(group).cummax().to_numpy().copy()
-            if top is not None:
-                carried = group == 0
-                most[carried] = np.maximum(most[carried], top)
-            covered = np.empty(n, dtype=np.int64)
-            covered[1:] = most[:-1]
-            covered[0] = top if top is not None and not new[0] else 0
-            covered_null = new.copy()
-            opens = new | (starts > covered)
-            key, top = key_at(b, keys, n - 1), int(most[-1])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(covered, mask=covered_null), pa.array(opens)], names=[*names, "covered_to", "opens"])
+            new, before, none, most = cover(b, key, top)
+            starts = b.column(start).to_numpy()
+            opens = none | (starts > before)
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(starts)), -1))
+            label = np.where(at >= 0, starts[np.maximum(at, 0)], 0 if opened is None else opened)
+            key, top, opened = key_at(b, keys, b.num_rows - 1), int(most[-1]), int(label[-1])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(before, mask=none), pa.array(opens), pa.array(label)], names=[*names, "covered_to", "opens", "period_from"])
 
     return ordered_scan(df, keys, [start, tie], summarise, combine, rescan, schema)
 
@@ -85,6 +99,8 @@ def busy_intervals(spark: SparkSession, store: str) -> DataFrame:
     e = with_instant(e.join(import_zones(spark, store), "import_id", "left"), F.col("started_at"), F.col("zone"), "start_us")
     length = F.round(F.least(F.col("time_ms") * 1000.0, F.lit(float(FAR_US // 2)))).cast("long")
     e = e.where(F.col("start_us").between(-FAR_US // 2, FAR_US // 2)).withColumn("end_us", F.col("start_us") + length)
+    # written once, so that finding the ranges and sorting into them don't parse again
+    e = Spool(spark).put("intervals", e.select("import_id", "id", "start_us", "end_us", "connection_id", "page_id"))
     kind = F.explode(F.array(
         F.struct(F.lit("connection").alias("entity_kind"), F.col("connection_id").alias("entity_id")),
         F.struct(F.lit("page").alias("entity_kind"), F.col("page_id").alias("entity_id")),
@@ -102,19 +118,9 @@ def gaps(rows: DataFrame) -> DataFrame:
 
 
 def periods(rows: DataFrame) -> DataFrame:
-    """The continuous busy periods: first start, last end, entries in each.
-
-    A second scan numbers the periods: the label of a row is the number of
-    openings up to it, carried across partitions like the maxima.
-    """
-    from tracefold.plans.scan import running_sum
-
-    i = islands(rows, KEYS, "start_us", "end_us", "id").withColumn("__open", F.col("opens").cast("long"))
-    n = running_sum(i.drop("covered_to", "opens"), KEYS, ["start_us", "id"], "__open", "__before")
-    label = (F.col("__before") + F.col("__open")).alias("period_no")
-    return n.select(*KEYS, label, "start_us", "end_us").groupBy(*KEYS, "period_no").agg(
-        F.min("start_us").alias("busy_from_us"), F.max("end_us").alias("busy_to_us"), F.count(F.lit(1)).alias("n_entries")
-    )
+    """The continuous busy periods: first start, last end, entries in each. Their label comes from the same scan."""
+    i = islands(rows, KEYS, "start_us", "end_us", "id")
+    return i.groupBy(*KEYS, F.col("period_from").alias("busy_from_us")).agg(F.max("end_us").alias("busy_to_us"), F.count(F.lit(1)).alias("n_entries"))
 
 
 def p3_found(spark: SparkSession, store: str) -> DataFrame:

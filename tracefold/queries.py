@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, matching, search, timestamps, views
-from tracefold.plans import forest_sql
+from tracefold.plans import forest_sql, instant_sql
 from tracefold.sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,7 +147,6 @@ _CANDIDATE = """upper(method) = 'GET' AND status = 200 AND response_body_size >
   AND NOT regexp_matches(lower(coalesce(response_headers::JSON->>'$."cache-control"', '')), 'no-store|no-cache|max-age=0')
   AND response_headers::JSON->>'$.etag' IS NULL AND response_headers::JSON->>'$."last-modified"' IS NULL AND response_headers::JSON->>'$.expires' IS NULL"""
 _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
-_CANON = r"regexp_matches(started_at, '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:]{8}\.[0-9]{3}Z$')"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -160,6 +159,10 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": forest_sql.FOUND,
         "p1_hierarchy": forest_sql.HIERARCHY,
         "p1_descendants": forest_sql.DESCENDANTS,
+        "p3_found": instant_sql.GAPS,
+        "p3_periods": instant_sql.PERIODS,
+        "p7_found": instant_sql.FOUND,
+        "p7_normalised": instant_sql.NORMALISED,
         "p4_found": f"SELECT {_HOST} AS host FROM entries GROUP BY 1 HAVING host IS NOT NULL AND count(*) * 40 >= (SELECT count(*) FROM entries)",
         "p4_hosts": """SELECT nullif(regexp_replace(lower(e.host), '\\.$', ''), '') AS host, count(*) AS n_entries,
   CAST(coalesce(sum(e.response_body_size) FILTER (WHERE e.response_body_size >= 0), 0) AS BIGINT) AS body_bytes,
@@ -191,9 +194,8 @@ SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS connections, count(*) FIL
         "filter_extension": kept(f"{_EXT} IN ('css', 'js', 'png')"),
         "filter_sample": "SELECT id FROM entries WHERE left(sha256(coalesce(entry_hash, '') || coalesce(url, '') || coalesce(started_at, '')), 8) < '40000000'",
         "url_parts": f"SELECT id, CASE WHEN {_GOOD} THEN lower({_PART(1)}) END AS scheme, CASE WHEN {_GOOD} THEN lower({_PART(2)}) END AS host, CASE WHEN {_GOOD} THEN nullif({_PART(3)}, '') END AS port, {_PATH} AS path, CASE WHEN {_GOOD} THEN nullif({_PART(5)}, '') END AS query, {_EXT} AS extension, {_SERVER} AS server FROM entries",
-        "waterfall_offsets": f"WITH t AS (SELECT id, import_id, epoch_us(try_cast(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS us FROM entries WHERE {_CANON}) SELECT id, import_id, (us - min(us) OVER (PARTITION BY import_id)) // 1000 AS offset_ms FROM t WHERE us IS NOT NULL",
-        "navigation_sessions": f"""WITH t AS (SELECT id, import_id, started_at, CASE WHEN {_NAV} THEN 1 ELSE 0 END AS nav, row_number() OVER (PARTITION BY import_id ORDER BY started_at, id) AS k FROM entries WHERE page_id IS NULL AND started_at IS NOT NULL)
-SELECT id, import_id, CAST(sum(CASE WHEN k = 1 THEN 1 ELSE nav END) OVER (PARTITION BY import_id ORDER BY k) AS BIGINT) AS session FROM t""",
+        "waterfall_offsets": instant_sql.OFFSETS,
+        "navigation_sessions": instant_sql.SESSIONS,
         "phase_layout": " UNION ALL ".join(
             f"SELECT id, '{ph}' AS phase, round({a}, 6) AS start_ms, round({b}, 6) AS end_ms FROM entries WHERE {cond}"
             for t1 in [f"({z['blocked']} + {z['dns']})"]
@@ -225,8 +227,7 @@ FROM k LEFT JOIN m USING (path, method) GROUP BY path, method""",
 SELECT e.id, r.id AS recording_id, r.status AS recorded_status FROM entries e LEFT JOIN r ON r.m = upper(e.method) AND r.url = e.url AND r.k = 1 WHERE e.import_id % 2 = 0""",
         "certificate_list": "SELECT DISTINCT host, tls_cert_subject, tls_cert_issuer, tls_cert_expiry, tls_version, tls_cipher_suite, tls_cert_expiry <= '2026-01-01' AS expired FROM entries WHERE tls_cert_expiry IS NOT NULL",
         "request_chains": "SELECT count(*) AS entries, count(request_id) AS with_request_id, count(parent_request_id) AS with_parent, count(initiator_type) AS with_initiator, count(redirect_url) AS with_redirect FROM entries",
-        "time_range": f"""WITH t AS (SELECT epoch_us(try_cast(replace(replace(started_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) AS us, CASE WHEN NOT isnan(time_ms) AND time_ms >= 0 AND time_ms < 1e12 THEN time_ms ELSE 0 END AS ms FROM entries WHERE {_CANON})
-SELECT min(us) AS first_us, max(us) AS last_us, max(us + CAST(round(ms * 1000) AS BIGINT)) AS end_us FROM t WHERE us IS NOT NULL""",
+        "time_range": instant_sql.TIME_RANGE,
         "pages_of_entries": "SELECT e.import_id, e.page_id, p.title, count(*) AS n FROM entries e LEFT JOIN pages p ON p.id = e.page_id AND p.import_id = e.import_id GROUP BY 1, 2, 3",
         "bodies_of_entries": "SELECT e.id, e.response_body_hash AS hash, b.size, b.mime_type FROM entries e LEFT JOIN blobs b ON b.hash = e.response_body_hash WHERE e.response_body_hash IS NOT NULL",
         "graphql_operations": "SELECT graphql_operation_type AS kind, graphql_operation_name AS name, count(*) AS n FROM entries WHERE graphql_operation_type IS NOT NULL GROUP BY 1, 2",
