@@ -121,6 +121,7 @@ def test_capture_files(spark, tmp_path):
     (tmp_path / "a.har").write_text(json.dumps(CAPTURE))
     c = har.read_captures(spark, [str(tmp_path / "a.har")])
     e = har.redirect_parents(har.with_hash(har.entries_of(c))).orderBy("position").collect()
+    assert c.count() == 3
     assert [r.host for r in e] == ["shop.example"] * 2 and json.loads(e[0].request_headers) == {"a": "2"} and e[0].dns_ms is None and json.loads(e[0].entry_extensions) == {"_x": 1}
     assert e[0].redirect_url == "/b" and e[1].parent_request_id == "r1" and bytes(e[1].body) == b"hello" and e[0].is_redirect == 1 and len({r.entry_hash for r in e}) == 2
     assert har.pages_of(c).collect()[0].on_load_ms == 5 and har.blobs_of(har.entries_of(c)).count() == 1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.operators.hosts import measured
 from tracefold.plans.scan import running_sum
+from tracefold.plans.shared import Spool
 
 PHASES = {"total": "time_ms", "ttfb": "wait_ms", "dns": "dns_ms", "connect": "connect_ms", "ssl": "ssl_ms", "send": "send_ms", "receive": "receive_ms"}
 
@@ -23,9 +24,9 @@ def timing_stats(entries: DataFrame) -> DataFrame:
     Values are counted first; ranks come from a running sum over the counted
     values, range-sorted, so a phase with billions of rows needs no single task.
     """
-    rows = phases_long(entries)
-    counts = rows.groupBy("phase", "value").agg(F.count(F.lit(1)).alias("c"))
-    base = rows.groupBy("phase").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("min_ms"), F.max("value").alias("max_ms"), F.avg("value").alias("avg_ms"))
+    spool = Spool(entries.sparkSession)
+    counts = spool.put("counts", phases_long(entries).groupBy("phase", "value").agg(F.count(F.lit(1)).alias("c")))
+    base = counts.groupBy("phase").agg(F.sum("c").alias("n"), F.min("value").alias("min_ms"), F.max("value").alias("max_ms"), (F.sum(F.col("value") * F.col("c")) / F.sum("c")).alias("avg_ms"))
     ranked = running_sum(counts, ["phase"], ["value"], "c", "before").join(F.broadcast(base.select("phase", "n")), "phase")  # a row per phase
     picks = []
     for p in (50, 90, 95):
@@ -89,7 +90,9 @@ def error_endpoints(entries: DataFrame, k: int | None = None) -> DataFrame:
 
 def store_stats(entries: DataFrame, imports: DataFrame, blobs: DataFrame) -> DataFrame:
     e = entries.agg(F.count(F.lit(1)).alias("entries"), F.min("started_at").alias("first_at"), F.max("started_at").alias("last_at"), F.count_distinct("host").alias("hosts"))
-    i = imports.agg(F.count(F.lit(1)).alias("imports"), F.coalesce(F.sum("entry_count"), F.lit(0)).alias("counted"))
+    unknown = imports.where("entry_count is null").select(F.col("id").alias("import_id"))
+    stray = entries.select("import_id").join(unknown, "import_id", "left_semi").agg(F.count(F.lit(1)).alias("stray"))
+    i = imports.agg(F.count(F.lit(1)).alias("imports"), F.coalesce(F.sum("entry_count"), F.lit(0)).alias("known")).join(F.broadcast(stray)).select("imports", (F.col("known") + F.col("stray")).alias("counted"))
     b = blobs.agg(F.count(F.lit(1)).alias("blobs"), F.coalesce(F.sum("size"), F.lit(0)).alias("blob_bytes"))
     return e.join(F.broadcast(i)).join(F.broadcast(b))  # one row each
 
@@ -100,12 +103,43 @@ def import_listing(imports: DataFrame, entries: DataFrame) -> DataFrame:
     return j.select("id", "source_file", "status", F.coalesce("entry_count", "n", F.lit(0)).alias("entry_count"), "first_at", "last_at")
 
 
-def certificates(entries: DataFrame, until: str) -> DataFrame:
-    """Distinct certificates that expire up to ``until`` (text, as recorded)."""
+def expiry_bound(days: int, now: Column | None = None) -> Column:
+    """The UTC text that is ``days`` days (0 to 36500) after ``now`` (text; the current time if not given)."""
+    at = F.current_timestamp() if now is None else F.to_timestamp(now)
+    return F.date_format(F.to_utc_timestamp(at + F.make_dt_interval(F.lit(min(max(days, 0), 36500))), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def certificates(entries: DataFrame, until: str | Column) -> DataFrame:
+    """Distinct certificates that expire up to ``until`` (text, as recorded, or ``expiry_bound``)."""
     d = entries.where(F.col("tls_cert_expiry").isNotNull() & (F.col("tls_cert_expiry") <= until)).select("tls_cert_subject", "tls_cert_issuer", "tls_cert_expiry").distinct()
     return d.agg(F.count(F.lit(1)).alias("expiring"), F.min("tls_cert_expiry").alias("earliest"))
 
 
+def slow_counts(entries: DataFrame, total: float = 1000, ttfb: float = 500) -> DataFrame:
+    """How many entries take at least the given milliseconds, in all and until the first byte."""
+    return entries.agg(F.count_if(measured(F.col("time_ms")) >= total).alias("slow_total"), F.count_if(measured(F.col("wait_ms")) >= ttfb).alias("slow_ttfb"))
+
+
+def cache_totals(entries: DataFrame) -> DataFrame:
+    """All candidates as one row: URLs, requests and bytes."""
+    return cache_candidates(entries).agg(F.count(F.lit(1)).alias("urls"), F.coalesce(F.sum("n"), F.lit(0)).alias("requests"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def top(entries: DataFrame, column: str, k: int = 5) -> DataFrame:
+    """The k most frequent values with their counts, in the order of their names among equals."""
+    return entries.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+
+
+def store_info(entries: DataFrame, imports: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The overview as rows of (section, name, value): totals, dates, top hosts, request chains, top initiators."""
+    from tracefold.operators.matching import request_chains
+
+    stats = store_stats(entries, imports, blobs).select("entries", "hosts", "imports", "counted", "blobs", "blob_bytes", F.split_part("first_at", F.lit("T"), F.lit(1)).alias("first_date"), F.split_part("last_at", F.lit("T"), F.lit(1)).alias("last_date"))
+    long = lambda df, section: df.select(F.lit(section).alias("section"), F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in df.columns))).alias("x")).select("section", "x.name", "x.value")
+    named = lambda df, section: df.select(F.lit(section).alias("section"), F.col("value").alias("name"), F.col("n").cast("string").alias("value"))
+    return long(stats, "store").unionByName(long(request_chains(entries), "chains")).unionByName(named(top(entries, "host"), "hosts")).unionByName(named(top(entries, "initiator_type"), "initiators"))
+
+
 def orphan_blobs(blobs: DataFrame, entries: DataFrame) -> DataFrame:
     """Bodies that no entry names in any of its three hash columns."""
     used = entries.select(F.explode(F.array("request_body_hash", "response_body_hash", "response_body_hash_raw")).alias("hash")).where(F.col("hash").isNotNull()).distinct()
@@ -113,6 +147,8 @@ def orphan_blobs(blobs: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def blob_savings(entries: DataFrame) -> DataFrame:
-    """Bodies stored once and bodies saved by storing equal ones once."""
-    per = entries.where(F.col("response_body_hash").isNotNull()).groupBy("response_body_hash").agg(F.count(F.lit(1)).alias("n"), F.max("response_body_size").alias("size"))
-    return per.agg(F.count(F.lit(1)).alias("unique_bodies"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum((F.col("n") - 1) * F.coalesce("size", F.lit(0))).alias("bytes_saved"))
+    """Per side (request, response): bodies stored once, and bodies and bytes saved by storing equal ones once."""
+    side = lambda s: F.struct(F.lit(s).alias("side"), F.col(f"{s}_body_hash").alias("hash"), F.col(f"{s}_body_size").alias("size"))
+    rows = entries.select(F.explode(F.array(side("request"), side("response"))).alias("b")).select("b.*").where("hash is not null")
+    per = rows.groupBy("side", "hash").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    return per.groupBy("side").agg(F.count(F.lit(1)).alias("unique_bodies"), F.sum(F.coalesce("size", F.lit(0))).alias("unique_bytes"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum((F.col("n") - 1) * F.coalesce("size", F.lit(0))).alias("bytes_saved"))

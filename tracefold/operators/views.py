@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.operators.hosts import measured
@@ -25,6 +25,11 @@ def url_parts(url: Column) -> dict[str, Column]:
     }
 
 
+def host_of() -> Column:
+    """An entry's host, that of its URL where the column is NULL."""
+    return F.coalesce(F.col("host"), url_parts(F.col("url"))["host"])
+
+
 def server_base(url: Column) -> Column:
     """scheme://host with a port that is not the scheme's own."""
     u = url_parts(url)
@@ -79,31 +84,36 @@ def phase_layout(entries: DataFrame) -> DataFrame:
     return entries.select("id", F.explode(F.array(*rows)).alias("p")).where(F.col("p").isNotNull()).select("id", "p.phase", "p.start_ms", "p.end_ms")
 
 
-def spans(entries: DataFrame) -> DataFrame:
-    """One client span per entry with ids that are the same every time."""
-    seed = F.concat_ws("|", F.coalesce("entry_hash", F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("started_at", F.lit("")), F.col("id").cast("string"))
-    return entries.select(
-        "id", F.substring(F.sha2(seed, 256), 1, 32).alias("trace_id"), F.substring(F.sha2(F.concat(seed, F.lit("|request")), 256), 1, 16).alias("span_id"), F.concat_ws(" ", F.upper("method"), F.coalesce("path", F.lit("/"))).alias("name"),
-        F.when(F.col("status") >= 400, "Error").when(F.col("status").isNotNull(), "Ok").otherwise("Unset").alias("status_code"), measured(F.col("time_ms")).alias("duration_ms"),
+def ordinals(entries: DataFrame) -> DataFrame:
+    """Entries with a URL: METHOD, url and ``nth``, their place among equals in the order of (start, id), from 1.
+
+    Counted by a running sum over range-sorted rows, so a URL with very many
+    entries is spread over partitions. NULL starts come first.
+    """
+    rows = entries.where(F.col("url").isNotNull()).select(
+        F.coalesce(F.upper("method"), F.lit("")).alias("method"), "url", "started_at", "id", "status", "response_body_size", measured(F.col("time_ms")).alias("ms"), measured(F.col("wait_ms")).alias("ttfb"), "request_headers", "response_headers", F.lit(1).cast("long").alias("one"),
     )
+    return running_sum(rows, ["method", "url"], ["started_at", "id"], "one", "before").withColumn("nth", F.col("before") + 1).drop("one", "before")
 
 
 def ordinal_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """The n-th request of (METHOD, url) on the left against the n-th on the right.
 
     Rows that don't differ are left out. A status or size that is missing on one
-    side only is a change; times within a millionth are equal.
+    side only is a change, times within a millionth are equal, and so is any
+    header that differs. Deltas are right less left, NULL where either is missing.
     """
-    def numbered(df: DataFrame, tag: str) -> DataFrame:
-        w = Window.partitionBy("m", "url").orderBy("started_at", "id")
-        rows = df.where(F.col("url").isNotNull()).select(F.upper("method").alias("m"), "url", "started_at", "id", "status", "response_body_size", measured(F.col("time_ms")).alias("time_ms"))
-        return rows.withColumn("nth", F.row_number().over(w)).select(F.col("m").alias("method"), "url", "nth", F.col("status").alias(f"{tag}_status"), F.col("response_body_size").alias(f"{tag}_size"), F.col("time_ms").alias(f"{tag}_ms"), F.lit(1).alias(f"{tag}_in"))
-
-    j = numbered(left, "left").join(numbered(right, "right"), ["method", "url", "nth"], "full_outer")
-    slow = (F.abs(F.col("left_ms") - F.col("right_ms")) > 1e-6) | (F.col("left_ms").isNull() != F.col("right_ms").isNull())
-    differs = ~F.col("left_status").eqNullSafe(F.col("right_status")) | ~F.col("left_size").eqNullSafe(F.col("right_size")) | F.coalesce(slow, F.lit(False))
+    side = lambda df, t: ordinals(df).select("method", "url", "nth", F.col("status").alias(f"{t}_status"), F.col("response_body_size").alias(f"{t}_size"), F.col("ms").alias(f"{t}_ms"), F.col("ttfb").alias(f"{t}_ttfb"), F.col("request_headers").alias(f"{t}_rq"), F.col("response_headers").alias(f"{t}_rs"), F.lit(1).alias(f"{t}_in"))
+    j = side(left, "left").join(side(right, "right"), ["method", "url", "nth"], "full_outer")
+    apart = lambda c: F.coalesce(F.abs(F.col(f"left_{c}") - F.col(f"right_{c}")) > 1e-6, F.col(f"left_{c}").isNull() != F.col(f"right_{c}").isNull())
+    heads = lambda c: header_changes(F.col(f"left_{c}"), F.col(f"right_{c}")).cast("long")
+    j = j.withColumns({"request_header_changes": heads("rq"), "response_header_changes": heads("rs")})
+    differs = ~F.col("left_status").eqNullSafe(F.col("right_status")) | ~F.col("left_size").eqNullSafe(F.col("right_size")) | apart("ms") | apart("ttfb") | (F.col("request_header_changes") > 0) | (F.col("response_header_changes") > 0)
     kind = F.when(F.col("left_in").isNull(), "added").when(F.col("right_in").isNull(), "removed").when(differs, "changed")
-    return j.withColumn("change", kind).where(F.col("change").isNotNull()).select("change", "method", "url", "nth", "left_status", "right_status", "left_size", "right_size")
+    return j.withColumn("change", kind).where(F.col("change").isNotNull()).select(
+        "change", "method", "url", "nth", "left_status", "right_status", "left_size", "right_size", (F.col("right_size") - F.col("left_size")).alias("size_delta"), F.round(F.col("right_ms") - F.col("left_ms"), 6).alias("ms_delta"),
+        F.round(F.col("right_ttfb") - F.col("left_ttfb"), 6).alias("ttfb_delta"), F.when(F.col("change") == "changed", F.col("request_header_changes")).alias("request_header_changes"), F.when(F.col("change") == "changed", F.col("response_header_changes")).alias("response_header_changes"),
+    )
 
 
 def header_changes(a: Column, b: Column) -> Column:
@@ -130,13 +140,7 @@ def new_entries(incoming: DataFrame, there: DataFrame, key: str = "entry_hash")
     return known.select("id").unionByName(fresh.where(F.col(key).isNull()).select("id"))
 
 
-def api_operations(entries: DataFrame) -> DataFrame:
-    """By path and method: statuses, query names, response types and servers."""
-    u = url_parts(F.col("url"))
-    mime = F.nullif(F.lower(F.trim(F.split_part(F.col("response_mime_type"), F.lit(";"), F.lit(1)))), F.lit(""))
-    rows = entries.select(u["path"].alias("path"), F.lower("method").alias("method"), "status", mime.alias("mime"), server_base(F.col("url")).alias("server"), F.transform(F.split(u["query"], "&"), lambda kv: F.split_part(kv, F.lit("="), F.lit(1))).alias("names"))
-    rows = rows.where(F.col("path").isNotNull() & F.col("method").isNotNull())
-    s = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    names = rows.select("path", "method", F.explode("names").alias("name")).where("name <> ''").groupBy("path", "method").agg(s("name").alias("query_names"))
-    base = rows.groupBy("path", "method").agg(s(F.col("status").cast("string")).alias("statuses"), s("mime").alias("response_types"), s("server").alias("servers"), F.count(F.lit(1)).alias("n"))
-    return base.join(names, ["path", "method"], "left")
+def first_loads(entries: DataFrame, key: str = "entry_hash") -> DataFrame:
+    """What incremental loading of one import after the other keeps: the first entry of each hash by (import, id), and all without one."""
+    known = entries.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by("id", F.struct("import_id", "id")).alias("id"))
+    return known.select("id").unionByName(entries.where(F.col(key).isNull()).select("id"))

@@ -223,3 +223,31 @@ def carried_last(df: DataFrame, keys: list[str], order: list[str], value: str, o
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), col], names=[*names, out])
 
     return ordered_scan(df, keys, order, summarise, combine, rescan, schema)
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: ``value`` of the row directly before among those of the same keys, NULL for the first.
+
+    Like a lag over a window, but a key with very many rows spreads over partitions.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, df.schema[value].dataType)])
+    names = df.columns
+
+    def summarise(batches):
+        end = None
+        for b in batches:
+            end = key_at(b, keys, b.num_rows - 1), b.column(value)[b.num_rows - 1].as_py()
+        return end
+
+    def rescan(batches, carry):
+        key, last = carry or (None, None)
+        for b in batches:
+            new = changes(b, keys, key)
+            col = b.column(value)
+            before = pa.concat_arrays([pa.array([last], col.type), col.slice(0, b.num_rows - 1)])
+            import pyarrow.compute as pc
+
+            key, last = key_at(b, keys, b.num_rows - 1), col[b.num_rows - 1].as_py()
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pc.if_else(pa.array(new), pa.scalar(None, col.type), before)], names=[*names, out])
+
+    return ordered_scan(df, keys, order, summarise, lambda carry, s: s, rescan, schema)

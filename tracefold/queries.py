@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, matching, search, timestamps, views
-from tracefold.plans import forest_sql, instant_sql
-from tracefold.sources import table
+from tracefold import plugins
+from tracefold.functions import bodies
+from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, matching, openapi, report, search, timestamps, tracing, views
+from tracefold.operators import store as store_ops
+from tracefold.plans import forest_sql, instant_sql, more_sql
+from tracefold.sources import sinks, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,15 +30,57 @@ def _zoned(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
     return lambda spark, store: f(table(spark, store, "entries"), timestamps.import_zones(spark, store))
 
 
-def _halves(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
-    """Entries of even imports against those of odd ones."""
+def _loads(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """Entries of imports that are complete against those of all others."""
     def run(spark: SparkSession, store: str) -> DataFrame:
-        e = table(spark, store, "entries")
-        return f(e.where("import_id % 2 = 0"), e.where("import_id % 2 = 1"))
+        e, done = table(spark, store, "entries"), table(spark, store, "imports").where("status = 'complete'").select(F.col("id").alias("import_id"))
+        return f(e.join(done, "import_id", "left_semi").select(*e.columns), e.join(done, "import_id", "left_anti").select(*e.columns))
 
     return run
 
 
+def _tables(spark: SparkSession, store: str) -> dict[str, DataFrame]:
+    return {n: table(spark, store, n) for n in store_ops.SCHEMAS}
+
+
+def _store(f: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+    return lambda spark, store: f(_tables(spark, store))
+
+
+def _interrupted(t: dict[str, DataFrame]) -> DataFrame:
+    return t["imports"].where("status <> 'complete' OR status IS NULL").select("id")
+
+
+def _waterfall(f: Callable[[DataFrame], DataFrame], **how) -> Query:
+    return lambda s, d: f(report.waterfall(table(s, d, "entries"), timestamps.import_zones(s, d), table(s, d, "pages"), **how))
+
+
+def _found(query: str) -> Query:
+    """A search over an index of all documents."""
+    return lambda s, d: search.working_index(s, table(s, d, "documents"), "doc_id", "text").search(query).select(F.col("doc").cast("long").alias("doc_id"), "score")
+
+
+def _merged(f: Callable[[dict[str, DataFrame], list], DataFrame]) -> Query:
+    """The store merged with the same store loaded elsewhere."""
+    def run(spark: SparkSession, store: str) -> DataFrame:
+        two = [_tables(spark, store), _tables(spark, store)]
+        return f(store_ops.merge(two), two)
+
+    return run
+
+
+def _external(t: dict[str, DataFrame]) -> DataFrame:
+    there = t["blobs"].where("size <= 1000")
+    files = t["blobs"].withColumn("external_path", F.concat(F.lit("bodies/"), F.col("hash")))
+    return store_ops.store_blobs(there, files).select("hash", "size", "mime_type", "external_path", F.octet_length("content").cast("long").alias("held"))
+
+
+def _unpacked(t: dict[str, DataFrame]) -> DataFrame:
+    raw = t["entries"].where("response_body_hash_raw is not null").select("id", F.col("response_body_hash_raw").alias("hash"), F.col("response_body_hash").alias("plain"))
+    b = raw.join(t["blobs"].select("hash", "content"), "hash").select("id", "plain", bodies.unpacked(F.col("content"), F.lit("gzip")).alias("content"))
+    return b.select("id", F.octet_length("content").cast("long").alias("size"))
+
+
 def _sql(text: str, *tables: str) -> Query:
     """An ad-hoc statement over the tables it names."""
     def run(spark: SparkSession, store: str) -> DataFrame:
@@ -93,13 +138,15 @@ def queries() -> dict[str, Query]:
         "waterfall_offsets": _zoned(views.offsets),
         "navigation_sessions": _zoned(views.navigation_sessions),
         "phase_layout": _on("entries", views.phase_layout),
-        "spans": _on("entries", views.spans),
-        "ordinal_diff": _halves(views.ordinal_diff),
-        "merge_entries": _halves(lambda a, b: views.merge_entries([a, b], ["method", "url", "started_at", "status"], ["tls_version", "request_id"]).select("method", "url", "started_at", "status", "id", "copies", "tls_version", "request_id")),
-        "incremental_new": _halves(lambda a, b: views.new_entries(b, a)),
-        "header_diff": _on("entries", lambda e: e.select("id", views.header_changes(F.col("request_headers"), F.col("response_headers")).cast("long").alias("changes"))),
-        "api_operations": _on("entries", views.api_operations),
-        "strict_match": _halves(matching.strict_match),
+        "spans": _on("entries", tracing.spans),
+        "ordinal_diff": _loads(lambda a, b: views.ordinal_diff(a, b).drop("request_header_changes", "response_header_changes")),
+        "header_diff": _loads(lambda a, b: views.ordinal_diff(a, b).where("change = 'changed'").select("method", "url", "nth", "request_header_changes", "response_header_changes")),
+        "merge_entries": _loads(lambda a, b: views.merge_entries([a, b], ["method", "url", "started_at", "status"], ["tls_version", "request_id"]).select("method", "url", "started_at", "status", "id", "copies", "tls_version", "request_id")),
+        "incremental_new": _on("entries", views.first_loads),
+        "new_entries": _loads(lambda a, b: views.new_entries(b, a)),
+        "api_operations": _on("entries", openapi.operations),
+        "strict_match": _on("entries", lambda e: matching.strict_match(e, e)),
+        "fuzzy_match": _loads(lambda a, b: matching.fuzzy_match(b, a)),
         "certificate_list": _on("entries", lambda e: matching.certificate_list(e, "2026-01-01")),
         "request_chains": _on("entries", matching.request_chains),
         "time_range": _zoned(matching.time_range),
@@ -107,20 +154,86 @@ def queries() -> dict[str, Query]:
         "bodies_of_entries": _two("entries", "blobs", lambda e, b: e.where("response_body_hash is not null").select("id", F.col("response_body_hash").alias("hash")).join(b.select("hash", "size", "mime_type"), "hash", "left")),
         "graphql_operations": _on("entries", _graphql),
         "graphql_by_field": _two("entries", "graphql_fields", lambda e, g: e.join(g, e.id == g.entry_id).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 400).alias("failed"))),
-        "search_bm25": _on("documents", lambda d: search.bm25(d, "doc_id", "text", ["manifest", "cookie"])),
-        "search_phrase": _on("documents", lambda d: search.phrase(d, "doc_id", "text", ["known", "issue"])),
-        "search_prefix": _on("documents", lambda d: search.prefix(d, "doc_id", "text", "normalis")),
-        "search_postings": _on("eval_items", lambda d: search.postings(d, "item_id", "passage").select("token", "item_id", "tf")),
-        "mask_headers": _on("entries", lambda e: e.select("id", F.get_json_object(masking.mask_headers(F.col("request_headers"), ["user-*"]), "$.user-agent").alias("agent"))),
-        "mask_query": _on("entries", lambda e: e.where("query_string is not null").select("id", masking.mask_query(F.col("query_string"), ["ts", "c?d"]).alias("masked"))),
+        "search_bm25": _found("manifest cookie"),
+        "search_boolean": _found("(manifest OR cookie) NOT known"),
+        "search_phrase": _found('"known issue"'),
+        "search_prefix": _found("normalis*"),
+        "search_near": _found("NEAR(known issue, 3)"),
+        "search_postings": _on("documents", lambda d: search.postings(d, "doc_id", "text").select("token", "doc_id", "tf", F.element_at("positions", 1).alias("first_at"))),
+        "search_stems": _on("eval_items", lambda d: search.postings(d, "item_id", "passage", "porter").groupBy("item_id").agg(F.sum("tf").alias("n_words"), F.count(F.lit(1)).alias("n_stems"))),
+        "search_trigrams": _on("eval_items", lambda d: search.postings(d, "item_id", "passage", "trigram").select("token", "item_id", "tf")),
+        "search_entries": lambda s, d: search.entries_of_hits(search.working_index(s, table(s, d, "blobs").where(bodies.indexable(F.col("content"), F.col("mime_type"))).select("hash", F.col("content").cast("string").alias("body")), "hash", "body").search("importer OR viewport"), table(s, d, "entries")),
+        "search_snippets": lambda s, d: (lambda i: i.snippets(i.search("cookie"), "cookie").select(F.col("doc").cast("long").alias("doc_id"), F.contains("snippet", F.lit("[")).alias("marked")))(search.working_index(s, table(s, d, "documents"), "doc_id", "text")),
+        "mask_headers": _on("entries", lambda e: e.select("id", *(F.get_json_object(masking.mask_headers(F.col("request_headers"), ["user-*"]), f"$.{h}").alias(h.replace("-", "_")) for h in ("user-agent", "accept")))),
+        "mask_cookies": _on("entries", lambda e: e.select("id", F.get_json_object(masking.mask_cookies(F.col("request_cookies"), ["*"]), "$[0].value").alias("value"), F.get_json_object(masking.mask_cookies(F.col("request_cookies"), ["*"]), "$[0].name").alias("name"))),
+        "mask_params": _on("entries", lambda e: (lambda m: e.select("id", m["url"].alias("url"), m["changed"].cast("long").alias("changed")))(masking.mask_params(F.col("url"), ["ts", "c?d"]))),
         "mask_text": _on("documents", lambda d: d.select("doc_id", F.md5(masking.mask_text(F.col("text"), ["[0-9]{3,}", "issue"], "$X")).alias("digest"))),
+        "mask_bodies": lambda s, d: masking.redact_bodies(table(s, d, "entries"), table(s, d, "blobs"), ["[0-9]{4}"])[0].select("id", "response_body_hash", "response_body_size", "response_body_hash_raw"),
+        "mask_personal": _on("documents", lambda d: d.select("doc_id", F.md5(masking.mask_personal(F.col("text"))).alias("digest"))),
+        "redaction_report": _on("entries", lambda e: masking.redaction_report(e, masking.chosen(None, None, ["ts"], None))),
         "pattern_counts": _on("documents", lambda d: masking.pattern_counts(d, "doc_id", "text")),
         "valid_cards": _on("documents", lambda d: masking.valid_cards(d, "doc_id", "text")),
+        "pii_findings": _two("entries", "blobs", lambda e, b: masking.findings(e, b)),
+        "slow_counts": _on("entries", analysis.slow_counts),
+        "cache_totals": _on("entries", analysis.cache_totals),
+        "cache_top": _on("entries", lambda e: analysis.cache_candidates(e, 10)),
+        "error_top": _on("entries", lambda e: analysis.error_endpoints(e, 10)),
+        "top_hosts": _on("entries", lambda e: analysis.top(e, "host")),
+        "store_info": lambda s, d: analysis.store_info(table(s, d, "entries"), table(s, d, "imports"), table(s, d, "blobs")),
+        "certificates_within": _on("entries", lambda e: analysis.certificates(e, analysis.expiry_bound(90, F.lit("2026-01-01 00:00:00")))),
+        "certificates_first": _on("entries", lambda e: matching.certificate_list(e, "2026-01-01", 20)),
+        "filter_hosts": _filtered(hosts=["www.tarn-shop.example", "api.tarn-shop.example"]),
+        "filter_wildcards": _filtered(url_contains=["v_/", "items%"]),
+        "filter_sources": _two("entries", "imports", lambda e, i: filters.from_sources(e, i, None, [".HAR.gz"]).select("id", "import_id")),
+        "filter_import": _zoned(lambda e, z: filters.on_import(timestamps.readable_starts(e, z), methods=["post"], statuses=[200, 404]).select("id", "start_us")),
+        "filter_diff": _on("entries", lambda e: filters.for_diff(e, methods=["get"], statuses=[500], url_regex=["v2"]).select("id")),
+        "filter_replay": _on("entries", lambda e: filters.for_replay(e, statuses=[200]).select("id")),
+        "filter_report": _on("entries", lambda e: filters.for_report(e, url_contains=["items"], extensions=["js,css", "png"]).select("id")),
+        "filter_pages": _on("pages", lambda p: p.where(filters.page_matches(F.col("id"), F.col("title"), " 1 ")).select("id", "import_id")),
+        "scan_first": _on("entries", lambda e: report.scan_order(e.select("id", "started_at", "url"), 100)),
+        "top_slowest": _on("entries", report.top_slowest),
+        "waterfall": _waterfall(lambda w: w.select("group_no", "row_no", "id", "offset_ms")),
+        "waterfall_groups": _waterfall(lambda w: w.groupBy("group_no", "group_name").agg(F.count(F.lit(1)).alias("n"), F.min("offset_ms").alias("from_ms"))),
+        "waterfall_none": _waterfall(lambda w: w.select("row_no", "id", "group_name", "offset_ms"), by="none"),
+        "waterfall_text": _waterfall(lambda w: report.waterfall_text(w).groupBy("group_no").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length("line")).cast("long").alias("longest"))),
+        "unreadable_starts": _zoned(report.unreadable_starts),
+        "trace_events": lambda s, d: sinks.trace_events(table(s, d, "entries"), timestamps.import_zones(s, d), table(s, d, "pages")).select("group_no", "turn", F.get_json_object("event", "$.ph").alias("ph"), F.get_json_object("event", "$.dur").cast("long").alias("dur"), F.get_json_object("event", "$.args.id").cast("long").alias("id")),
+        "phase_spans": _on("entries", tracing.phase_spans),
+        "span_attributes": _on("entries", tracing.attributes),
+        "trace_documents": lambda s, d: tracing.documents(table(s, d, "entries"), timestamps.import_zones(s, d)).select("id", "turn", F.get_json_object("span", "$.spanId").alias("span_id"), F.get_json_object("span", "$.startTimeUnixNano").cast("long").alias("start_ns")),
+        "api_answers": _on("entries", openapi.answers),
+        "api_schemas": _two("entries", "blobs", openapi.schemas),
+        "capture_entries": lambda s, d: sinks.capture_entries(table(s, d, "entries"), table(s, d, "blobs")).select("id", *(F.get_json_object("entry", f"$.{p}").alias(k) for k, p in {"url": "request.url", "status": "response.status", "page": "pageref", "body": "response.content.text", "n_headers": "request.headers[1].name", "priority": "_priority"}.items()), F.get_json_object("entry", "$.timings.wait").cast("double").alias("wait")),
+        "capture_pages": _on("pages", lambda p: sinks.capture_pages(p, True).select("import_id", "id", F.get_json_object("page", "$.id").alias("ident"), F.get_json_object("page", "$.title").alias("title"))),
+        "pages_for_imports": _store(lambda t: store_ops.pages_of_imports(t["pages"], _interrupted(t)).select("id", "import_id", "title")),
+        "blobs_by_hash": _store(lambda t: store_ops.blobs_by_hash(t["blobs"], t["entries"].where("status >= 500").select(F.col("response_body_hash").alias("hash"))).select("hash", "size")),
+        "insert_pages": _store(lambda t: store_ops.insert_pages(store_ops.pages_of_imports(t["pages"], _interrupted(t)), t["pages"]).select("id", "import_id", "title")),
+        "external_blobs": _store(_external),
+        "unpacked_bodies": _store(_unpacked),
+        "text_bodies": _on("blobs", lambda b: b.select("hash", bodies.text_mime(F.col("mime_type")).alias("text"), bodies.indexable(F.col("content"), F.col("mime_type"), 1000).alias("indexable"), bodies.kept(F.col("content"), F.col("mime_type"), True, True, 500).alias("kept"))),
+        "hash_backfill": _on("entries", lambda e: e.select("id", store_ops.entry_hash().alias("v1"), F.coalesce("entry_hash", store_ops.entry_hash()).alias("entry_hash"))),
+        "resume_points": _two("imports", "entries", store_ops.resume_points),
+        "recount_imports": _two("imports", "entries", lambda i, e: store_ops.recount(i, e).select("id", "entry_count")),
+        "prune_entries": _store(lambda t: store_ops.prune(t, _interrupted(t))["entries"].select("id")),
+        "prune_blobs": _store(lambda t: store_ops.prune(t, _interrupted(t))["blobs"].select("hash")),
+        "prune_fields": _store(lambda t: store_ops.prune(t, _interrupted(t))["graphql_fields"]),
+        "merge_store": _merged(lambda m, _: m["entries"].groupBy("import_id").agg(F.count(F.lit(1)).alias("n"), F.count("tls_version").alias("with_tls"))),
+        "merge_fields": _merged(lambda m, _: m["graphql_fields"].groupBy("field").agg(F.count(F.lit(1)).alias("n"))),
+        "merge_stats": _merged(lambda m, two: store_ops.merge_stats(two, m)),
+        "conformed": _on("entries", lambda e: store_ops.conform(e.drop("tls_version", "initiator_line"), "entries").select("id", "tls_version", "initiator_line", "url")),
+        "catalog": lambda s, d: store_ops.catalog(s, d).select("table_name", "position", "column_name"),
+        "form_pairs": _on("entries", lambda e: e.where("query_string is not null").select("id", F.posexplode(masking.form_pairs(F.col("query_string"))).alias("no", "p")).select("id", "no", "p.name", "p.value")),
+        "entries_after_filter_plugin": _on("entries", lambda e: plugins.run(e.select("id", "method", "status"), filters=[lambda row: row["status"] == 404]).select("id")),
         "sql_join_having": _sql("SELECT i.status, count(*) AS n, count(DISTINCT e.host) AS hosts FROM entries e JOIN imports i ON i.id = e.import_id GROUP BY i.status HAVING count(*) > 5", "entries", "imports"),
         "sql_window": _sql("SELECT import_id, id, r FROM (SELECT import_id, id, row_number() OVER (PARTITION BY import_id ORDER BY id DESC) AS r FROM entries) t WHERE r <= 3", "entries"),
         "sql_sets": _sql("(SELECT request_body_hash AS h FROM entries UNION SELECT response_body_hash FROM entries) EXCEPT SELECT hash FROM blobs", "entries", "blobs"),
         "sql_rollup": _sql("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", "lineitem"),
         "sql_subquery": _sql("SELECT o_orderpriority, count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45) GROUP BY o_orderpriority", "orders", "lineitem"),
+        "sql_like": _sql("SELECT id FROM entries WHERE url LIKE '%/ITEMS/%' AND path GLOB '/*/v2*'", "entries"),
+        "sql_listagg": _sql("SELECT import_id, listagg(DISTINCT method, ',') WITHIN GROUP (ORDER BY method) AS methods FROM entries GROUP BY import_id", "entries"),
+        "sql_recursive": _sql("WITH RECURSIVE n (k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM n WHERE k < 20) SELECT k, (SELECT count(*) FROM entries WHERE import_id = k) AS n FROM n", "entries"),
+        "sql_frames": _sql("SELECT id, sum(status) OVER (PARTITION BY import_id ORDER BY id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s, lag(id) OVER (PARTITION BY import_id ORDER BY id) AS before, dense_rank() OVER (PARTITION BY import_id ORDER BY status) AS r FROM entries", "entries"),
+        "sql_outer": _sql("SELECT e.id, p.title FROM (SELECT * FROM entries WHERE status = 500) e FULL OUTER JOIN pages p ON p.id = e.page_id AND p.import_id = e.import_id", "entries", "pages"),
         "sql_json": _sql("SELECT id, get_json_object(response_headers, '$.server') AS server FROM entries WHERE get_json_object(response_headers, '$.server') IS NOT NULL", "entries"),
     }
     return q
@@ -176,15 +289,14 @@ FROM entries e LEFT JOIN imports i ON i.id = e.import_id GROUP BY 1""",
 SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS connections, count(*) FILTER (WHERE n > 1) AS reused, CAST(sum(n) FILTER (WHERE n > 1) AS BIGINT) AS on_reused,
   round(CAST(sum(n) FILTER (WHERE n > 1) AS DOUBLE) / sum(n), 6) AS rate FROM c""",
         "cache_candidates": f"SELECT url, count(*) AS n, CAST(sum(response_body_size) AS BIGINT) AS bytes, CAST(sum(response_body_size) // count(*) AS BIGINT) AS avg_bytes FROM entries WHERE {_CANDIDATE} GROUP BY url",
+        "cache_totals": f"SELECT count(*) AS urls, CAST(coalesce(sum(n), 0) AS BIGINT) AS requests, CAST(coalesce(sum(b), 0) AS BIGINT) AS bytes FROM (SELECT url, count(*) AS n, sum(response_body_size) AS b FROM entries WHERE {_CANDIDATE} GROUP BY url)",
+        "cache_top": f"SELECT url, count(*) AS n, CAST(sum(response_body_size) AS BIGINT) AS bytes, CAST(sum(response_body_size) // count(*) AS BIGINT) AS avg_bytes FROM entries WHERE {_CANDIDATE} GROUP BY url ORDER BY n DESC, bytes DESC, url LIMIT 10",
         "status_classes": "SELECT CASE status // 100 WHEN 2 THEN '2xx' WHEN 3 THEN '3xx' WHEN 4 THEN '4xx' WHEN 5 THEN '5xx' ELSE 'none' END AS class, count(*) AS n FROM entries GROUP BY 1",
         "status_histogram": "SELECT status, count(*) AS n FROM entries GROUP BY status",
         "error_endpoints": "SELECT host, path, count(*) AS n, arg_min(url, id) AS sample_url FROM entries WHERE status >= 400 GROUP BY host, path",
-        "store_stats": """SELECT (SELECT count(*) FROM entries) AS entries, (SELECT min(started_at) FROM entries) AS first_at, (SELECT max(started_at) FROM entries) AS last_at, (SELECT count(DISTINCT host) FROM entries) AS hosts,
-  (SELECT count(*) FROM imports) AS imports, (SELECT CAST(coalesce(sum(entry_count), 0) AS BIGINT) FROM imports) AS counted, (SELECT count(*) FROM blobs) AS blobs, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM blobs) AS blob_bytes""",
         "import_listing": "SELECT i.id, i.source_file, i.status, coalesce(i.entry_count, count(e.id)) AS entry_count, min(e.started_at) AS first_at, max(e.started_at) AS last_at FROM imports i LEFT JOIN entries e ON e.import_id = i.id GROUP BY i.id, i.source_file, i.status, i.entry_count",
         "certificates": "SELECT count(*) AS expiring, min(tls_cert_expiry) AS earliest FROM (SELECT DISTINCT tls_cert_subject, tls_cert_issuer, tls_cert_expiry FROM entries WHERE tls_cert_expiry <= '2026-09-01')",
         "orphan_blobs": "SELECT hash, size FROM blobs b WHERE hash NOT IN (SELECT request_body_hash FROM entries WHERE request_body_hash IS NOT NULL UNION SELECT response_body_hash FROM entries WHERE response_body_hash IS NOT NULL UNION SELECT response_body_hash_raw FROM entries WHERE response_body_hash_raw IS NOT NULL)",
-        "blob_savings": "SELECT count(*) AS unique_bodies, CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum((n - 1) * coalesce(size, 0)) AS BIGINT) AS bytes_saved FROM (SELECT response_body_hash, count(*) AS n, max(response_body_size) AS size FROM entries WHERE response_body_hash IS NOT NULL GROUP BY 1)",
         "top_initiators": "SELECT initiator_type, count(*) AS n FROM entries WHERE initiator_type IS NOT NULL GROUP BY 1",
         "filter_status_method": kept("method = 'GET' AND status IN (404, 500)"),
         "filter_url_contains": kept("url ILIKE '%assets/%'"),
@@ -192,7 +304,6 @@ SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS connections, count(*) FIL
         "filter_mime_size": kept("response_mime_type ILIKE '%json%' AND coalesce(response_body_size, 0) BETWEEN 1000 AND 4000"),
         "filter_dates": kept("started_at >= '2025-06-01T00:00:00.000Z' AND started_at <= '2025-08-31T23:59:59.999Z'"),
         "filter_extension": kept(f"{_EXT} IN ('css', 'js', 'png')"),
-        "filter_sample": "SELECT id FROM entries WHERE left(sha256(coalesce(entry_hash, '') || coalesce(url, '') || coalesce(started_at, '')), 8) < '40000000'",
         "url_parts": f"SELECT id, CASE WHEN {_GOOD} THEN lower({_PART(1)}) END AS scheme, CASE WHEN {_GOOD} THEN lower({_PART(2)}) END AS host, CASE WHEN {_GOOD} THEN nullif({_PART(3)}, '') END AS port, {_PATH} AS path, CASE WHEN {_GOOD} THEN nullif({_PART(5)}, '') END AS query, {_EXT} AS extension, {_SERVER} AS server FROM entries",
         "waterfall_offsets": instant_sql.OFFSETS,
         "navigation_sessions": instant_sql.SESSIONS,
@@ -207,24 +318,6 @@ SELECT CAST(sum(n) AS BIGINT) AS requests, count(*) AS connections, count(*) FIL
                 ("ssl", f"CASE WHEN {nested} THEN {t1} + {z['connect']} - {z['ssl']} ELSE {t1} END", f"CASE WHEN {nested} THEN {t1} + {z['connect']} ELSE {t1} + {z['ssl']} END", f"{nested} OR {alone}"),
             ]
         ),
-        "spans": f"""WITH s AS (SELECT *, coalesce(entry_hash, '') || '|' || coalesce(url, '') || '|' || coalesce(started_at, '') || '|' || id AS seed FROM entries)
-SELECT id, left(sha256(seed), 32) AS trace_id, left(sha256(seed || '|request'), 16) AS span_id, concat_ws(' ', upper(method), coalesce(path, '/')) AS name,
-  CASE WHEN status >= 400 THEN 'Error' WHEN status IS NOT NULL THEN 'Ok' ELSE 'Unset' END AS status_code, {_M('time_ms')} AS duration_ms FROM s""",
-        "ordinal_diff": f"""WITH a AS ({half(0)}), b AS ({half(1)}), j AS (SELECT coalesce(a.method, b.method) AS method, coalesce(a.url, b.url) AS url, coalesce(a.nth, b.nth) AS nth, a.nth AS la, b.nth AS rb, a.status AS left_status, b.status AS right_status, a.size AS left_size, b.size AS right_size, a.ms AS lm, b.ms AS rm
-  FROM a FULL JOIN b ON a.method IS NOT DISTINCT FROM b.method AND a.method = b.method AND a.url = b.url AND a.nth = b.nth)
-SELECT CASE WHEN la IS NULL THEN 'added' WHEN rb IS NULL THEN 'removed' ELSE 'changed' END AS change, method, url, CAST(nth AS INTEGER) AS nth, left_status, right_status, left_size, right_size FROM j
-WHERE la IS NULL OR rb IS NULL OR left_status IS DISTINCT FROM right_status OR left_size IS DISTINCT FROM right_size OR abs(lm - rm) > 1e-6 OR (lm IS NULL) <> (rm IS NULL)""",
-        "merge_entries": """WITH u AS (SELECT *, import_id % 2 AS f, row_number() OVER (ORDER BY import_id % 2, id) AS k FROM entries)
-SELECT method, url, started_at, status, arg_min(id, k) AS id, count(*) AS copies, arg_min(tls_version, k) FILTER (WHERE tls_version IS NOT NULL) AS tls_version, arg_min(request_id, k) FILTER (WHERE request_id IS NOT NULL) AS request_id FROM u GROUP BY method, url, started_at, status""",
-        "incremental_new": """WITH n AS (SELECT * FROM entries WHERE import_id % 2 = 1 AND (entry_hash IS NULL OR entry_hash NOT IN (SELECT entry_hash FROM entries WHERE import_id % 2 = 0 AND entry_hash IS NOT NULL)))
-SELECT min(id) AS id FROM n WHERE entry_hash IS NOT NULL GROUP BY entry_hash UNION ALL SELECT id FROM n WHERE entry_hash IS NULL""",
-        "api_operations": f"""WITH r AS (SELECT {_PATH} AS path, lower(method) AS method, status, nullif(lower(trim(split_part(response_mime_type, ';', 1))), '') AS mime, {_SERVER} AS server, CASE WHEN {_GOOD} THEN nullif({_PART(5)}, '') END AS q FROM entries),
-  k AS (SELECT * FROM r WHERE path IS NOT NULL AND method IS NOT NULL), n AS (SELECT path, method, split_part(unnest(string_split(q, '&')), '=', 1) AS name FROM k),
-  m AS (SELECT path, method, string_agg(DISTINCT name, ',' ORDER BY name) AS query_names FROM n WHERE name <> '' GROUP BY 1, 2)
-SELECT path, method, coalesce(string_agg(DISTINCT CAST(status AS VARCHAR), ',' ORDER BY CAST(status AS VARCHAR)), '') AS statuses, coalesce(string_agg(DISTINCT mime, ',' ORDER BY mime), '') AS response_types, coalesce(string_agg(DISTINCT server, ',' ORDER BY server), '') AS servers, count(*) AS n, any_value(query_names) AS query_names
-FROM k LEFT JOIN m USING (path, method) GROUP BY path, method""",
-        "strict_match": """WITH r AS (SELECT upper(method) AS m, url, id, status, row_number() OVER (PARTITION BY upper(method), url ORDER BY coalesce(started_at, '') DESC, id DESC) AS k FROM entries WHERE import_id % 2 = 1)
-SELECT e.id, r.id AS recording_id, r.status AS recorded_status FROM entries e LEFT JOIN r ON r.m = upper(e.method) AND r.url = e.url AND r.k = 1 WHERE e.import_id % 2 = 0""",
         "certificate_list": "SELECT DISTINCT host, tls_cert_subject, tls_cert_issuer, tls_cert_expiry, tls_version, tls_cipher_suite, tls_cert_expiry <= '2026-01-01' AS expired FROM entries WHERE tls_cert_expiry IS NOT NULL",
         "request_chains": "SELECT count(*) AS entries, count(request_id) AS with_request_id, count(parent_request_id) AS with_parent, count(initiator_type) AS with_initiator, count(redirect_url) AS with_redirect FROM entries",
         "time_range": instant_sql.TIME_RANGE,
@@ -232,20 +325,10 @@ SELECT e.id, r.id AS recording_id, r.status AS recorded_status FROM entries e LE
         "bodies_of_entries": "SELECT e.id, e.response_body_hash AS hash, b.size, b.mime_type FROM entries e LEFT JOIN blobs b ON b.hash = e.response_body_hash WHERE e.response_body_hash IS NOT NULL",
         "graphql_operations": "SELECT graphql_operation_type AS kind, graphql_operation_name AS name, count(*) AS n FROM entries WHERE graphql_operation_type IS NOT NULL GROUP BY 1, 2",
         "graphql_by_field": "SELECT g.field, count(*) AS n, count(*) FILTER (WHERE e.status >= 400) AS failed FROM entries e JOIN graphql_fields g ON g.entry_id = e.id GROUP BY 1",
-        "search_bm25": f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT doc_id, len(t) AS l, len(list_filter(t, lambda x: x = 'manifest')) AS a, len(list_filter(t, lambda x: x = 'cookie')) AS b FROM d),
-  s AS (SELECT count(*) AS n, avg(l) AS m, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE b > 0) AS db FROM c)
-SELECT doc_id, round(-(greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * l / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * l / m))), 6) AS score FROM c, s WHERE a > 0 AND b > 0""",
-        "search_phrase": f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' known issue ')",
-        "search_prefix": f"SELECT doc_id FROM documents WHERE len(list_filter({_TOKENS}, lambda x: starts_with(x, 'normalis'))) > 0",
-        "search_postings": f"SELECT token, item_id, count(*) AS tf FROM (SELECT item_id, unnest({_TOKENS.replace('text', 'passage')}) AS token FROM eval_items) GROUP BY 1, 2",
-        "mask_headers": "SELECT id, CASE WHEN request_headers::JSON->>'$.\"user-agent\"' IS NOT NULL THEN 'REDACTED' END AS agent FROM entries",
-        "mask_query": "SELECT id, regexp_replace(query_string, '(^|&)(ts|c.d)=[^&]*', '\\1\\2=REDACTED', 'gi') AS masked FROM entries WHERE query_string IS NOT NULL",
-        "mask_text": "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[0-9]{3,}', '$X', 'g'), 'issue', '$X', 'g')) AS digest FROM documents",
-        "pattern_counts": " UNION ALL ".join(f"SELECT * FROM (SELECT doc_id, '{k}' AS kind, len(regexp_extract_all(text, '{v}')) AS n FROM documents) WHERE n > 0" for k, v in masking.PATTERNS.items()),
         "sql_join_having": "SELECT i.status, count(*) AS n, count(DISTINCT e.host) AS hosts FROM entries e JOIN imports i ON i.id = e.import_id GROUP BY i.status HAVING count(*) > 5",
         "sql_window": "SELECT import_id, id, CAST(r AS INTEGER) AS r FROM (SELECT import_id, id, row_number() OVER (PARTITION BY import_id ORDER BY id DESC) AS r FROM entries) WHERE r <= 3",
         "sql_sets": "(SELECT request_body_hash AS h FROM entries UNION SELECT response_body_hash FROM entries) EXCEPT SELECT hash FROM blobs",
         "sql_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS q FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
         "sql_subquery": "SELECT o_orderpriority, count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45) GROUP BY o_orderpriority",
         "sql_json": "SELECT id, response_headers::JSON->>'$.server' AS server FROM entries WHERE response_headers::JSON->>'$.server' IS NOT NULL",
-    }
+    } | more_sql.queries()
