@@ -308,9 +308,6 @@ class Search:
 
     def _docs(self, n: Node) -> DataFrame:
         """Documents (``doc``) that match a node, once each."""
-        if n.kind == "word" and self.tokenizer == "trigram":
-            w = n.words[0]
-            return self._docs(Node("phrase", [w[i : i + 3] for i in range(len(w) - 2)])) if len(w) > 3 else self._of(w).select("doc")
         if n.kind == "word":
             return self._of(n.words[0]).select("doc")
         if n.kind == "prefix":
@@ -334,8 +331,16 @@ class Search:
             out = out.join(self._docs(p), "doc", "left_semi") if n.kind == "and" else out.unionByName(self._docs(p)).distinct()
         return out
 
+    def _in_threes(self, n: Node) -> Node:
+        """A query over every three characters in a row: words and phrases match anywhere inside a text; shorter ones match nothing."""
+        if n.kind in ("word", "prefix", "phrase"):
+            t = " ".join(n.words)
+            return Node("phrase", [t[i : i + 3] for i in range(max(1, len(t) - 2))])
+        return Node(n.kind, n.words, [self._in_threes(p) for p in n.parts], n.within)
+
     def run(self, n: Node) -> DataFrame:
         """Matching documents with their BM25 score, negative, the smallest best; phrases count by their words."""
+        n = self._in_threes(n) if self.tokenizer == "trigram" else n
         hits = self._docs(n)
         total = self.lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))  # one row
         parts = []
