@@ -92,8 +92,8 @@ def test_sql_guard(spark):
 
 def test_masking(spark):
     df = spark.createDataFrame([('{"authorization":"x","accept":"y"}', "a=1&Token=2&b", "call 555-12-1234 \\1 $"), (None, None, None)], "h string, q string, t string")
-    r = df.select(masking.mask_headers(F.col("h"), masking.DEFAULT_HEADERS).alias("h"), masking.mask_query(F.col("q"), ["tok*"]).alias("q"), masking.mask_text(F.col("t"), [masking.PATTERNS["ssn"]], "$1").alias("t")).collect()
-    assert json.loads(r[0].h) == {"authorization": "REDACTED", "accept": "y"} and r[0].q == "a=1&Token=REDACTED&b" and r[0].t == "call $1 \\1 $"
+    r = df.select(masking.mask_headers(F.col("h"), masking.DEFAULT_HEADERS).alias("h"), masking.mask_params(F.concat(F.lit("http://h/?"), F.col("q")), ["tok*"])["query"].alias("q"), masking.mask_text(F.col("t"), [masking.PATTERNS["ssn"]], "$1").alias("t")).collect()
+    assert json.loads(r[0].h) == {"authorization": "REDACTED", "accept": "y"} and r[0].q == "a=1&Token=REDACTED&b=" and r[0].t == "call $1 \\1 $"
     assert r[1].h is None and r[1].q is None
 
 
@@ -137,7 +137,8 @@ def test_sinks_and_streams(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "jsonl")).count() == e.count()
     doc = json.loads(sinks.capture_entries(e).first().entry)
     assert doc["request"]["url"] and "timings" in doc
-    assert sinks.trace_events(e).count() > 0
+    pages, zones = spark.read.parquet("/root/testdata/sf0.001/pages.parquet"), spark.createDataFrame([], "import_id long, zone string")
+    assert sinks.trace_events(e, zones, pages).count() > 0
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.har").write_text(json.dumps(CAPTURE))
     got = []

@@ -44,8 +44,8 @@ def hierarchy(nodes: DataFrame, space: str, node: str, parent: str, paths: bool
     n = nodes.select(F.col(space).alias("s"), F.col(node).alias("v"), F.col(parent).alias("p")).where(F.col("s").isNotNull() & F.col("v").isNotNull())
     n = spool.put("nodes", n.withColumn("id", F.monotonically_increasing_id()))
     there = n.select(F.col("s").alias("ps"), F.col("v").alias("pv"), F.col("id").alias("pid"))
-    links = n.where("p is not null").join(there, (F.col("s") == F.col("ps")) & (F.col("p") == F.col("pv"))).select("s", "v", "id", "p", "pid")
-    links = links.unionByName(n.join(links.select("id"), "id", "left_anti").select("s", "v", "id", F.lit(None).cast(n.schema["p"].dataType).alias("p"), F.lit(None).cast("long").alias("pid")))
+    found = n.where("p is not null").join(there, (F.col("s") == F.col("ps")) & (F.col("p") == F.col("pv")), "left").select("s", "v", "id", F.when(F.col("pid").isNotNull(), F.col("p")).alias("p"), "pid")
+    links = found.unionByName(n.where("p is null").select("s", "v", "id", "p", F.lit(None).cast("long").alias("pid")))
     links = spool.put("links", links)
     spool.drop("nodes")
     done, gains, lost = _upward(spool, links)

@@ -183,6 +183,8 @@ SELECT path, method, status, coalesce(string_agg(DISTINCT mime, ',' ORDER BY mim
   k AS (SELECT m.n AS new_import, {_KEY}, max(CASE WHEN tls_version IS NOT NULL THEN 1 ELSE 0 END) AS tls FROM entries e JOIN m ON m.id = e.import_id GROUP BY ALL)
 SELECT new_import AS import_id, count(*) AS n, CAST(sum(tls) AS BIGINT) AS with_tls FROM k GROUP BY 1""",
         "conformed": "SELECT id, CAST(NULL AS VARCHAR) AS tls_version, CAST(NULL AS BIGINT) AS initiator_line, url FROM entries",
+        "capture_roundtrip": f"""SELECT e.id, method, url, CASE WHEN {_GOOD} THEN lower({_PART(2)}) END AS host, {_PATH} AS path, {_QUERY} AS query_string, status, CASE WHEN status IS NULL THEN NULL WHEN status BETWEEN 300 AND 399 THEN 1 ELSE 0 END AS is_redirect, started_at, page_id,
+  {_M('dns_ms')} AS dns_ms, connection_id, lower(request_headers)::JSON->>'$."user-agent"' AS agent, CASE WHEN octet_length(b.content) > 0 THEN sha256(b.content) END AS body FROM entries e LEFT JOIN blobs b ON b.hash = e.response_body_hash""",
         "form_pairs": f"WITH s AS (SELECT id, list_filter(string_split(query_string, '&'), lambda x: x <> '') AS kv FROM entries WHERE query_string IS NOT NULL), u AS (SELECT id, CAST(unnest(range(len(kv))) AS INTEGER) AS no, unnest(kv) AS kv FROM s) SELECT id, no, {_decoded("split_part(kv, '=', 1)")} AS name, {_decoded("replace(regexp_extract(kv, '=(.*)$', 1), '+', ' ')")} AS value FROM u",
         "entries_after_filter_plugin": "SELECT id FROM entries WHERE status = 404",
         "text_bodies": "SELECT hash, coalesce(regexp_matches(lower(mime_type), 'text/|json|xml|javascript|css|html|x-www-form-urlencoded'), false) AS text, octet_length(content) BETWEEN 1 AND 1000 AND TRY(decode(content)) IS NOT NULL AND (mime_type IS NULL OR regexp_matches(lower(mime_type), 'text/|json|xml|javascript|css|html|x-www-form-urlencoded')) AS indexable, coalesce(octet_length(content) BETWEEN 1 AND 500 AND regexp_matches(lower(mime_type), 'text/|json|xml|javascript|css|html|x-www-form-urlencoded'), false) AS kept FROM blobs",

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold import plugins
-from tracefold.functions import bodies
+from tracefold.functions import bodies, graphql
 from tracefold.operators import analysis, filters, hierarchy, hosts, intervals, masking, matching, openapi, report, search, timestamps, tracing, views
 from tracefold.operators import store as store_ops
 from tracefold.plans import forest_sql, instant_sql, more_sql
-from tracefold.sources import sinks, table
+from tracefold.sources import har, sinks, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,6 +69,19 @@ def _merged(f: Callable[[dict[str, DataFrame], list], DataFrame]) -> Query:
     return run
 
 
+def _roundtrip(t: dict[str, DataFrame]) -> DataFrame:
+    """Entries written as capture documents and read again."""
+    docs = sinks.capture_entries(t["entries"], t["blobs"]).select(F.lit("store").alias("source_file"), F.col("id").alias("position"), F.col("entry").alias("doc"))
+    e = har.entries_of(docs, strict=False)
+    return e.select(F.col("position").alias("id"), "method", "url", "host", "path", "query_string", "status", "is_redirect", "started_at", "page_id", "dns_ms", "connection_id", F.lower(F.get_json_object("request_headers", "$.user-agent")).alias("agent"), F.sha2("body", 256).alias("body"))
+
+
+def _requests(t: dict[str, DataFrame]) -> DataFrame:
+    sent = t["blobs"].select(F.col("hash").alias("request_body_hash"), F.col("content").cast("string").alias("body"), "mime_type")
+    rows = t["entries"].select("id", "url", "request_body_hash").join(sent, "request_body_hash", "left")
+    return graphql.operations(rows, "id", "url", "mime_type", "body").select("id", "type", "name", F.size("fields").alias("n_fields"))
+
+
 def _external(t: dict[str, DataFrame]) -> DataFrame:
     there = t["blobs"].where("size <= 1000")
     files = t["blobs"].withColumn("external_path", F.concat(F.lit("bodies/"), F.col("hash")))
@@ -222,6 +235,8 @@ def queries() -> dict[str, Query]:
         "merge_stats": _merged(lambda m, two: store_ops.merge_stats(two, m)),
         "conformed": _on("entries", lambda e: store_ops.conform(e.drop("tls_version", "initiator_line"), "entries").select("id", "tls_version", "initiator_line", "url")),
         "catalog": lambda s, d: store_ops.catalog(s, d).select("table_name", "position", "column_name"),
+        "capture_roundtrip": _store(_roundtrip),
+        "graphql_requests": _store(_requests),
         "form_pairs": _on("entries", lambda e: e.where("query_string is not null").select("id", F.posexplode(masking.form_pairs(F.col("query_string"))).alias("no", "p")).select("id", "no", "p.name", "p.value")),
         "entries_after_filter_plugin": _on("entries", lambda e: plugins.run(e.select("id", "method", "status"), filters=[lambda row: row["status"] == 404]).select("id")),
         "sql_join_having": _sql("SELECT i.status, count(*) AS n, count(DISTINCT e.host) AS hosts FROM entries e JOIN imports i ON i.id = e.import_id GROUP BY i.status HAVING count(*) > 5", "entries", "imports"),
