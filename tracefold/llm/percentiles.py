@@ -92,32 +92,56 @@ def percentiles(counts: DataFrame, by: list[str], at: dict[str, Fraction]) -> Da
         return out
 
     def rescan(batches, carry):
+        # groups that reach into other partitions have a known size and are passed batch by batch;
+        # one that lies in this partition alone is held until it ends
         before, full = carry
-        got = list(batches)
-        t = pa.Table.from_batches(got).combine_chunks()
-        b = t.to_batches()[0] if t.num_rows else None
-        if b is None:
-            return
-        new = changes(b, keys, None)
-        starts = np.flatnonzero(new)
-        c, v = b.column("n").to_numpy(), b.column("value").to_numpy()
-        cum = np.cumsum(c)
-        ends = np.append(starts[1:], len(c))
-        out: dict[str, list] = {k: [] for k in [*keys, "n", "which", "value"]}
-        for g, (s, e) in enumerate(zip(starts, ends)):
-            base = (cum[s - 1] if s else 0) - (before if g == 0 else 0)
-            k = key_at(b, keys, int(s))
-            n = full.get(k, int(cum[e - 1] - base))
+        key, n, run, held = None, None, before, []
+
+        def pick(out, v, c, n, run):
+            cum = np.cumsum(c) + run
             for name, q in at.items():
                 rank = max(1, -(-q.numerator * n // q.denominator))
-                i = s + int(np.searchsorted(cum[s:e] - base, rank))
-                if i < e and cum[i] - c[i] - base < rank:
-                    for kk, x in zip(keys, k):
+                i = int(np.searchsorted(cum, rank))
+                if i < len(cum) and cum[i] - c[i] < rank:
+                    for kk, x in zip(keys, key):
                         out[kk].append(x)
                     out["n"].append(n)
                     out["which"].append(name)
                     out["value"].append(float(v[i]))
-        yield pa.RecordBatch.from_pydict({k: pa.array(x, _arrow(schema[k].dataType)) for k, x in out.items()})
+
+        def close(out):
+            if held:
+                v, c = (np.concatenate(x) for x in zip(*held))
+                pick(out, v, c, int(c.sum()), 0)
+                held.clear()
+
+        def empty():
+            return {k: [] for k in [*keys, "n", "which", "value"]}
+
+        def batch(out):
+            return pa.RecordBatch.from_pydict({k: pa.array(x, _arrow(schema[k].dataType)) for k, x in out.items()})
+
+        for b in batches:
+            out = empty()
+            new = changes(b, keys, key)
+            starts = np.flatnonzero(new).tolist()
+            edges = [*([0] if not starts or starts[0] else []), *starts, b.num_rows]
+            c, v = b.column("n").to_numpy(), b.column("value").to_numpy()
+            for s, e in zip(edges, edges[1:]):
+                if new[s]:
+                    close(out)
+                    run = before if key is None else 0
+                    key = key_at(b, keys, s)
+                    n = full.get(key)
+                if n is None:
+                    held.append((v[s:e], c[s:e]))
+                else:
+                    pick(out, v[s:e], c[s:e], n, run)
+                    run += int(c[s:e].sum())
+            yield batch(out)
+        out = empty()
+        close(out)
+        yield batch(out)
 
     picks = ordered_scan(counts.select(*keys, "value", "n"), keys, ["value"], summarise, lambda a, b: b, rescan, schema, arrange)
     return picks.groupBy(*keys, "n").agg(*(F.max(F.when(F.col("which") == k, F.col("value"))).alias(k) for k in at))

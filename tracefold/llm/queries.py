@@ -31,6 +31,12 @@ _VALUES = f"""
   m AS (SELECT * FROM v WHERE host IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) AND value >= 0)"""
 
 
+_CLEAN = lambda c: rf"""lower(nfc_normalize(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\\\\u[0-9a-fA-F]{{4}}|\\\\[nrtbf"/\\\\]', ' ', 'g'), '&(?:nbsp|lt|gt|quot|apos|#\d+|#x[0-9a-fA-F]+);', ' ', 'g'), '&amp;', '&', 'g'), '<[/!]?[A-Za-z!-][^<>]*>', ' ', 'g'), '\]\([^()\s]*\)', ' ', 'g')))"""
+_WORDS = lambda c: rf"list_filter(regexp_split_to_array({_CLEAN(c)}, '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+_SHINGLES = lambda key, c, t: f"SELECT DISTINCT {key}, hash(array_to_string(w[i:i+11], ' ')) AS h FROM (SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, {_WORDS(c)} AS w FROM {t} WHERE {c} IS NOT NULL) WHERE len(w) >= 12)"
+#: Passages of twelve words by their shingles; escapes and entities are taken for blanks here.
+_LEAKED = f"SELECT DISTINCT item_id, doc_id FROM ({_SHINGLES('item_id', 'passage', 'eval_items')}) i JOIN ({_SHINGLES('doc_id', 'text', 'documents')}) d USING (h)"
+
 _EXACT = f"""WITH {_VALUES},
   o AS (SELECT *, row_number() OVER (PARTITION BY host, metric ORDER BY value) AS r, count(*) OVER (PARTITION BY host, metric) AS n FROM m),
   x AS (SELECT host, metric, n, max(value) FILTER (WHERE r = (n + 1) // 2) AS p50, max(value) FILTER (WHERE r = (9 * n + 9) // 10) AS p90,
@@ -41,6 +47,7 @@ _GRID = lambda q: f"round(CASE WHEN {q} = 0 OR isinf({q}) THEN {q} ELSE exp(floo
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_found": _LEAKED,
         "p5_found": f"""WITH {_VALUES},
   h AS (SELECT {_HOSTS} AS host FROM entries GROUP BY 1 HAVING count(*) * 40 >= (SELECT count(*) FROM entries))
 SELECT host, metric FROM m WHERE host IN (SELECT host FROM h) GROUP BY host, metric

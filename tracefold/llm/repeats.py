@@ -60,7 +60,7 @@ def word_hashes(text: Column) -> Column:
 
 
 def row_digests(entries: DataFrame, zones: DataFrame) -> DataFrame:
-    """``id``, ``import_id``, ``body`` and a digest of all columns that make two entries the same.
+    """``id``, ``import_id``, ``body`` and a digest (128 bits) of all columns that make two entries the same.
 
     Starts count as instants where they are readable; NULL equals NULL, and 0
     equals -0.
@@ -71,9 +71,12 @@ def row_digests(entries: DataFrame, zones: DataFrame) -> DataFrame:
     for f in sorted(e.schema.fields, key=lambda f: f.name):
         if f.name not in skip:
             c = F.col(f"`{f.name}`")
-            cols.append(((c + 0.0) if f.dataType.simpleString() in ("double", "float") else c).alias(f.name))
-    at = F.struct(F.col("__us"), F.when(F.col("__us").isNull(), F.col("started_at")).alias("raw")).alias("started_at")
-    return e.select("id", "import_id", F.col("response_body_hash").alias("body"), F.unhex(F.md5(F.to_json(F.struct(at, *cols), {"ignoreNullFields": "false"}))).alias("digest"))
+            cols.append((c + 0.0) if f.dataType.simpleString() in ("double", "float") else c)
+    cols = [F.col("__us"), F.when(F.col("__us").isNull(), F.col("started_at")), *cols]
+    # a hash passes over NULLs, so which values are NULL is hashed, too
+    empty = F.array(*(c.isNull() for c in cols))
+    part = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), empty, *cols)), 16, "0")
+    return e.select("id", "import_id", F.col("response_body_hash").alias("body"), F.unhex(F.concat(part(1), part(2))).alias("digest"))
 
 
 def texts_of(first: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -88,11 +91,16 @@ def texts_of(first: DataFrame, blobs: DataFrame) -> DataFrame:
     return b.select("tid", "body", F.size("words").cast("long").alias("n"), "words").where(F.col("n") >= LEAST_WORDS)
 
 
-def sketch_of(texts: DataFrame) -> np.ndarray:
-    """How often words occur, by SKETCH classes of their hash."""
-    got = texts.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(SKETCH - 1).alias("c")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+def sketch_of(texts: DataFrame) -> DataFrame:
+    """How often words occur, by SKETCH classes of their hash: ``c``, ``n``."""
+    return texts.select(F.explode("words").alias("w")).groupBy(F.col("w").bitwiseAND(SKETCH - 1).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def order_of(sketch: DataFrame) -> np.ndarray:
+    """The sketch as an array (SKETCH numbers at most reach the driver)."""
+    got = sketch.toArrow()
     out = np.zeros(SKETCH, dtype=np.int64)
-    out[got["c"].to_numpy(dtype=np.int64)] = got["n"].to_numpy()
+    out[got["c"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -201,10 +209,14 @@ def candidates(sigs: DataFrame) -> DataFrame:
         return (last, (carry[1] + members)[:LEADERS]) if single and carry and carry[0] == first else (last, members)
 
     def rescan(batches, carry):
-        got = pa.Table.from_batches(list(batches)).combine_chunks().to_batches()
-        if not got:
-            return
-        key, tid, n, p, fresh = unpack(got[0])
+        for b in batches:
+            out, carry = scan(b, carry)
+            yield out
+
+    def scan(b, carry):
+        """The pairs of one batch, whose first block may go on from ``carry`` (its key and first members), and the carry after it."""
+        key, tid, n, p, fresh = unpack(b)
+        own = 0
         if carry and carry[0] == key[0]:
             m = carry[1]
             key = np.concatenate((np.full(len(m), key[0]), key))
@@ -213,8 +225,6 @@ def candidates(sigs: DataFrame) -> DataFrame:
             p = np.concatenate((np.frombuffer(b"".join(x[2] for x in m), dtype=np.uint8).reshape(-1, WIDTH), p))
             fresh = np.concatenate((np.array([x[3] for x in m], dtype=bool), fresh))
             own = len(m)
-        else:
-            own = 0
         start = np.concatenate(([True], key[1:] != key[:-1]))
         base = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
         rank = np.arange(len(key)) - base
@@ -234,9 +244,9 @@ def candidates(sigs: DataFrame) -> DataFrame:
         lo = np.concatenate([*los, np.zeros(len(beyond), dtype=np.int64)])
         k = np.concatenate([*ks, key[beyond]])
         hi = np.concatenate([*his, tid[beyond]])
-        pairs = len(lo) - len(beyond)
-        mask = np.arange(len(lo)) >= pairs
-        yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64(), mask=mask), pa.array(hi, pa.int64()), pa.array(k, pa.int64(), mask=~mask & (k == 0))], names=["lo", "hi", "key"])
+        mask = np.arange(len(lo)) >= len(lo) - len(beyond)
+        out = pa.RecordBatch.from_arrays([pa.array(lo, pa.int64(), mask=mask), pa.array(hi, pa.int64()), pa.array(k, pa.int64(), mask=~mask & (k == 0))], names=["lo", "hi", "key"])
+        return out, (int(key[-1]), head(key, tid, n, p, fresh, range(base[-1], min(base[-1] + LEADERS, len(key)))))
 
     return ordered_scan(sigs, ["key"], ["tid"], summarise, combine, rescan, schema)
 
@@ -438,9 +448,8 @@ class RepeatStore:
 
     def _key(self, texts: DataFrame, batch: int) -> DataFrame:
         """Orders the words by how often these texts hold them and writes the table's rows anew; returns the order's table."""
-        counts = sketch_of(texts)
-        self._write("sketch", batch, self.spark.createDataFrame([(int(i), int(counts[i])) for i in np.flatnonzero(counts)], self.NAMES["sketch"]))
-        return self._write("sigs", batch, signatures(texts, counts, self._pivots()))
+        order = order_of(self._write("sketch", batch, sketch_of(texts)))
+        return self._write("sigs", batch, signatures(texts, order, self._pivots()))
 
     def _pivots(self) -> list[list[int]]:
         return [list(r.words) for r in self._read("pivots", None).orderBy("no").collect()]
@@ -450,9 +459,7 @@ class RepeatStore:
         if first:
             self._write("pivots", batch, self.spark.createDataFrame(list(enumerate(pivots_of(texts))), self.NAMES["pivots"]))
             return spool.put("found", near_pairs(self._key(texts, batch).withColumn("fresh", F.lit(True)), texts, spool))
-        order = np.zeros(SKETCH, dtype=np.int64)
-        for r in self._read("sketch", key_batch + 1, key_batch).collect():  # SKETCH counters at most
-            order[r.c] = r.n
+        order = order_of(self._read("sketch", key_batch + 1, key_batch))
         mine = self._write("sigs", batch, signatures(texts, order, self._pivots())).withColumn("fresh", F.lit(True))
         old = self._read("sigs", batch, key_batch).join(mine.select("key").distinct(), "key", "left_semi").withColumn("fresh", F.lit(False))
         sigs = spool.put("both", mine.unionByName(old.select(mine.columns)))
