@@ -3,9 +3,7 @@
 A text is first made readable (percent codes, also nested, escapes of JSON,
 entities of HTML), every character keeping its place in the original. Every
 character of it then goes through the network, in overlapping windows whose
-scores are blended; one best path is decoded over the blended scores. Decoding
-skips only stretches where the scores prove that nothing but 'outside' can be
-part of the best path. What is found passes a check of its written form: whole
+scores are blended; one best path is decoded over the blended scores. What is found passes a check of its written form: whole
 words, a possible number of digits, the check digit of cards.
 """
 
@@ -23,14 +21,19 @@ from tracefold.llm import pii_model as M
 from tracefold.llm.repeats import text_of
 from tracefold.sources import table
 
-WINDOW, OVERLAP = 320, 48
-#: Characters around a stretch that is decoded, and around a slice of a very long text.
-MARGIN = 24
-SLICE, AROUND = 200_000, 256
+WINDOW, OVERLAP = 512, 48
+#: Characters that are decoded at once, and those on either side that are decoded with them.
+SEGMENT, MARGIN = 1024, 96
+#: Windows or segments that are worked on together.
+ROWS = 384
+#: Characters of texts that are held at once; longer ones are read in such slices, with some around each.
+SLICE, AROUND = 400_000, 256
 TOKENS = {k: f"<{k.upper()}>" for k in M.KINDS}
 
 _CODE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|\\u[0-9a-fA-F]{4}|\\[nrtbf\"/\\]|&(?:#[0-9]{1,6}|#[xX][0-9a-fA-F]{1,5}|[A-Za-z]{2,8});|\+")
 
+_VALUE = re.compile(r"""(?:[=:]\s*|\bname is )["']?$""", re.I)
+
 
 def luhn(digits: str) -> bool:
     d = [int(c) for c in digits[::-1]]
@@ -93,70 +96,57 @@ def _scores(w: dict, coded: list[np.ndarray]) -> list[np.ndarray]:
             home.append((i, s))
     lengths = np.array([len(r) for r in rows])
     order = np.argsort(lengths, kind="stable")
-    out: list[np.ndarray] = [np.zeros((len(c), M.N_TAGS), dtype=np.float32) for c in coded]
+    out: list[np.ndarray] = [np.zeros((len(c), M.N_TAGS), dtype=np.float32) if len(c) > WINDOW else c for c in coded]
     weight = {i: np.zeros(len(c), dtype=np.float32) for i, c in enumerate(coded) if len(c) > WINDOW}
-    for k in range(0, len(order), 512):
-        part = order[k : k + 512]
-        e = M.fast_emissions(w, [rows[r] for r in part])
+    for k in range(0, len(order), ROWS):
+        part = order[k : k + ROWS]
+        e = M.fast_emissions(w, [rows[r] for r in part]).transpose(1, 0, 2)
         for j, r in enumerate(part):
             i, s = home[r]
             n = lengths[r]
             if i not in weight:
-                out[i] = e[:n, j].copy()
+                out[i] = e[j, :n]
                 continue
             edge = np.minimum(np.arange(n) + 1, n - np.arange(n)).astype(np.float32)
             if s == 0:
                 edge[: n // 2] = n
             if s + n == len(coded[i]):
                 edge[n // 2 :] = n
-            out[i][s : s + n] += e[:n, j] * edge[:, None]
+            out[i][s : s + n] += e[j, :n] * edge[:, None]
             weight[i][s : s + n] += edge
     for i, x in weight.items():
         out[i] /= x[:, None]
     return out
 
 
-def _live(w: dict, e: np.ndarray, gain: float) -> list[tuple[int, int]]:
-    """Stretches that may hold a tag other than 'outside'.
+def _runs(w: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+    """Tagged runs (kind, from, to) of each text.
 
-    A tagged run can't gain more over staying outside than the sum, over its
-    characters, of its best tag's lead plus the best move's lead. Where no run
-    that ends here has a positive sum, nothing is tagged.
+    Scores are decoded in segments with a margin on both sides; a run belongs to
+    the segment it begins in.
     """
-    lead = np.cumsum(e[:, 1:].max(axis=1) - e[:, 0] + gain)
-    live = lead > np.minimum(np.minimum.accumulate(np.concatenate(([0.0], lead[:-1]))), 0.0)
-    if not live.any():
-        return []
-    edge = np.flatnonzero(np.diff(np.concatenate(([0], live.astype(np.int8), [0]))))
-    out: list[tuple[int, int]] = []
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        a, b = max(0, a - MARGIN), min(len(e), b + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-def _runs(w: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """Tagged runs (kind, from, to) of each text."""
     scores = _scores(w, [M.codes(t) for t in texts])
-    gain = max(0.0, float(w["move"].max() - w["move"][0, 0]))
-    zones = [(i, a, b) for i, e in enumerate(scores) for a, b in _live(w, e, gain)]
-    zones.sort(key=lambda z: z[2] - z[1])
+    parts = [(i, a, max(0, a - MARGIN), min(len(e), a + SEGMENT + MARGIN)) for i, e in enumerate(scores) for a in range(0, len(e), SEGMENT)]
+    parts.sort(key=lambda p: p[3] - p[2])
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for k in range(0, len(zones), 256):
-        part = zones[k : k + 256]
-        e = np.zeros((len(part), part[-1][2] - part[-1][1], M.N_TAGS), dtype=np.float32)
-        for j, (i, a, b) in enumerate(part):
-            e[j, : b - a] = scores[i][a:b]
-        got = M.viterbi(w, e, np.array([b - a for _, a, b in part]))
-        for (i, a, b), tags in zip(part, got):
-            kind = (tags[: b - a] + 1) // 2
-            begins = (kind > 0) & ((tags[: b - a] % 2 == 1) | (np.concatenate(([0], kind[:-1])) != kind))
-            ends = np.flatnonzero(np.concatenate((begins[1:] | (kind[1:] != kind[:-1]), [True]))) + 1
-            for s in np.flatnonzero(begins):
-                out[i].append((M.KINDS[kind[s] - 1], a + int(s), a + int(ends[np.searchsorted(ends, s, "right")])))
+    for k in range(0, len(parts), ROWS):
+        some = parts[k : k + ROWS]
+        e = np.zeros((len(some), some[-1][3] - some[-1][2], M.N_TAGS), dtype=np.float32)
+        for j, (i, _, x, y) in enumerate(some):
+            e[j, : y - x] = scores[i][x:y]
+        tags = M.viterbi(w, np.ascontiguousarray(e.transpose(1, 2, 0)), np.array([y - x for _, _, x, y in some]))
+        kind = (tags + 1) // 2
+        before = np.concatenate((np.zeros((len(some), 1), dtype=kind.dtype), kind[:, :-1]), axis=1)
+        begins = (kind > 0) & ((tags % 2 == 1) | (before != kind))
+        for j, s in zip(*np.nonzero(begins)):
+            i, a, x, _ = some[j]
+            if not a <= x + s < a + SEGMENT:
+                continue
+            stop = np.flatnonzero(begins[j, s + 1 :] | (kind[j, s + 1 :] != kind[j, s]))
+            end = s + 1 + int(stop[0]) if len(stop) else kind.shape[1]
+            out[i].append((M.KINDS[kind[j, s] - 1], x + int(s), x + end))
+    for runs in out:
+        runs.sort(key=lambda r: r[1])
     return out
 
 
@@ -167,6 +157,9 @@ def _plausible(kind: str, s: str, text: str, a: int, b: int) -> bool:
     to fifteen digits, an identity number six digits or letters in all; a run of
     card length that is bare or grouped like a card's needs the check digit; a
     street address has a number; a name has none and is not part of a mail address.
+    One word alone, or words in small letters, are a name only as the value of
+    something (after a key's sign, or after "name is"), and one word in small
+    letters never is.
     """
     if (a and text[a - 1].isalnum() and s[0].isalnum()) or (b < len(text) and text[b].isalnum() and s[-1].isalnum()):
         return False
@@ -182,7 +175,12 @@ def _plausible(kind: str, s: str, text: str, a: int, b: int) -> bool:
         return len(digits) >= 6 or sum(c.isalnum() for c in s) >= 8
     if kind == "address":
         return bool(digits) and sum(c.isalpha() for c in s) >= 3
-    return not digits and "@" not in text[max(0, a - 1) : b + 1] and sum(c.isalpha() for c in s) >= 2
+    if digits or "@" in text[max(0, a - 1) : b + 1] or sum(c.isalpha() for c in s) < 2:
+        return False
+    small = s.islower()
+    if len(s.split()) > 1 and not small:
+        return True
+    return (len(s.split()) > 1 or not small) and bool(_VALUE.search(text[max(0, a - 16) : a]))
 
 
 def find(w: dict, texts: list[tuple[str, bool]]) -> list[list[tuple[str, int, int]]]:

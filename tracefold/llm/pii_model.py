@@ -1,4 +1,8 @@
-"""A character-level bidirectional LSTM with a CRF over its outputs, in numpy."""
+"""A character-level bidirectional LSTM with a CRF over its outputs, in numpy.
+
+Each step of the LSTM takes two characters, by embeddings of their own, and
+scores the tags of both; so a text takes half as many steps as it has characters.
+"""
 
 from __future__ import annotations
 
@@ -29,13 +33,13 @@ def new_weights(seed: int = 1) -> dict[str, np.ndarray]:
     r = np.random.default_rng(seed)
     w: dict[str, np.ndarray] = {"embed": r.normal(0, 0.3, (N_CHARS, EMBED))}
     for d in "fb":
-        w[d + "x"] = r.normal(0, 1 / np.sqrt(EMBED), (EMBED, 4 * HIDDEN))
+        w[d + "x"] = r.normal(0, 1 / np.sqrt(2 * EMBED), (2 * EMBED, 4 * HIDDEN))
         w[d + "h"] = r.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 4 * HIDDEN))
         b = np.zeros(4 * HIDDEN)
         b[HIDDEN : 2 * HIDDEN] = 1
         w[d + "b"] = b
-    w["out"] = r.normal(0, 1 / np.sqrt(2 * HIDDEN), (2 * HIDDEN, N_TAGS))
-    w["bias"] = np.zeros(N_TAGS)
+    w["out"] = r.normal(0, 1 / np.sqrt(2 * HIDDEN), (2 * HIDDEN, 2 * N_TAGS))
+    w["bias"] = np.zeros(2 * N_TAGS)
     w["move"] = r.normal(0, 0.1, (N_TAGS, N_TAGS))
     w["first"] = np.zeros(N_TAGS)
     return {k: v.astype(np.float32) for k, v in w.items()}
@@ -71,51 +75,70 @@ def _lstm(x: np.ndarray, w: dict, d: str, mask: np.ndarray, keep: bool):
     return out, tape
 
 
+def _steps(w: dict, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (time, rows) of even length, the inputs (time / 2, rows, 2 * EMBED) and which steps hold a character."""
+    ids = ids.T
+    if len(ids) % 2:
+        ids = np.concatenate((ids, np.zeros((1, ids.shape[1]), dtype=ids.dtype)))
+    x = w["embed"][ids]
+    t, n, k = x.shape
+    return ids, x.reshape(t // 2, 2, n, k).transpose(0, 2, 1, 3).reshape(t // 2, n, 2 * k), ids[::2] > 0
+
+
+def _by_character(e: np.ndarray) -> np.ndarray:
+    """Scores (time / 2, rows, 2 * N_TAGS) as (time, rows, N_TAGS)."""
+    t, n, _ = e.shape
+    return e.reshape(t, n, 2, N_TAGS).transpose(0, 2, 1, 3).reshape(2 * t, n, N_TAGS)
+
+
 def emissions(w: dict, ids: np.ndarray) -> np.ndarray:
     """Scores (rows, time, N_TAGS) of character codes (rows, time); code 0 is padding."""
-    x = w["embed"][ids.T]
-    mask = ids.T > 0
+    _, x, mask = _steps(w, ids)
     f, _ = _lstm(x, w, "f", mask, False)
     b, _ = _lstm(x, w, "b", mask, False)
-    return (np.concatenate((f, b), axis=2) @ w["out"] + w["bias"]).transpose(1, 0, 2)
+    return _by_character(np.concatenate((f, b), axis=2) @ w["out"] + w["bias"]).transpose(1, 0, 2)[:, : ids.shape[1]]
 
 
 def _prepared(w: dict) -> dict:
-    """Weights laid out for scoring: per direction the input part of each character's gates as a table.
+    """Weights laid out for scoring: per direction the input part of the gates for each pair of characters.
 
     The three sigmoid gates are halved beforehand, so one tanh serves all four.
     """
     if "ready" not in w:
         half = np.concatenate((np.full(3 * HIDDEN, 0.5, dtype=np.float32), np.ones(HIDDEN, dtype=np.float32)))
-        w["ready"] = {d: (np.ascontiguousarray((w["embed"] @ w[d + "x"] + w[d + "b"]) * half), np.ascontiguousarray(w[d + "h"] * half)) for d in "fb"}
+        one = lambda x: (w["embed"] @ x) * half
+        both = lambda x, b: np.ascontiguousarray((one(x[:EMBED])[:, None] + one(x[EMBED:])[None] + b * half).reshape(-1, 4 * HIDDEN))
+        w["ready"] = {d: (both(w[d + "x"], w[d + "b"]), np.ascontiguousarray(w[d + "h"] * half)) for d in "fb"}
     return w["ready"]
 
 
 def fast_emissions(w: dict, rows: list[np.ndarray]) -> np.ndarray:
     """Scores (time, rows, N_TAGS) of coded windows, as ``emissions`` gives them; places after a window's end mean nothing.
 
-    The backward pass reads each window from its own end, so padding comes last
-    for both and no mask is needed.
+    The backward pass reads each window's steps from its own end, so padding
+    comes last for both and no mask is needed.
     """
-    n, t = len(rows), max(len(r) for r in rows)
-    ids = np.zeros((2, t, n), dtype=np.intp)
+    n, t = len(rows), (max(len(r) for r in rows) + 1) // 2
+    steps = np.array([(len(r) + 1) // 2 for r in rows])
+    ids = np.zeros((n, 2 * t), dtype=np.intp)
     for j, r in enumerate(rows):
-        ids[0, : len(r), j] = r
-        ids[1, : len(r), j] = r[::-1]
-    out = np.zeros((t, n, N_TAGS), dtype=np.float32)
-    lengths = np.array([len(r) for r in rows])
+        ids[j, : len(r)] = r
+    pairs = ids[:, ::2] * N_CHARS + ids[:, 1::2]
+    back = pairs[np.arange(n)[:, None], np.maximum(steps[:, None] - 1 - np.arange(t), 0)]
+    out = np.zeros((t, n, 2 * N_TAGS), dtype=np.float32)
     at = np.arange(n)
     z = np.empty((n, 4 * HIDDEN), dtype=np.float32)
     x = np.empty_like(z)
-    for k, d in enumerate("fb"):
+    for k, (d, p) in enumerate((("f", pairs), ("b", back))):
         given, across = _prepared(w)[d]
+        p = np.ascontiguousarray(p.T)
         project = np.ascontiguousarray(w["out"][k * HIDDEN : (k + 1) * HIDDEN])
         h = np.zeros((n, HIDDEN), dtype=np.float32)
         c = np.zeros((n, HIDDEN), dtype=np.float32)
         s, g = z[:, : 3 * HIDDEN], z[:, 3 * HIDDEN :]
         for i in range(t):
             np.matmul(h, across, out=z)
-            np.take(given, ids[k, i], axis=0, out=x, mode="clip")
+            np.take(given, p[i], axis=0, out=x, mode="clip")
             z += x
             np.tanh(z, out=z)
             s *= 0.5
@@ -128,7 +151,7 @@ def fast_emissions(w: dict, rows: list[np.ndarray]) -> np.ndarray:
             if k == 0:
                 np.matmul(h, project, out=out[i])
             else:
-                place = lengths - 1 - i
+                place = steps - 1 - i
                 ok = place >= 0
                 e = h @ project
                 if ok.all():
@@ -136,30 +159,40 @@ def fast_emissions(w: dict, rows: list[np.ndarray]) -> np.ndarray:
                 else:
                     out[place[ok], at[ok]] += e[ok]
     out += w["bias"]
-    return out
+    return _by_character(out)
 
 
 def viterbi(w: dict, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The best tags (rows, time) of scores (rows, time, tags)."""
-    n, t, k = e.shape
-    score = e[:, 0] + w["first"]
-    back = np.zeros((t, n, k), dtype=np.int8)
-    live = np.empty((t, n, k), dtype=np.float32)
-    live[0] = score
+    """The best tags (rows, time) of scores (time, tags, rows).
+
+    Best scores are kept for every step; on the way back the move that led to a
+    tag is found again from them, for the tags of the path only.
+    """
+    t, k, n = e.shape
+    move = w["move"].astype(e.dtype)
+    score = np.empty_like(e)
+    score[0] = e[0] + w["first"][:, None]
+    part = np.empty((k, n), dtype=e.dtype)
+    columns = [np.ascontiguousarray(move[j][:, None]) for j in range(k)]
     for i in range(1, t):
-        s = score[:, :, None] + w["move"][None]
-        back[i] = s.argmax(axis=1)
-        score = s.max(axis=1) + e[:, i]
-        live[i] = score
+        last, best = score[i - 1], score[i]
+        np.add(last[0], columns[0], out=best)
+        for j in range(1, k):
+            np.add(last[j], columns[j], out=part)
+            np.maximum(best, part, out=best)
+        best += e[i]
     tags = np.zeros((n, t), dtype=np.int64)
     rows = np.arange(n)
     now = np.zeros(n, dtype=np.int64)
+    into = np.ascontiguousarray(move.T)
     for i in range(t - 1, -1, -1):
-        end = lengths - 1 == i
-        now = np.where(end, live[i].argmax(axis=1), now)
-        tags[:, i] = np.where(i < lengths, now, 0)
-        inside = (i < lengths) & (i > 0)
-        now = np.where(inside, back[i][rows, now], now)
+        ends = lengths - 1 == i
+        if ends.any():
+            now = np.where(ends, score[i].argmax(axis=0), now)
+        inside = lengths > i
+        tags[:, i] = np.where(inside, now, 0)
+        if i and inside.any():
+            now = np.where(inside, (score[i - 1].T + into[now]).argmax(axis=1), now)
     return tags
 
 
@@ -171,12 +204,12 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 def loss_and_gradients(w: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
     """Mean negative log-likelihood per row of tags under the CRF, with gradients."""
     n, t = ids.shape
+    codes_, x, steps = _steps(w, ids)
     mask = ids.T > 0
-    x = w["embed"][ids.T]
-    f, tf = _lstm(x, w, "f", mask, True)
-    b, tb = _lstm(x, w, "b", mask, True)
+    f, tf = _lstm(x, w, "f", steps, True)
+    b, tb = _lstm(x, w, "b", steps, True)
     hb = np.concatenate((f, b), axis=2)
-    e = hb @ w["out"] + w["bias"]
+    e = _by_character(hb @ w["out"] + w["bias"])[:t]
     y = tags.T
     move = w["move"]
     alpha = np.empty_like(e)
@@ -201,15 +234,18 @@ def loss_and_gradients(w: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[floa
         p = np.exp(alpha[i - 1][:, :, None] + move[None] + (e[i] + beta[i])[:, None, :] - z[:, None, None])
         g["move"] += (p * m[:, None, None]).sum(0)
         np.add.at(g["move"], (y[i - 1][m], y[i][m]), -1)
-    g["out"] = hb.reshape(-1, 2 * HIDDEN).T @ de.reshape(-1, N_TAGS)
-    g["bias"] = de.sum((0, 1))
-    dh_all = de @ w["out"].T
+    if t % 2:
+        de = np.concatenate((de, np.zeros((1, *de.shape[1:]), dtype=de.dtype)))
+    two = de.reshape(-1, 2, n, N_TAGS).transpose(0, 2, 1, 3).reshape(len(x), n, 2 * N_TAGS)
+    g["out"] = hb.reshape(-1, 2 * HIDDEN).T @ two.reshape(-1, 2 * N_TAGS)
+    g["bias"] = two.sum((0, 1))
+    dh_all = two @ w["out"].T
     dx = np.zeros_like(x)
     for d, tape, part in (("f", tf, dh_all[:, :, :HIDDEN]), ("b", tb, dh_all[:, :, HIDDEN:])):
         dh = np.zeros((n, HIDDEN), dtype=np.float32)
         dc = np.zeros_like(dh)
         gh = np.zeros_like(w[d + "h"])
-        dz_all = np.zeros((t, n, 4 * HIDDEN), dtype=np.float32)
+        dz_all = np.zeros((len(x), n, 4 * HIDDEN), dtype=np.float32)
         for i, a, fo, o, gg, c0, tc, h0, m in reversed(tape):
             dh = dh + part[i]
             dhm, dcm = np.where(m, dh, 0), np.where(m, dc, 0)
@@ -220,11 +256,11 @@ def loss_and_gradients(w: dict, ids: np.ndarray, tags: np.ndarray) -> tuple[floa
             gh += h0.T @ dz
             dh = np.where(m, dz @ w[d + "h"].T, dh)
             dc = np.where(m, dct * fo, dc)
-        flat = dz_all.reshape(t * n, -1)
+        flat = dz_all.reshape(len(x) * n, -1)
         g[d + "h"] = gh
-        g[d + "x"] = x.reshape(t * n, -1).T @ flat
+        g[d + "x"] = x.reshape(len(x) * n, -1).T @ flat
         g[d + "b"] = flat.sum(0)
         dx += (flat @ w[d + "x"].T).reshape(x.shape)
     g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], ids.T.ravel(), dx.reshape(t * n, -1))
+    np.add.at(g["embed"], codes_.ravel(), dx.reshape(len(x), n, 2, EMBED).transpose(0, 2, 1, 3).reshape(-1, EMBED))
     return float((z - gold).mean()), {k: v / n for k, v in g.items()}

@@ -76,7 +76,10 @@ def hexes(r: random.Random, n: int) -> str:
 
 
 def word(r: random.Random) -> str:
-    return r.choice(BASIC) if r.random() < 0.6 else r.choice(TECH) if r.random() < 0.6 else made_up(r)
+    x = r.random()
+    if x < 0.05:
+        return f"{r.choice([*BASIC, *TECH])}-{r.choice([*BASIC, *TECH])}"
+    return r.choice(BASIC) if x < 0.6 else r.choice(TECH) if x < 0.8 else made_up(r) if x < 0.97 else made_up(r) + r.choice(["ed", "ing", "er", "s", "ly", "est"])
 
 
 def words(r: random.Random, lo: int, hi: int) -> str:
@@ -100,13 +103,17 @@ def city(r: random.Random) -> str:
     return r.choice(CITIES).replace("_", " ") if r.random() < 0.5 else r.choice(["", "", "Bad ", "Saint-", "San ", "Port ", "New "]) + (made_up(r, 1, 2) + r.choice(["", "burg", "ton", "ville", "stadt", "ham", "ford", "dorf", "by"])).capitalize()
 
 
-def name(r: random.Random) -> str:
-    f, s, m = first_name(r), surname(r), r.choice("ABCDEFGHIJKLMNOPRSTUVW")
+def name(r: random.Random, told: bool = True) -> str:
+    """A person's name. Where nothing before it tells (``told``), the given name is a common one and no letters are small."""
+    f, s, m = first_name(r) if told else r.choice(FIRST), surname(r), r.choice("ABCDEFGHIJKLMNOPRSTUVW")
     if r.random() < 0.08:
         f = f"{f} {first_name(r)}"
+    if told and r.random() < 0.08:
+        f, s = r.choice(FIRST).lower(), surname(r).lower()
+        return r.choice([f"{f} {s}", f"{f} {s}", f"{s}, {f}"])
     title = r.choice(["Mr", "Mr.", "Mrs.", "Ms.", "Miss", "Dr.", "Dr", "Prof.", "Herr", "Frau", "Sir"])
     return r.choices(
-        [f"{f} {s}", f"{f} {m}. {s}", f"{s}, {f}", f"{s.upper()}, {f}", f"{title} {s}", f"{title} {f} {s}", f"{f.lower()} {s.lower()}", f"{f.upper()} {s.upper()}", f"{m}. {s}", f"{title} {m}. {s}"], [10, 3, 2, 2, 2, 1, 3, 1, 0.5, 1]
+        [f"{f} {s}", f"{f} {m}. {s}", f"{s}, {f}", f"{s.upper()}, {f}", f"{title} {s}", f"{title} {f} {s}", f"{f.upper()} {s.upper()}", f"{m}. {s}", f"{title} {m}. {s}"], [10, 3, 2, 2, 2, 1, 1, 0.5, 1]
     )[0]
 
 
@@ -138,16 +145,17 @@ def _grouped(r: random.Random, n: int, sep: str) -> str:
 
 
 def phone(r: random.Random, bare: bool = False) -> str:
-    sep = r.choice([" ", " ", "-", ".", ""])
+    sep = r.choice([" ", " ", "-", ""])
     a, b, c = str(r.randint(2, 9)) + digits(r, 2), digits(r, 3), digits(r, 4)
     if r.random() < 0.15:
         b = "555"
     cc = r.choice(["1", "7", "20", "27", "31", "32", "33", "34", "39", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "86", "91", "351", "353", "358", "420", "971"])
     if bare:
-        return r.choice([f"{a}{b}{c}", "0" + digits(r, r.randint(8, 10)), cc + digits(r, r.randint(8, 10)), digits(r, r.randint(7, 8))])
+        return r.choice([f"{a}{b}{c}", f"{a}{b}{c}", "0" + digits(r, r.randint(8, 10)), cc + digits(r, r.randint(8, 10)), digits(r, r.randint(7, 8))])
     return r.choice([
         f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"1-{a}-{b}-{c}", f"+1 ({a}) {b}-{c}", f"+{cc}{r.choice([' ', '', '-', ' '])}{_grouped(r, r.randint(8, 10), sep)}", f"+{cc} {r.randint(1, 9)}{digits(r, r.randint(0, 2))} {digits(r, r.randint(5, 8))}",
         f"+{cc} ({r.randint(1, 9)}{digits(r, 2)}) {_grouped(r, 7, r.choice(' -'))}", f"00{cc}{sep}{_grouped(r, r.randint(8, 10), sep)}", f"0{digits(r, r.randint(1, 4))}{r.choice([' ', '/', '-', ' / '])}{_grouped(r, r.randint(5, 8), r.choice(['', ' ', '-']))}", f"(0{digits(r, r.randint(2, 4))}) {_grouped(r, r.randint(5, 7), r.choice(['', ' ']))}",
+        f"+{cc} {digits(r, r.randint(1, 4))} {digits(r, r.randint(3, 4))} {digits(r, r.randint(3, 4))}", f"00{cc} {digits(r, r.randint(1, 4))} {digits(r, r.randint(5, 8))}", f"+{cc} {digits(r, 1)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)}", f"+{cc} {digits(r, r.randint(2, 3))} {digits(r, r.randint(4, 6))} {digits(r, r.randint(2, 4))}",
         f"0{r.randint(1, 9)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)}", f"+{cc}{digits(r, r.randint(8, 11))}", f"{a}-{b}-{c} ext. {digits(r, 3)}", f"+{cc} {digits(r, 2)} {digits(r, 4)} {digits(r, 4)}", f"+{cc} {digits(r, 4)} {digits(r, 6)}", f"+{cc} {digits(r, 2)} {digits(r, 5)} {digits(r, 3)}",
     ])
 
@@ -169,9 +177,9 @@ def card(r: random.Random) -> str:
 def id_number(r: random.Random, bare: bool = False) -> str:
     up = "ABCDEFGHJKLMNPRSTVWXYZ"
     if bare:
-        return r.choice([digits(r, 9), digits(r, 11), digits(r, 10), digits(r, 8)])
+        return r.choice([digits(r, 9), digits(r, 9), digits(r, 11), digits(r, 8)])
     return r.choice([
-        f"{digits(r, 3)}-{digits(r, 2)}-{digits(r, 4)}", f"{digits(r, 3)}-{digits(r, 2)}-{digits(r, 4)}", f"{digits(r, 3)} {digits(r, 2)} {digits(r, 4)}", f"{r.choice(up)}{r.choice(up)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {r.choice('ABCD')}",
+        *[f"{digits(r, 3)}-{digits(r, 2)}-{digits(r, 4)}"] * 5, f"{digits(r, 3)} {digits(r, 2)} {digits(r, 4)}", f"{r.choice(up)}{r.choice(up)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {r.choice('ABCD')}", f"{r.choice(up)}{r.choice(up)} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {r.choice('ABCD')}",
         f"{r.choice(up)}{r.choice(up)}{digits(r, 6)}{r.choice('ABCD')}", f"{r.choice(up)}{digits(r, r.randint(7, 8))}", f"{r.choice(up)}{r.choice(up)}{digits(r, 7)}", f"{digits(r, 8)}{r.choice(up)}", f"{r.choice('12')} {digits(r, 2)} {digits(r, 2)} {digits(r, 2)} {digits(r, 3)} {digits(r, 3)} {digits(r, 2)}",
         f"{digits(r, 6)}-{digits(r, 4)}", f"{digits(r, 2)} {digits(r, 6)} {r.choice(up)} {digits(r, 3)}", f"{digits(r, 3)}.{digits(r, 3)}.{digits(r, 3)}-{digits(r, 2)}", card(r), card(r), card(r), card(r),
     ])
@@ -217,13 +225,15 @@ def decoy(r: random.Random) -> str:
     x = r.randint(0, 39)
     if x < 6:  # capitalised words in a row: titles, products, places, brands
         return r.choice([f"{cap()} {cap()}", f"{cap()} {cap()} {cap()}", f"{cap()} {cap()} and {cap()} {cap()}", f"{made_up(r).capitalize()} {cap()}", f"{cap()} {made_up(r).capitalize()} {cap()}", r.choice(CITIES).replace("_", " "), f"{r.choice(CITIES).replace('_', ' ')} {cap()}", f"{r.choice(['The', 'A', 'This', 'Your', 'Our', 'No', 'All'])} {cap()} {cap()}"])
-    if x < 10:  # a given name alone, or as part of the name of a thing
+    if x < 8:  # small letters, quoted or not, and capitals
+        return r.choice([f'"{w()} {w()}"', f'\\"{w()} {w()}\\"', f"'{w()} {w()}'", f"{w()} {w()}", w().upper(), f"{w()} {w().upper()} {w()}", f"{cap()} {n(r.randint(1, 4))}", f"{cap()} {n(3)} {w()}"])
+    if x < 12:  # a given name alone, or as part of the name of a thing
         f, t = r.choice(FIRST), r.choice(TECH)
         return r.choice([f"{f} {t}", f"{f} {t.capitalize()}", f"the {f} {t}", f"{t.capitalize()} {f}", f"{f} {n(1)}.{n(1)}", f"{f} {r.choice(BASIC[70:])}", f, f"{f} {cap()} {t}"])
-    if x < 14:
+    if x < 15:
         return r.choice([f"{r.choice(['Monday', 'Tuesday', 'Friday', 'Sunday'])} {cap()}", f"{r.choice(['January', 'March', 'May', 'June', 'August'])} {r.randint(1, 31)}", f"{r.choice(['Mon', 'Wed', 'Sat'])}, {n(2)} {r.choice(['Jan', 'Apr', 'Oct'])} 20{n(2)}", f"20{n(2)}-{n(2)}-{n(2)}", f"{n(2)}/{n(2)}/20{n(2)}", f"{n(2)}:{n(2)}:{n(2)}", f"20{n(2)}-{n(2)}-{n(2)}T{n(2)}:{n(2)}:{n(2)}.{n(3)}Z", f"{n(2)}.{n(2)}.20{n(2)}"])
     if x < 22:  # long numbers without a meaning
-        return r.choice([f"1{r.choice('5678')}{n(8)}", f"1{r.choice('5678')}{n(11)}", f"1{r.choice('5678')}{n(14)}", f"{w()} {n(10)}", n(12), n(14), n(18), n(20), f"{n(2)}-{n(4)}-{n(2)}", f"{n(4)}-{n(2)}", f"{n(3)}.{n(3)}", f"{n(2)}-{n(2)}-{n(4)}", f"{n(3)}-{n(3)}", f"{n(4)} {n(3)} {n(2)}", f"{n(4)}-{n(4)}", f"{n(3)},{n(3)},{n(3)}", f"{n(1)}{n(6)}", f"#{n(6)}", f"-{n(1)}.{n(9)}", f"0.{n(8)}", f"{n(3)}-{n(3)}-{n(3)}-{n(3)}", f"{n(2)} {n(2)} {n(2)}"])
+        return r.choice([f"1{r.choice('5678')}{n(8)}", f"1{r.choice('5678')}{n(11)}", f"1{r.choice('5678')}{n(14)}", f"{w()} {n(10)}", n(12), n(14), n(18), n(20), f"{n(2)}-{n(4)}-{n(2)}", f"{n(4)}-{n(2)}", f"{n(3)}.{n(3)}", f"{n(2)}-{n(2)}-{n(4)}", f"{n(3)}-{n(3)}", f"{n(4)} {n(3)} {n(2)}", f"{n(4)}-{n(4)}", f"{n(3)},{n(3)},{n(3)}", f"{n(1)}{n(6)}", f"#{n(6)}", f"-{n(1)}.{n(9)}", f"0.{n(8)}", f"{n(3)}-{n(3)}-{n(3)}-{n(3)}", f"{n(2)} {n(2)} {n(2)}", f"{n(4)}.{n(4)}", f"{w()} {n(4)}.{n(4)}", f"{n(5)}.{n(3)}", f"{n(r.randint(1, 6))}.{n(r.randint(1, 6))}", f"{n(4)}/{n(4)}", f"{n(3)}:{n(5)}", f"{n(4)} {n(4)}"])
     if x < 26:
         return r.choice([f"{r.randint(0, 30)}.{n(1)}.{n(2)}", f"v{n(1)}.{n(2)}", f"{n(1)}.{n(1)}.{n(3)}.{n(1)}", f"{r.randint(1, 255)}.{n(2)}.{n(3)}.{n(2)}", f"{n(2)}.{n(3)}.{n(4)}.{n(1)}", f"{n(1)}.{n(1)}.{n(4)}.{n(3)}", f"{made_up(r)}-{made_up(r)}@{n(1)}.{n(2)}.{n(1)}", f"{w()}@{n(1)}x.png", f"@{r.choice(CSS)}", f"@{made_up(r)}/{made_up(r)}", f"@{w()}", f"{w()}@{n(2)}"])
     if x < 30:
@@ -242,11 +252,14 @@ def sentence(r: random.Random, kind: str | None) -> list[Span]:
     before, after = words(r, 0, 6), words(r, 0, 6)
     if kind is None:
         mid: list[Span] = [(decoy(r), None)] if r.random() < 0.75 else []
-        if mid and r.random() < 0.3:  # words that go before values go before others too
+        if mid and r.random() < 0.1:  # words that go before values go before others too
             before = (before + " " + r.choice(LEADS[r.choice(KINDS)])).strip()
     else:
         lead = r.random() < 0.6
-        value = MAKE[kind](r, bare=True) if kind in ("phone", "id_number") and lead and r.random() < 0.2 else MAKE[kind](r)
+        if kind == "name":
+            value = name(r, told=lead)
+        else:
+            value = MAKE[kind](r, bare=True) if kind in ("phone", "id_number") and lead and r.random() < 0.3 else MAKE[kind](r)
         if lead:
             x = r.choice(LEADS[kind])
             before = " ".join(x for x in (before, x, r.choice(["", "", "", "is", "no.", "number", "of", "on", "at"]) if kind != "name" else "") if x)
@@ -261,7 +274,7 @@ def member(r: random.Random, kind: str | None, style: int) -> list[Span]:
     """A key with its value, as in JSON (0), a form (1), a log line (2) or markup (3)."""
     if kind is None:
         key = r.choice([word(r), made_up(r), "id", "ts", "time", "ref", "q", "page", "sort", "v", "cid", "sid", "utm", r.choice(KEYS[r.choice(KINDS)])])
-        value: list[Span] = [(r.choice([decoy(r), decoy(r), word(r), digits(r, r.randint(1, 6)), made_up(r), "true", "null", ""]), None)]
+        value: list[Span] = [(r.choice([decoy(r), decoy(r), word(r), words(r, 2, 3), sentence(r, None)[0][0].strip(), digits(r, r.randint(1, 6)), made_up(r), "true", "null", ""]), None)]
     else:
         key = r.choice(KEYS[kind])
         if kind == "name" and r.random() < 0.12:
@@ -274,7 +287,7 @@ def member(r: random.Random, kind: str | None, style: int) -> list[Span]:
             key = r.choice([made_up(r, 1, 2), word(r), "q", "u", "p", "text", "value", "data"])
             value = [(MAKE[kind](r), kind)]
         else:
-            value = [(MAKE[kind](r, bare=True) if kind in ("phone", "id_number") and r.random() < 0.2 else MAKE[kind](r), kind)]
+            value = [(MAKE[kind](r, bare=True) if kind in ("phone", "id_number") and r.random() < 0.3 else MAKE[kind](r), kind)]
     key = key if r.random() < 0.9 else key.upper()
     if style == 0:
         return [(f'"{key}":{r.choice(["", " "])}"', None), *value, ('"', None)]
@@ -287,7 +300,7 @@ def member(r: random.Random, kind: str | None, style: int) -> list[Span]:
 def example(r: random.Random, width: int) -> tuple[str, np.ndarray]:
     """A window of a made-up text; where it begins is random, so values stand anywhere and are cut at edges too."""
     parts: list[Span] = []
-    pick = lambda share: r.choice(KINDS) if r.random() < share else None
+    pick = lambda share: r.choice((*KINDS, "name")) if r.random() < share else None
     form = r.random()
     if form < 0.45:
         join = r.choice([" ", " ", "\n", "\n\n", "</p>\n<p>", "<br>", "\\n"])
@@ -339,7 +352,7 @@ def _work(job: tuple[dict, int, int, int]) -> tuple[float, dict]:
 def held_out(w: dict, seed: int = 10**9, n: int = 2000, width: int = 128) -> dict[str, float]:
     """Share of characters tagged right, and of characters of each kind, on examples never trained on."""
     ids, tags = batch(seed, n, width)
-    got = viterbi(w, emissions(w, ids), (ids > 0).sum(1))
+    got = viterbi(w, np.ascontiguousarray(emissions(w, ids).transpose(1, 2, 0)), (ids > 0).sum(1))
     kind, true = (got + 1) // 2, (tags + 1) // 2
     out = {"all": float((kind == true)[ids > 0].mean()), "outside": float((kind == 0)[(true == 0) & (ids > 0)].mean())}
     return out | {k: float((kind == i + 1)[true == i + 1].mean()) for i, k in enumerate(KINDS)}
