@@ -24,8 +24,8 @@ from tracefold.sources import table
 WINDOW, OVERLAP = 512, 48
 #: Characters that are decoded at once, and those on either side that are decoded with them.
 SEGMENT, MARGIN = 1024, 96
-#: Windows or segments that are worked on together.
-ROWS = 384
+#: Windows that are scored together, and segments that are decoded together.
+ROWS, SEGMENTS = 384, 384
 #: Characters of texts that are held at once; longer ones are read in such slices, with some around each.
 SLICE, AROUND = 400_000, 256
 TOKENS = {k: f"<{k.upper()}>" for k in M.KINDS}
@@ -129,8 +129,8 @@ def _runs(w: dict, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     parts = [(i, a, max(0, a - MARGIN), min(len(e), a + SEGMENT + MARGIN)) for i, e in enumerate(scores) for a in range(0, len(e), SEGMENT)]
     parts.sort(key=lambda p: p[3] - p[2])
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    for k in range(0, len(parts), ROWS):
-        some = parts[k : k + ROWS]
+    for k in range(0, len(parts), SEGMENTS):
+        some = parts[k : k + SEGMENTS]
         e = np.zeros((len(some), some[-1][3] - some[-1][2], M.N_TAGS), dtype=np.float32)
         for j, (i, _, x, y) in enumerate(some):
             e[j, : y - x] = scores[i][x:y]

@@ -102,13 +102,14 @@ def emissions(w: dict, ids: np.ndarray) -> np.ndarray:
 def _prepared(w: dict) -> dict:
     """Weights laid out for scoring: per direction the input part of the gates for each pair of characters.
 
-    The three sigmoid gates are halved beforehand, so one tanh serves all four.
+    The three sigmoid gates are halved beforehand, so one tanh serves all four; so are
+    the weights of the output, which is kept doubled.
     """
     if "ready" not in w:
         half = np.concatenate((np.full(3 * HIDDEN, 0.5, dtype=np.float32), np.ones(HIDDEN, dtype=np.float32)))
         one = lambda x: (w["embed"] @ x) * half
         both = lambda x, b: np.ascontiguousarray((one(x[:EMBED])[:, None] + one(x[EMBED:])[None] + b * half).reshape(-1, 4 * HIDDEN))
-        w["ready"] = {d: (both(w[d + "x"], w[d + "b"]), np.ascontiguousarray(w[d + "h"] * half)) for d in "fb"}
+        w["ready"] = {d: (both(w[d + "x"], w[d + "b"]), np.ascontiguousarray(w[d + "h"] * half * np.float32(0.5))) for d in "fb"}
     return w["ready"]
 
 
@@ -126,37 +127,41 @@ def fast_emissions(w: dict, rows: list[np.ndarray]) -> np.ndarray:
     pairs = ids[:, ::2] * N_CHARS + ids[:, 1::2]
     back = pairs[np.arange(n)[:, None], np.maximum(steps[:, None] - 1 - np.arange(t), 0)]
     out = np.zeros((t, n, 2 * N_TAGS), dtype=np.float32)
-    at = np.arange(n)
+    at, even = np.arange(n), bool((steps == t).all())
     z = np.empty((n, 4 * HIDDEN), dtype=np.float32)
     x = np.empty_like(z)
+    one = np.zeros_like(z)
+    one[:, : 3 * HIDDEN] = 1
     for k, (d, p) in enumerate((("f", pairs), ("b", back))):
         given, across = _prepared(w)[d]
         p = np.ascontiguousarray(p.T)
-        project = np.ascontiguousarray(w["out"][k * HIDDEN : (k + 1) * HIDDEN])
+        project = np.ascontiguousarray(w["out"][k * HIDDEN : (k + 1) * HIDDEN]) * np.float32(0.5)
+        # twice the state and the output, as the gates are: 2 * sigmoid(v) = 1 + tanh(v / 2)
         h = np.zeros((n, HIDDEN), dtype=np.float32)
         c = np.zeros((n, HIDDEN), dtype=np.float32)
-        s, g = z[:, : 3 * HIDDEN], z[:, 3 * HIDDEN :]
+        a, f, o, g = (z[:, j * HIDDEN : (j + 1) * HIDDEN] for j in range(4))
         for i in range(t):
             np.matmul(h, across, out=z)
             np.take(given, p[i], axis=0, out=x, mode="clip")
             z += x
             np.tanh(z, out=z)
-            s *= 0.5
-            s += 0.5
-            c *= s[:, HIDDEN : 2 * HIDDEN]
-            np.multiply(s[:, :HIDDEN], g, out=g)
+            z += one
+            c *= f
+            c *= 0.5
+            np.multiply(a, g, out=g)
             c += g
-            np.tanh(c, out=h)
-            h *= s[:, 2 * HIDDEN :]
+            np.multiply(c, 0.5, out=h)
+            np.tanh(h, out=h)
+            h *= o
             if k == 0:
                 np.matmul(h, project, out=out[i])
             else:
-                place = steps - 1 - i
-                ok = place >= 0
                 e = h @ project
-                if ok.all():
-                    out[place, at] += e
+                if even:
+                    out[t - 1 - i] += e
                 else:
+                    place = steps - 1 - i
+                    ok = place >= 0
                     out[place[ok], at[ok]] += e[ok]
     out += w["bias"]
     return _by_character(out)
@@ -172,26 +177,43 @@ def viterbi(w: dict, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     move = w["move"].astype(e.dtype)
     score = np.empty_like(e)
     score[0] = e[0] + w["first"][:, None]
-    part = np.empty((k, n), dtype=e.dtype)
-    columns = [np.ascontiguousarray(move[j][:, None]) for j in range(k)]
+    part = np.empty((k, k, n), dtype=e.dtype)
+    moves = np.ascontiguousarray(move[:, :, None])
+    # is the best way to 'outside' here outside all along? Rows that end so need no way back
+    plain = np.ones(n, dtype=bool)
+    todo = np.zeros(n, dtype=bool)
+    stops = set((np.unique(lengths) - 1).tolist())
+
+    def close(i: int) -> None:
+        ends = lengths - 1 == i
+        todo[ends] = ~(plain & (score[i].argmax(axis=0) == 0))[ends]
+
+    if min(stops) <= 0:
+        close(0)
     for i in range(1, t):
         last, best = score[i - 1], score[i]
-        np.add(last[0], columns[0], out=best)
-        for j in range(1, k):
-            np.add(last[j], columns[j], out=part)
-            np.maximum(best, part, out=best)
+        np.add(last[:, None], moves, out=part)
+        part.max(axis=0, out=best)
+        plain &= best[0] == last[0] + move[0, 0]
         best += e[i]
-    tags = np.zeros((n, t), dtype=np.int64)
-    rows = np.arange(n)
-    now = np.zeros(n, dtype=np.int64)
+        if i in stops:
+            close(i)
+    tags = np.zeros((n, t), dtype=np.int8)
+    rows = np.flatnonzero(todo)
+    if len(rows) < n:
+        score = np.ascontiguousarray(score[:, :, rows])
+    if not len(rows):
+        return tags
+    size = lengths[rows]
+    now = np.zeros(len(rows), dtype=np.int64)
     into = np.ascontiguousarray(move.T)
-    for i in range(t - 1, -1, -1):
-        ends = lengths - 1 == i
+    for i in range(int(size.max()) - 1, -1, -1):
+        ends = size - 1 == i
         if ends.any():
             now = np.where(ends, score[i].argmax(axis=0), now)
-        inside = lengths > i
-        tags[:, i] = np.where(inside, now, 0)
-        if i and inside.any():
+        inside = size > i
+        tags[rows, i] = np.where(inside, now, 0)
+        if i:
             now = np.where(inside, (score[i - 1].T + into[now]).argmax(axis=1), now)
     return tags
 
