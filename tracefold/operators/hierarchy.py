@@ -150,7 +150,7 @@ def _loops(spool: Spool, rest: DataFrame) -> DataFrame:
     lows = t.select(F.col("s").alias("ls"), F.col("v").alias("lv"), F.col("low").alias("root"))
     r = t.join(lows, (t.s == lows.ls) & (t.far == lows.lv)).select("s", "v", "p", "root")
     r = r.join(on.withColumn("on", F.lit(True)), ["s", "v"], "left")
-    r = spool.put("placed", r.select("s", "v", "p", "root", F.when(F.col("on"), "loop").otherwise("below").alias("on_loop")))
+    r = spool.put("ringed", r.select("s", "v", "p", "root", F.when(F.col("on"), "loop").otherwise("below").alias("on_loop")))
     spool.drop("loop")
     return r.join(_steps(spool, r), ["s", "v"])
 
