@@ -47,6 +47,7 @@ def _bm25(words: list[str], rows: str, key: str, cond: str) -> str:
 
 
 _DOCS = f"SELECT doc_id, {_TOKENS('text')} AS t FROM documents WHERE text IS NOT NULL AND text <> ''"
+_BODIES = f"SELECT hash, {_TOKENS('text')} AS t FROM (SELECT hash, TRY(decode(content)) AS text, mime_type FROM blobs WHERE octet_length(content) BETWEEN 1 AND 1048576) WHERE text IS NOT NULL AND text <> '' AND (mime_type IS NULL OR regexp_matches(lower(mime_type), 'text/|json|xml|javascript|css|html|x-www-form-urlencoded'))"
 _LINE = "' ' || array_to_string(t, ' ') || ' '"
 _PHASE = lambda p: f"({_M(p + '_ms')})"
 
@@ -124,6 +125,20 @@ SELECT e.id, recording_id, best.status AS recorded_status, score FROM entries e
         "search_postings": f"WITH d AS (SELECT doc_id, {_TOKENS('text')} AS t FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM d) SELECT token, doc_id, count(*) AS tf, CAST(min(i) AS INTEGER) AS first_at FROM u GROUP BY 1, 2",
         "search_trigrams": "WITH d AS (SELECT item_id, lower(strip_accents(passage)) AS t FROM eval_items WHERE length(passage) >= 3), u AS (SELECT item_id, substr(t, CAST(unnest(range(1, length(t) - 1)) AS INTEGER), 3) AS token FROM d) SELECT token, item_id, count(*) AS tf FROM u GROUP BY 1, 2",
         "search_snippets": f"WITH d AS ({_DOCS}) SELECT doc_id, true AS marked FROM d WHERE list_contains(t, 'cookie')",
+        "search_entries": f"SELECT e.id, e.started_at, e.url, e.status, h.score FROM entries e JOIN ({_bm25(['importer', 'viewport'], _BODIES, 'hash', 'c0 > 0 OR c1 > 0')}) h ON h.hash = e.response_body_hash",
+        "mask_bodies": """WITH n AS (SELECT hash, regexp_replace(TRY(decode(content)), '[0-9]{4}', 'REDACTED', 'g') AS t, TRY(decode(content)) AS old FROM blobs), m AS (SELECT hash, t FROM n WHERE t <> old)
+SELECT e.id, CASE WHEN m.hash IS NULL THEN e.response_body_hash ELSE sha256(m.t) END AS response_body_hash, CASE WHEN m.hash IS NULL THEN e.response_body_size ELSE strlen(m.t) END AS response_body_size, CASE WHEN m.hash IS NULL THEN e.response_body_hash_raw END AS response_body_hash_raw FROM entries e LEFT JOIN m ON m.hash = e.response_body_hash""",
+        "pii_findings": f"""WITH b AS (SELECT hash, TRY(decode(content)) AS text FROM blobs), x AS (SELECT id, 1 AS location_no, url AS text FROM entries UNION ALL SELECT id, 2, text FROM entries JOIN b ON b.hash = request_body_hash UNION ALL SELECT id, 3, text FROM entries JOIN b ON b.hash = response_body_hash),
+  y AS (SELECT id || ':' || location_no AS id, id AS e, location_no, text FROM x), r AS ({found('text').replace('FROM x', 'FROM y')} UNION ALL {_cards('y', 'id', 'text').replace("'credit_card' AS kind, count(*) AS n", "'credit_card' AS kind, count(*) AS n")})
+SELECT CAST(split_part(id, ':', 1) AS BIGINT) AS id, ['url', 'request', 'response'][CAST(split_part(id, ':', 2) AS INTEGER)] AS location, kind, n, CAST(split_part(id, ':', 2) AS INTEGER) AS location_no, CAST(list_position({list(pats)}, kind) AS INTEGER) AS kind_no FROM r WHERE n > 0""",
+        "merge_stats": f"""WITH i AS (SELECT source_file, imported_at, row_number() OVER (ORDER BY min(id)) AS n FROM imports GROUP BY 1, 2), m AS (SELECT imports.id, i.n FROM imports JOIN i ON i.source_file IS NOT DISTINCT FROM imports.source_file AND i.imported_at IS NOT DISTINCT FROM imports.imported_at),
+  k AS (SELECT 'imports' AS table_name, 2 * (SELECT count(*) FROM imports) AS given, (SELECT count(*) FROM i) AS kept UNION ALL SELECT 'pages', 2 * (SELECT count(*) FROM pages), (SELECT count(*) FROM (SELECT DISTINCT p.id, m.n FROM pages p JOIN m ON m.id = p.import_id))
+    UNION ALL SELECT 'entries', 2 * (SELECT count(*) FROM entries), (SELECT count(*) FROM (SELECT DISTINCT m.n, {_KEY} FROM entries e JOIN m ON m.id = e.import_id)) UNION ALL SELECT 'blobs', 2 * (SELECT count(*) FROM blobs), (SELECT count(DISTINCT hash) FROM blobs)
+    UNION ALL SELECT 'graphql_fields', 2 * (SELECT count(*) FROM graphql_fields), (SELECT count(*) FROM (SELECT DISTINCT m.n, {_KEY}, g.field FROM entries e JOIN m ON m.id = e.import_id JOIN graphql_fields g ON g.entry_id = e.id)))
+SELECT table_name, given, kept, given - kept AS repeats FROM k""",
+        "trace_documents": f"""WITH {with_us(_ENTRIES)}, p AS ({_phases()})
+SELECT id, 0 AS turn, left(sha256({_SEED} || '|request'), 16) AS span_id, us * 1000 AS start_ns FROM us WHERE us IS NOT NULL
+UNION ALL SELECT us.id, 1, left(sha256({_SEED.replace('id', 'us.id')} || '|' || phase), 16), us * 1000 + CAST(round(a * 1000000) AS BIGINT) FROM us JOIN p ON p.id = us.id WHERE us IS NOT NULL AND b > a""",
         "mask_headers": "SELECT id, CASE WHEN request_headers::JSON->>'$.\"user-agent\"' IS NOT NULL THEN 'REDACTED' END AS user_agent, request_headers::JSON->>'$.accept' AS accept FROM entries",
         "mask_cookies": "SELECT id, CASE WHEN request_cookies::JSON->>'$[0].name' IS NOT NULL THEN 'REDACTED' END AS value, request_cookies::JSON->>'$[0].name' AS name FROM entries",
         "mask_params": _masked_url(),
