@@ -97,6 +97,14 @@ _HASH = " || ".join(
     for t in [f"(CASE WHEN isnan({c}) THEN 'nan' ELSE CAST(CAST(round({c} * 1000) AS DECIMAL(38,0)) AS VARCHAR) END)" if c in store._DOUBLES else f"CAST({c} AS VARCHAR)"]
 )
 
+_CACHE = "coalesce(response_headers::JSON->>'$.\"x-cache\"', response_headers::JSON->>'$.\"x-cache-status\"', response_headers::JSON->>'$.\"cf-cache-status\"')"
+_ATTRIBUTES = [
+    ("http.request.method", "upper(method)", "string"), ("url.full", "url", "string"), ("url.path", "path", "string"), ("url.query", "query_string", "string"), ("url.scheme", f"(CASE WHEN {_GOOD} THEN lower({_PART(1)}) END)", "string"), ("server.address", f"({_HOST})", "string"), ("server.port", f"TRY_CAST({_PORT} AS INTEGER)", "int"),
+    ("http.response.status_code", "status", "int"), ("http.request.body.size", "(CASE WHEN request_body_size >= 0 THEN request_body_size END)", "int"), ("http.response.body.size", "(CASE WHEN response_body_size >= 0 THEN response_body_size END)", "int"), ("http.response.mime_type", "response_mime_type", "string"),
+    ("network.peer.address", "server_ip", "string"), ("network.protocol.name", "lower(http_version)", "string"), ("http.connection_id", "connection_id", "string"), ("tls.protocol.version", "tls_version", "string"), ("tls.cipher", "tls_cipher_suite", "string"), ("page.id", "page_id", "string"),
+    ("graphql.operation.type", "graphql_operation_type", "string"), ("graphql.operation.name", "graphql_operation_name", "string"), ("cache.status", _CACHE, "string"), ("cache.hit", f"contains(lower({_CACHE}), 'hit')", "bool"), ("cache.age", "TRY_CAST(trim(response_headers::JSON->>'$.age') AS BIGINT)", "int"),
+]
+
 
 def queries() -> dict[str, str]:
     pats = masking.PATTERNS
@@ -139,6 +147,17 @@ SELECT table_name, given, kept, given - kept AS repeats FROM k""",
         "trace_documents": f"""WITH {with_us(_ENTRIES)}, p AS ({_phases()})
 SELECT id, 0 AS turn, left(sha256({_SEED} || '|request'), 16) AS span_id, us * 1000 AS start_ns FROM us WHERE us IS NOT NULL
 UNION ALL SELECT us.id, 1, left(sha256({_SEED.replace('id', 'us.id')} || '|' || phase), 16), us * 1000 + CAST(round(a * 1000000) AS BIGINT) FROM us JOIN p ON p.id = us.id WHERE us IS NOT NULL AND b > a""",
+        "capture_entries": f"""SELECT e.id, url, CAST(status AS VARCHAR) AS status, page_id AS page, CASE WHEN octet_length(b.content) > 0 THEN coalesce(TRY(decode(b.content)), base64(b.content)) END AS body, list_sort(json_keys(request_headers::JSON))[2] AS n_headers, entry_extensions::JSON->>'$._priority' AS priority,
+  CASE WHEN coalesce({', '.join(_M(p + '_ms') for p in ('blocked', 'dns', 'connect', 'send', 'wait', 'receive', 'ssl'))}) IS NULL THEN coalesce({_M('time_ms')}, 0.0) ELSE coalesce({_M('wait_ms')}, 0.0) END AS wait FROM entries e LEFT JOIN blobs b ON b.hash = e.response_body_hash""",
+        "catalog": "SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS position, column_name FROM information_schema.columns WHERE table_name IN ('imports', 'pages', 'entries', 'blobs', 'graphql_fields')",
+        "span_attributes": " UNION ALL ".join(f"SELECT id, '{k}' AS key, CAST({v} AS VARCHAR) AS value, '{t}' AS kind FROM entries WHERE {v} IS NOT NULL" for k, v, t in _ATTRIBUTES),
+        "store_info": f"""WITH s AS (SELECT (SELECT count(*) FROM entries) AS entries, (SELECT count(DISTINCT host) FROM entries) AS hosts, (SELECT count(*) FROM imports) AS imports, (SELECT CAST(coalesce(sum(entry_count), 0) AS BIGINT) FROM imports) + (SELECT count(*) FROM entries WHERE import_id IN (SELECT id FROM imports WHERE entry_count IS NULL)) AS counted,
+    (SELECT count(*) FROM blobs) AS blobs, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM blobs) AS blob_bytes, (SELECT split_part(min(started_at), 'T', 1) FROM entries) AS first_date, (SELECT split_part(max(started_at), 'T', 1) FROM entries) AS last_date),
+  c AS (SELECT count(*) AS entries, count(request_id) AS with_request_id, count(parent_request_id) AS with_parent, count(initiator_type) AS with_initiator, count(redirect_url) AS with_redirect FROM entries)
+{' UNION ALL '.join(f"SELECT 'store' AS section, '{c}' AS name, CAST({c} AS VARCHAR) AS value FROM s" for c in ('entries', 'hosts', 'imports', 'counted', 'blobs', 'blob_bytes', 'first_date', 'last_date'))}
+UNION ALL {' UNION ALL '.join(f"SELECT 'chains', '{c}', CAST({c} AS VARCHAR) FROM c" for c in ('entries', 'with_request_id', 'with_parent', 'with_initiator', 'with_redirect'))}
+UNION ALL SELECT * FROM (SELECT 'hosts', host, CAST(count(*) AS VARCHAR) FROM entries WHERE host IS NOT NULL GROUP BY host ORDER BY count(*) DESC, host LIMIT 5)
+UNION ALL SELECT * FROM (SELECT 'initiators', initiator_type, CAST(count(*) AS VARCHAR) FROM entries WHERE initiator_type IS NOT NULL GROUP BY initiator_type ORDER BY count(*) DESC, initiator_type LIMIT 5)""",
         "mask_headers": "SELECT id, CASE WHEN request_headers::JSON->>'$.\"user-agent\"' IS NOT NULL THEN 'REDACTED' END AS user_agent, request_headers::JSON->>'$.accept' AS accept FROM entries",
         "mask_cookies": "SELECT id, CASE WHEN request_cookies::JSON->>'$[0].name' IS NOT NULL THEN 'REDACTED' END AS value, request_cookies::JSON->>'$[0].name' AS name FROM entries",
         "mask_params": _masked_url(),

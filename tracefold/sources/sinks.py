@@ -41,7 +41,7 @@ def _body(prefix: str) -> list[Column]:
     c = F.col(f"{prefix}_content")
     text = F.is_valid_utf8(c.cast("string"))
     some = F.octet_length(c) > 0
-    return [F.when(some & text, c.cast("string")).when(some, F.base64(c)).alias("text"), F.when(some & ~text, "base64").alias("encoding")]
+    return [F.when(some & text, c.cast("string")).when(some, F.regexp_replace(F.base64(c), r"\s", "")).alias("text"), F.when(some & ~text, "base64").alias("encoding")]
 
 
 def with_extensions(doc: Column, extensions: Column) -> Column:
