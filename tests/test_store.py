@@ -55,6 +55,8 @@ def test_loading_exporting_and_loading_again(spark, tmp_path):
     assert s.table("graphql_fields").count() == 2 and s.table("blobs").count() == 3 and s.table("pages").count() == 1
     again = har.load(spark, [str(f)], at, incremental=True, decompress=True, keep_raw=True).collect()
     assert [(r.id, r.entry_count, r.entries_skipped) for r in again] == [(2, 0, 3)] and s.table("entries").count() == 3 and s.table("pages").count() == 2
+    posts = har.load(spark, [str(f)], str(tmp_path / "posts"), keep=[lambda r: r["method"] == "POST"], change=[lambda r: {"status_text": "seen"}]).collect()
+    assert posts[0].entry_count == 1 and store.Store(spark, str(tmp_path / "posts")).table("entries").first().status_text == "seen"
     out = tmp_path / "out.har"
     assert sinks.write_capture(s.table("entries"), s.table("pages"), str(out), s.table("blobs")) == 3
     doc = json.loads(out.read_text())["log"]

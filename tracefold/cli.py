@@ -73,7 +73,7 @@ def _import(job: Job) -> None:
     from tracefold.sources.har import load
 
     s, f = job.settings["import"], job.flags
-    job.show(load(job.spark, f.args, job.path, f.incremental or s["incremental"], f.resume or s["resume"], max_body=filters.parse_size(s["max_body"]), text_only=s["text_only"], decompress=True))
+    job.show(load(job.spark, f.args, job.path, f.incremental or s["incremental"], f.resume or s["resume"], max_body=filters.parse_size(s["max_body"]), text_only=s["text_only"], decompress=True, keep=[p.split() for p in f.filter_plugin], change=[p.split() for p in f.transform_plugin]))
 
 
 def _watch(job: Job) -> None:
@@ -81,7 +81,7 @@ def _watch(job: Job) -> None:
     from tracefold.streaming import watch
 
     s = job.settings["watch"]
-    watch(job.spark, job.flags.args[0], f"{job.path}/.watched", lambda paths, _: load(job.spark, paths, job.path, True), False, s["debounce_ms"], s["stable_ms"], s["recursive"]).awaitTermination()
+    watch(job.spark, job.flags.args[0], f"{job.path}/.watched", lambda paths, _: load(job.spark, paths, job.path, True), False, s["debounce_ms"], s["stable_ms"], s["recursive"], lambda paths: job.show(analysis.store_stats(job.entries, job.imports, job.blobs))).awaitTermination()
 
 
 def _export(job: Job) -> None:
@@ -106,6 +106,20 @@ def _redact(job: Job) -> None:
     to = store.Store(job.spark, f.out) if f.out else job.at
     for name, df in {"entries": e, "blobs": b, **({n: job.at.table(n) for n in ("imports", "pages", "graphql_fields")} if f.out else {})}.items():
         to.replace(name, df)
+    _refresh(job)
+
+
+def _refresh(job: Job) -> None:
+    """The search index made anew after bodies have changed, if there is one."""
+    from tracefold.plans.shared import exists
+
+    if exists(job.spark, f"{job.path}/fts/postings"):
+        _rebuild(job)
+
+
+def _prune(job: Job) -> None:
+    print(len(job.at.prune([int(a) for a in job.flags.args], job.path)))
+    _refresh(job)
 
 
 def _pii(job: Job) -> None:
@@ -214,7 +228,7 @@ def _repl(job: Job) -> None:
 
 
 COMMANDS: dict[str, Callable[[Job], None]] = {
-    "import": _import, "watch": _watch, "cdp": _cdp, "imports": lambda j: j.show(analysis.import_listing(j.imports, j.entries).orderBy("id")), "prune": lambda j: print(len(j.at.prune([int(a) for a in j.flags.args], j.path))),
+    "import": _import, "watch": _watch, "cdp": _cdp, "imports": lambda j: j.show(analysis.import_listing(j.imports, j.entries).orderBy("id")), "prune": _prune,
     "stats": lambda j: j.show(analysis.store_stats(j.entries, j.imports, j.blobs)), "info": lambda j: j.show(analysis.store_info(j.entries, j.imports, j.blobs)), "schema": lambda j: print("\n\n".join(store.ddl(t) for t in store.SCHEMAS)), "config": lambda j: print(json.dumps(j.settings, indent=2)),
     "analyze": lambda j: j.show(analysis.timing_stats(j.chosen())), "slow": lambda j: j.show(analysis.slowest(j.chosen(), "time_ms", j.settings["analyze"]["slow_ms"], j.settings["analyze"]["top"])), "certificates": lambda j: j.show(matching.certificate_list(j.chosen(), "", 20)),
     "export": _export, "redact": _redact, "pii": _pii, "merge": _merge, "report": _report, "waterfall": _waterfall, "otel": _otel, "openapi": lambda j: j.write(json.dumps(openapi.build(j.chosen(), j.blobs, **j.settings["openapi"]), indent=2)),
@@ -228,7 +242,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("args", nargs="*")
     for name in ("store", "out", "page", "endpoint", "since", "until"):
         p.add_argument(f"--{name}")
-    for name in ("host", "method", "url-contains", "url-regex", "source", "header", "cookie", "param", "body", "attribute", "override-host", "override-header"):
+    for name in ("host", "method", "url-contains", "url-regex", "source", "header", "cookie", "param", "body", "attribute", "override-host", "override-header", "filter-plugin", "transform-plugin"):
         p.add_argument(f"--{name}", action="append", default=[])
     p.add_argument("--status", action="append", type=int, default=[])
     for name in ("pretty", "trace", "dry-run", "force", "redact", "incremental", "resume", "async-read"):

@@ -405,15 +405,17 @@ def blobs_of(entries: DataFrame) -> DataFrame:
     return rows.groupBy("hash").agg(F.first("content").alias("content"), F.max(F.octet_length("content")).cast("long").alias("size"), F.min("mime_type").alias("mime_type")).withColumn("external_path", F.lit(None).cast("string"))
 
 
-def load(spark: SparkSession, paths: list[str], path: str, incremental: bool = False, resume: bool = False, filters: dict | None = None, graphql: bool = True, now: str | None = None, **bodies_kept) -> DataFrame:
+def load(spark: SparkSession, paths: list[str], path: str, incremental: bool = False, resume: bool = False, filters: dict | None = None, keep: list | None = None, change: list | None = None, graphql: bool = True, now: str | None = None, **bodies_kept) -> DataFrame:
     """Loads captures into the store at ``path``; returns its new rows of ``imports``.
 
     Ids go on from the largest there. ``incremental`` leaves out entries whose
     hash the store or the load already has; ``resume`` goes on with the newest
     unfinished import of a file instead of beginning another. ``filters`` are
-    those of ``filters.on_import``. Pages are added once per (id, import), bodies
+    those of ``filters.on_import``; ``keep`` and ``change`` are plugins that allow
+    and change entries. Pages are added once per (id, import), bodies
     once per hash, and an import counts once its own row is written, last of all.
     """
+    from tracefold import plugins
     from tracefold.functions.graphql import field_rows, operations
     from tracefold.functions.instants import with_instant
     from tracefold.operators.filters import on_import
@@ -433,11 +435,12 @@ def load(spark: SparkSession, paths: list[str], path: str, incremental: bool = F
     total = e.groupBy("source_file").agg(F.count(F.lit(1)).alias("entries_total"))
     if filters:
         e = on_import(with_instant(e, F.col("started_at"), F.lit("UTC"), "start_us"), **filters).drop("start_us")
-    e = with_hash(redirect_parents(spool.put("parsed", e)))
+    e = with_hash(spool.put("parsed", plugins.run(e, keep, change)))
     if incremental or resume:
         e = e.join(store.table("entries").select("entry_hash").where("entry_hash is not null").distinct(), "entry_hash", "left_anti")
         e = e.groupBy("entry_hash").agg(F.min_by(F.struct(*[c for c in e.columns if c != "entry_hash"]), F.struct("source_file", "position")).alias("r")).select("entry_hash", "r.*")
-    e = spool.put("kept", e.join(ids, "source_file"))
+    # what was left out above leads nowhere
+    e = spool.put("kept", redirect_parents(spool.put("left", e)).join(ids, "source_file"))
     e = running_sum(e.withColumn("__one", F.lit(1).cast("long")), [], ["source_file", "position"], "__one", "__no").withColumn("id", F.col("__no") + 1 + top_entry).drop("__one", "__no")
     e = spool.put("numbered", e)
     fields = spark.createDataFrame([], "entry_id long, field string")
