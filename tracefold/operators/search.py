@@ -134,7 +134,8 @@ class Index:
         """The index made anew from ``docs``."""
         d = docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text"))
         p = postings(d, "doc", "text", self.tokenizer).withColumn("part", self._part())
-        p.repartition("part", "token").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings")
+        # parts of a bounded size: small ones together, one with a hot token in several
+        p.hint("rebalance", "part").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings")
         d.write.mode("overwrite").parquet(f"{self.path}/docs")
         p = self.spark.read.parquet(f"{self.path}/postings")
         p.groupBy("doc").agg(F.sum("tf").alias("len")).write.mode("overwrite").parquet(f"{self.path}/lengths")
