@@ -25,7 +25,7 @@ _WIDE_STOPS = ("\u3002".encode(), "\uff01".encode(), "\uff1f".encode())
 
 _MARKUP = re.compile(rb"<(/?)(h[1-6]|section|article|main|header|footer|nav|aside|div|table|thead|tbody|tr|td|th|ul|ol|dl|li|dt|dd|p|pre|blockquote|form|fieldset|figure|head|body)\b[^<>]*>", re.I)
 #: Elements that end an open one of the same group without a tag of its own.
-_CLOSES = {b"li": (b"li",), b"dt": (b"dt", b"dd"), b"dd": (b"dt", b"dd"), b"tr": (b"tr", b"td", b"th"), b"td": (b"td", b"th"), b"th": (b"td", b"th"), b"p": (b"p",)}
+_CLOSES = {b"li": (b"li",), b"dt": (b"dt", b"dd"), b"dd": (b"dt", b"dd"), b"tr": (b"tr", b"td", b"th"), b"td": (b"td", b"th"), b"th": (b"td", b"th")}
 _DATA = re.compile(rb'"(?:\\.|[^"\\])*"|[{}\[\],]', re.S)
 _FENCE = re.compile(rb" {0,3}(`{3,}|~{3,})")
 _HEADING = re.compile(rb" {0,3}(#{1,6})(?:[ \t]|\r?$)")
@@ -55,6 +55,8 @@ def markup_marks(data: bytes) -> list[tuple[int, int]]:
     stack: list[bytes] = []
     for m in _MARKUP.finditer(data):
         tag = m[2].lower()
+        if not m[1] and stack and stack[-1] == b"p":  # a paragraph ends where any block begins
+            stack.pop()
         if tag[0] == 104 and len(tag) == 2 and tag[1:].isdigit():  # h1 to h6: a section, up to a heading as high or the container's end
             if not m[1]:
                 while stack and stack[-1][:1] == b"#" and stack[-1][1:] >= tag[1:]:
